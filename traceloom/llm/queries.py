@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import kernel_quality, ngram_quality, simhash, toxicity
+from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, simhash, toxicity
 from traceloom.llm.common import table
 
 
@@ -18,10 +18,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Target shares of the mixture; every other source has the share 1.
+MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,8 +42,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": mixing.mixing_sql(MIX_WEIGHTS),
+    "op9_decontamination": decontaminate.contamination_sql(),
+}
