@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, simhash, toxicity
+from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, simhash, token_files, toxicity
 from traceloom.llm.common import table
 
 
@@ -18,6 +18,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the token-ID output."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: Target shares of the mixture; every other source has the share 1.
 MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
 
@@ -42,6 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
