@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, simhash, token_files, toxicity
+from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity
 from traceloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
+    "op5_secret_scan": op5_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
