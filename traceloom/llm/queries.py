@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity
+from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
     "op5_secret_scan": op5_secret_scan,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
@@ -67,5 +72,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.mixing_sql(MIX_WEIGHTS),
+    "op7_url_filter": url_filter.url_sql(),
     "op9_decontamination": decontaminate.contamination_sql(),
 }
