@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
+from traceloom.llm import decontaminate, html_text, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
