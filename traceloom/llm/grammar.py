@@ -17,7 +17,7 @@ ROUNDS = 10
 PER_ROUND = 1024
 LEAST = 16
 CELLS = 18  # bits of the table that counts pairs
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 
 
 @dataclasses.dataclass
@@ -93,36 +93,38 @@ def compress(ids: np.ndarray, end: int, terminals: int, rounds: int = ROUNDS, pe
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        key[closes[seq[:-1]]] = np.uint64(2**64 - 1)
-        cell = ((key * _MIX) >> np.uint64(64 - CELLS)).astype(np.int64)
-        shut = int((np.array([2**64 - 1], np.uint64) * _MIX >> np.uint64(64 - CELLS))[0])
+        # pairs are counted by cell of a hash; of the pairs of a frequent cell the last one seen stands for it
+        left, right = seq[:-1], seq[1:]
+        cell = ((left * _LEFT + right) * _RIGHT) >> np.uint32(32 - CELLS)
         counts = np.bincount(cell, minlength=1 << CELLS)
-        counts[shut] = 0
         limit = max(least, int(np.partition(counts, len(counts) - per_round)[len(counts) - per_round]))
         hot = np.flatnonzero((counts >= limit)[cell])
-        pairs, inverse, n = np.unique(key[hot], return_inverse=True, return_counts=True)
-        if not len(pairs):
+        hot = hot[~closes[left[hot]]]
+        cell, key = cell[hot], left[hot].astype(np.uint64) << np.uint64(32) | right[hot]
+        pair = np.zeros(1 << CELLS, np.uint64)
+        pair[cell] = key
+        same = pair[cell] == key
+        hot, cell = hot[same], cell[same]
+        n = np.bincount(cell, minlength=1 << CELLS)
+        chosen = np.flatnonzero(n >= least)
+        chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:per_round]])
+        if not len(chosen):
             break
-        good = n >= least
-        good[np.argsort(-n, kind="stable")[per_round:]] = False
-        if not good.any():
-            break
-        hot, inverse = hot[good[inverse]], inverse[good[inverse]]
-        name = np.cumsum(good) - 1  # of the chosen pairs in ascending order
-        new = name[inverse].astype(np.uint32) + np.uint32(len(lengths))
+        name = np.full(1 << CELLS, -1)
+        name[chosen] = np.arange(len(chosen)) + len(lengths)
+        new = name[cell]
+        hot, new = hot[new >= 0], new[new >= 0]
         # of overlapping occurrences the leftmost are taken: every other one of a run of adjacent places
         run = np.flatnonzero(np.diff(hot, prepend=-2) != 1)
         place = np.arange(len(hot)) - np.repeat(run, np.diff(np.append(run, len(hot))))
         taken = place % 2 == 0
         hot, new = hot[taken], new[taken]
         seq = seq.copy()
-        seq[hot] = new
+        seq[hot] = new.astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hot + 1] = False
         seq = seq[keep]
-        chosen = pairs[good]
-        both = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        both = np.stack([pair[chosen] >> np.uint64(32), pair[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(both)
         lengths = np.concatenate([lengths, lengths[both[:, 0]] + lengths[both[:, 1]]])
         closes = np.concatenate([closes, closes[both[:, 1]]])

@@ -22,51 +22,20 @@ from pyspark.sql import functions as F
 
 from traceloom.llm import grammar
 from traceloom.llm.common import shared_dir
+from traceloom.llm.word_tokens import WordTokenizer
 
 END = 1
 SHARD_CHARS = 8_000_000
 MOST_SHARDS = 20_000
 BLOCK_IDS = 1_000_000
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-class WordTokenizer:
-    """ids of whole texts by a tokenizers file whose words between ASCII white space are encoded one by one.
-
-    Such a tokenizer drops white space before it splits, so a text's ids are its words' ids in order; the words' ids
-    are kept in a dictionary of bounded size. The library encodes each word that isn't in it.
-    """
-
-    CACHE = 400_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.type = np.dtype("<u2") if self.size < 48_000 + (1 << 14) else np.dtype("<u4")
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes | None, end: int = END) -> bytes:
-        """The ids and the end id, as little-endian numbers of this tokenizer's type."""
-        words = (text or b"").split()
-        cache = self.cache
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > self.CACHE:
-                cache = self.cache = {}
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                cache[w] = np.array(e.ids, self.type).tobytes()
-        return b"".join([*map(cache.__getitem__, words), np.array([end], self.type).tobytes()])
-
-
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, end: int = END) -> WordTokenizer:
     """One for each Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, end) not in _TOKENIZERS:
+        _TOKENIZERS[path, end] = WordTokenizer(path, end, grammar.ROUNDS * grammar.PER_ROUND)
+    return _TOKENIZERS[path, end]
 
 
 def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None = None) -> DataFrame:
@@ -74,11 +43,13 @@ def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None
     cuts = np.array(limits or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(path)
+        words = tokenizer(path, end)
         for b in batches:
-            ids = [words.encode(t.as_py(), end) for t in b.column(1).cast(pa.large_binary())]
+            ids, ends = words.encode(b.column(1).cast(pa.large_binary()).to_pylist())
+            places = np.concatenate([[0], ends]) * words.type.itemsize
+            ids = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
             at = np.searchsorted(cuts, b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), ids], names=["shard", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
 
@@ -98,8 +69,9 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
     ids = encoded(docs, path, end, limits).repartitionById(len(limits) + 1, F.col("shard"))
     ids = ids.sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
 
+    kind, terminals = tokenizer(path, end).type, tokenizer(path, end).size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, terminals = tokenizer(path).type, max(tokenizer(path).size, end + 1)
         shard, block, first = None, 0, 0
         held_ids: list[int | None] = []
         held: list[bytes] = []
@@ -112,7 +84,8 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
 
         for b in batches:
-            for s, d, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for s, d, x in zip(*b.columns, strict=True):
+                s, d, x = s.as_py(), d.as_py(), x.as_py()
                 if held and (s != shard or count >= block_ids):
                     yield flush()
                     block, first = (block + 1, first + count) if s == shard else (0, 0)
@@ -152,7 +125,8 @@ def _documents(spark: SparkSession, at: str, digest, kind: pa.DataType, ddl: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 ids = grammar.Block.of(row["terminals"], row["rules"], row["lengths"], row["width"], row["symbols"], row["n_ids"]).decode()
                 ends = np.cumsum(row["sizes"])
                 starts = ends - row["sizes"]
