@@ -1 +1 @@
-
+"""Operators: DataFrames to DataFrames, lazy, without driver-side loops over rows."""
