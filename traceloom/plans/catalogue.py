@@ -9,8 +9,9 @@ from traceloom import modes
 from traceloom.functions import similarity, text
 from traceloom.operators import compare, rollup, sequence
 from traceloom.plans import adapters as A
+from traceloom.plans import program_queries
 
-QUERIES: dict = {}
+QUERIES: dict = dict(program_queries.QUERIES)
 ORACLES: dict = {}
 
 
