@@ -28,28 +28,43 @@ NAME = r"([\p{L}\p{N}][,;:]? )(\p{Lu}\p{Ll}+)"
 UNIT = "# (" + "|".join(sorted((u for u in UNITS if u.isalpha()), key=lambda u: (-len(u), u))) + ")( |$)"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words, one space between them, names marked. Two rounds mark names that follow one another."""
-    marked = F.regexp_replace(F.regexp_replace(text, NAME, f"$1{MARK}$2"), NAME, f"$1{MARK}$2")
-    return F.lower(F.trim(F.regexp_replace(marked, r"[^\p{L}\p{N}]+", " ")))
+def templates(texts: DataFrame, keys: list[str], names: bool = True) -> DataFrame:
+    """keys, raw (lower-case words) and template (the same places as one text) of texts' column text.
 
-
-def template_of(words: Column, names: bool = True) -> Column:
-    """The template of words_of(), token by token; names: whether names are slots, or ordinary words."""
-    named = F.regexp_replace(words, MARK + r"[\p{L}\p{N}]+", "<name>") if names else F.regexp_replace(words, MARK, "")
-    return F.regexp_replace(F.regexp_replace(named, r"\p{N}+", "#"), UNIT, "# <unit>$2")
+    Names are marked in two rounds, as the first can't see names that follow one another. names: whether they are slots
+    in the template, or ordinary words. Each step is a column of its own, so that none is worked out more than once.
+    """
+    has = lambda c, x: F.contains(F.col(c), F.lit(x))
+    cut = texts.select(*keys, F.regexp_replace(F.col("text").cast("string"), NAME, f"$1{MARK}$2").alias("once"))
+    cut = cut.select(*keys, F.when(has("once", MARK), F.regexp_replace("once", NAME, f"$1{MARK}$2")).otherwise(F.col("once")).alias("marked"))
+    cut = cut.select(*keys, F.lower(F.trim(F.regexp_replace("marked", r"[^\p{L}\p{N}]+", " "))).alias("words"))
+    named = F.regexp_replace("words", MARK + r"[\p{L}\p{N}]+", "<name>") if names else F.replace(F.col("words"), F.lit(MARK), F.lit(""))
+    cut = cut.select(*keys, "words", F.when(has("words", MARK), named).otherwise(F.col("words")).alias("named"))
+    cut = cut.select(*keys, "words", F.regexp_replace("named", r"\p{N}+", "#").alias("numbered"))
+    template = F.when(has("numbered", "#"), F.regexp_replace("numbered", UNIT, "# <unit>$2")).otherwise(F.col("numbered"))
+    return cut.select(*keys, F.split("words", " ").alias("raw"), template.alias("template"))
 
 
 def windows(texts: DataFrame, keys: list[str], names: bool = True, window: int = WINDOW) -> DataFrame:
-    """keys, pos, h, slots, n_windows of every window of texts' column text; slots: the words in the slots, else blanks."""
-    cut = texts.select(*keys, words_of(F.col("text").cast("string")).alias("words"))
-    cut = cut.select(*keys, F.split("words", " ").alias("raw"), template_of(F.col("words"), names).alias("template"))
-    cut = cut.select(*keys, "raw", F.split("template", " ").alias("tokens"), F.col("template").rlike("[#<]").alias("slotted"))
-    cut = cut.where(F.size("tokens") >= window)
-    n = F.size("tokens") - (window - 1)
-    slots = lambda i: F.array_join(F.zip_with(F.slice("tokens", i, window), F.slice("raw", i, window), lambda t, r: F.when(t.rlike("[#<]"), r).otherwise("")), " ")
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("tokens", i, window)).alias("h"), F.when(F.col("slotted"), slots(i)).otherwise("").alias("slots"), n.alias("n_windows")))
-    return cut.select(*keys, F.explode(each).alias("w")).select(*keys, "w.*")
+    """keys, pos, h, slots, n_windows of every window of texts' column text; slots: the words in the slots, else blanks.
+
+    A window's hash is built from those of its halves: one round for each doubling, and a last one of two halves that
+    overlap if the length is no power of two. Short texts have no windows; a filter on their length would be pushed
+    below the regular expressions and repeat them.
+    """
+    cut = templates(texts, keys, names)
+    cut = cut.select(*keys, "raw", F.split("template", " ").alias("tokens"), (F.contains("template", F.lit("#")) | F.contains("template", F.lit("<"))).alias("slotted"))
+    cut = cut.withColumn("n_windows", F.greatest(F.size("tokens") - (window - 1), F.lit(0)))
+    cut = cut.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t)))
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        cut = cut.withColumn("h", F.zip_with("h", F.slice("h", F.lit(step + 1), F.size("h")), lambda a, b: F.xxhash64(a, b)))  # past the last window: hashes of nulls
+        size += step
+    slots = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.array_join(F.zip_with(F.slice("tokens", i, window), F.slice("raw", i, window), lambda t, r: F.when(F.contains(t, F.lit("#")) | F.contains(t, F.lit("<")), r).otherwise("")), " "))
+    cut = cut.withColumn("slots", F.when(F.col("slotted") & (F.col("n_windows") > 0), slots).otherwise(F.array().cast("array<string>")))
+    each = F.zip_with(F.slice("h", F.lit(1), F.col("n_windows")), "slots", lambda h, s: F.struct(h.alias("h"), F.coalesce(s, F.lit("")).alias("slots")))
+    return cut.select(*keys, "n_windows", F.posexplode(each).alias("pos", "w")).select(*keys, "pos", "w.*", "n_windows")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
