@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Line ends of a child's standard output: more than those of a text file.
-OUTPUT_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+OUTPUT_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -169,4 +169,4 @@ def code_hash(c: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Two places and a percent sign; n/a of nothing."""
-    return F.when(whole == 0, "n/a").otherwise(F.concat(F.format_number(100.0 * part / whole, "0.00"), F.lit("%")))
+    return F.when(whole == 0, "n/a").otherwise(F.format_string("%.2f%%", 100.0 * part / whole))

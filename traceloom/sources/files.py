@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,13 @@ TASK = r"(task_[^/.]+)"
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """path, name, size of the files under root, without their contents."""
+    """path, name, size of the files under root, without their contents; empty files too, which Spark's readers pass over."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+    paths = spark.createDataFrame([(unquote(p),) for p in rows.inputFiles()], "path string")
+    sizes = rows.select(F.col("path").alias("sized"), F.col("length").alias("size"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    both = paths.join(sizes, plain(F.col("path")) == plain(F.col("sized")), "left")
+    return both.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def tasks_of(files: DataFrame, limit: int | None = None, numeric: bool = False) -> DataFrame:
