@@ -6,8 +6,9 @@ source's cumulative probabilities. Documents are exploded by their counts and de
 so any partition of the result is a random mixture. Counts depend on nothing but seed, id, sizes and weights: a task
 that runs again draws the same.
 
-Only counts per source are gathered. The join back to the documents is an ordinary equi-join: adaptive execution
-broadcasts the table of rates if its measured size allows it and otherwise splits the partition of a hot source.
+Only counts per source are gathered. The table of rates is broadcast if there are at most ``BROADCAST_SOURCES`` of them
+(counted first, about a hundred numbers each); beyond, the join back to the documents is an ordinary equi-join in which
+adaptive execution splits the partition of a hot source.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Poisson rates above this are drawn as sums of independent draws, as exp(-rate) would underflow.
 STEP = 500.0
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -30,8 +32,8 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs
     sizes = docs.groupBy(F.col("source").cast("string").alias("mix_source")).agg(F.count("*").alias("n"))
     given = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else None
     weight = F.coalesce(given[F.col("mix_source")], F.lit(float(other))) if weights else F.lit(float(other))
-    sums = sizes.withColumn("weight", weight).groupBy().agg(F.sum("weight").alias("weights"), F.sum("n").alias("total"))
-    all_weights, total = sums.first()
+    sums = sizes.withColumn("weight", weight).groupBy().agg(F.sum("weight").alias("weights"), F.sum("n").alias("total"), F.count("*").alias("sources"))
+    all_weights, total, sources = sums.first()
     if not total or not all_weights:
         return sizes.select("mix_source", F.lit(1).alias("draws"), F.array(F.lit(1.0)).alias("cdf"))
     # the sums run over doubles in an order that may vary, so they are rounded to what doubles hold surely
@@ -45,7 +47,8 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs
             (s, k) -> named_struct('p', s.p * step / k, 'c', s.c + s.p * step / k, 'cdf', array_append(s.cdf, s.c + s.p * step / k)),
             s -> s.cdf)
     """)
-    return rate.select("mix_source", "draws", cdf.alias("cdf"))
+    table = rate.select("mix_source", "draws", cdf.alias("cdf"))
+    return F.broadcast(table) if sources <= BROADCAST_SOURCES else table
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs: float = 1.0, seed: int = 11) -> DataFrame:
