@@ -13,7 +13,7 @@ import dataclasses
 
 import numpy as np
 
-ROUNDS = 10
+ROUNDS = 6
 PER_ROUND = 1024
 LEAST = 16
 CELLS = 18  # bits of the table that counts pairs

@@ -52,36 +52,68 @@ class WordTokenizer:
         self.starts, self.counts = np.zeros(self.WORDS + 1, np.int32), np.zeros(self.WORDS + 1, np.int32)
         self.flat, self.n_flat, self.n = np.zeros(1 << 20, self.type), 0, 0
         self.long: dict[bytes, int] = {}
-        self._insert([b"\xff"], [np.array([self.end])])
+        self._insert([b"\xff"], np.array([self.end]), np.array([1]))
 
     def _one_by_one(self, words: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _library(self, words: list[bytes]) -> list[np.ndarray]:
-        """ids of each word; words of lower-case ASCII letters, one piece each, go to the library in long texts."""
-        simple = [w for w in words if _SIMPLE.issuperset(w)] if self.closes.any() else []
-        found: dict[bytes, np.ndarray] = {}
-        for i in range(0, len(simple), 500):
-            part = simple[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                found.update(zip(part, np.split(ids, ends[:-1]), strict=True))
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._one_by_one(rest), strict=True))
-        return [found[w] for w in words]
+    def _library(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in another order, their ids one after another, and how many each has.
+
+        Words of letters alone are one piece each: they go to the library in long texts, which are parted where a piece
+        closes. A text that doesn't part into as many pieces is asked for word by word.
+        """
+        order: list[bytes] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rest = words
+        if self.closes.any():
+            said = [w.decode() for w in words]
+            simple = [w for w in said if w.isalpha()]
+            rest = [w for w, t in zip(words, said, strict=True) if not t.isalpha()]
+            texts = [simple[i : i + 400] for i in range(0, len(simple), 400)]
+            for part, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
+                found = np.array(e.ids)
+                ends = np.flatnonzero(self.closes[found]) + 1
+                if len(ends) == len(part) and ends[-1] == len(found):
+                    order += [w.encode() for w in part]
+                    ids.append(found)
+                    counts.append(np.diff(ends, prepend=0))
+                else:
+                    rest += [w.encode() for w in part]
+        each = self._one_by_one(rest)
+        return order + rest, np.concatenate([np.zeros(0, np.int64), *ids, *each]), np.concatenate([np.zeros(0, np.int64), *counts, np.fromiter(map(len, each), np.int64, len(each))]).astype(np.int64)
 
     def _learn(self, words: set[bytes]) -> None:
-        if self.folds:
-            stems = {w[:-1] for w in words if w[-1] in b".," and len(w) > 1 and w[-2] in _SIMPLE}
-            parted = [w for w in words if w[-1] in b".," and w[:-1] in stems]
-            ask = list((words - set(parted)) | stems | ({b".", b","} if stems else set()))
-            ids = dict(zip(ask, self._library(ask), strict=True))
-            ids.update({w: np.concatenate([ids[w[:-1]], ids[w[-1:]]]) for w in parted})
-            self._insert(list(words), [ids[w] for w in words])
-        else:
-            ask = list(words)
-            self._insert(ask, self._library(ask))
+        parted = [w for w in words if self.folds and w[-1] in b".," and len(w) > 1 and w[-2] in _SIMPLE]
+        ask = list((words - set(parted)).union([w[:-1] for w in parted], [b".", b","] if parted else []))
+        ask = [w for w, e in zip(ask, self._entries(ask).tolist(), strict=True) if e < 0]
+        self._insert(*self._library(ask))
+        if parted:
+            stem, close = self._entries([w[:-1] for w in parted]), self._entries([w[-1:] for w in parted])
+            pieces = np.stack([stem, close], 1).ravel()
+            counts = self.counts[pieces].astype(np.int64)
+            self._insert(parted, self._ids(pieces, counts), counts.reshape(-1, 2).sum(1))
+
+    def _ids(self, entry: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        stops = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[entry] - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)]
+
+    @staticmethod
+    def _joined(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Words in one text with eight bytes to spare, where they start, and where they end."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = 8 + np.cumsum(sizes + 1) - 1
+        return b" " * 8 + b" ".join(words) + b" " * 8, ends - sizes, ends
+
+    def _entries(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, np.int64)
+        raw, starts, ends = self._joined(words)
+        entry = self._find(*self._keys(raw, starts, ends))
+        for i in np.flatnonzero(ends - starts > 16):
+            entry[i] = self.long.get(words[i], -1)
+        return entry
 
     def _keys(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit mixes of each word that together are one to one for words of up to 16 bytes; raw has eight bytes to spare at both ends."""
@@ -108,25 +140,23 @@ class WordTokenizer:
             left, slot = left[on], slot[on]
         return found
 
-    def _insert(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        first = self.n
-        counts = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(counts.sum())
+    def _insert(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        """New words, their ids one after another, and how many each has."""
+        if not words:
+            return
+        first, total = self.n, len(ids)
         while self.n_flat + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if total:
-            self.flat[self.n_flat : self.n_flat + total] = np.concatenate(ids)
-        self.starts[first : first + len(ids)] = self.n_flat + np.cumsum(counts) - counts
-        self.counts[first : first + len(ids)] = counts
-        self.n, self.n_flat = first + len(ids), self.n_flat + total
+        self.flat[self.n_flat : self.n_flat + total] = ids
+        self.starts[first : first + len(words)] = self.n_flat + np.cumsum(counts) - counts
+        self.counts[first : first + len(words)] = counts
+        self.n, self.n_flat = first + len(words), self.n_flat + total
         at = np.arange(first, self.n)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.flatnonzero(sizes > 16):
+        raw, starts, ends = self._joined(words)
+        for i in np.flatnonzero(ends - starts > 16):
             self.long[words[i]] = first + int(i)
-        raw = b" " * 8 + b" ".join(words) + b" " * 8
-        ends = 8 + np.cumsum(sizes + 1) - 1
-        short = sizes <= 16
-        key, check = self._keys(raw, (ends - sizes)[short], ends[short])
+        short = ends - starts <= 16
+        key, check = self._keys(raw, starts[short], ends[short])
         at = at[short]
         slot = (key >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         while len(at):
@@ -168,16 +198,16 @@ class WordTokenizer:
             if not len(lost):
                 break
             missing = {raw[s:e] for s, e in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)}
-            if not fresh and (self.n + len(missing) > self.WORDS or len(self.long) > self.LONG_WORDS):
+            if not fresh and (self.n + 2 * len(missing) > self.WORDS or len(self.long) > self.LONG_WORDS):
                 self._clear()
                 continue
-            if self.n + len(missing) > self.WORDS:
-                raise ValueError(f"a text has more than {self.WORDS} different words")
+            if self.n + 2 * len(missing) > self.WORDS:
+                raise ValueError(f"a text has more than {self.WORDS // 2} different words")
             self._learn(missing)
         entry = self._find(key, check)
         entry[long] = [self.long[w] for w in words]
         counts = self.counts[entry].astype(np.int64)
         stops = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[entry] - (stops - counts), counts) + np.arange(stops[-1])]
+        ids = self._ids(entry, counts)
         closing = np.frombuffer(raw, np.uint8)[starts] == 255
         return ids, stops[closing]
