@@ -25,6 +25,8 @@ from traceloom.llm.common import id_remainder, label_sample
 PER_CLASS = 4000
 HASH_BITS = 21
 SELECTED = 4000
+#: How far targets stay from 0 and 1: labels err, and without it the bias would run off until one word can't outweigh it.
+SMOOTH = 0.02
 WORDS = re.compile(r"[^\W\d_]+")
 # Identity terms that are swapped for one another, by kind.
 IDENTITY_TERMS = (
@@ -123,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     place[chosen] = np.arange(len(chosen))
     held = place[feat] >= 0
     row, col = row[held], place[feat[held]]
+    target = SMOOTH + (1 - 2 * SMOOTH) * y
     weight = np.where(y == 1, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0)
     weight /= weight.sum()
     # a counterfactual moves the score by what the two terms' features differ in
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     vw, vb = w.copy(), bias
     for _ in range(steps):  # accelerated proximal gradient
         p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, vw[col], n), -30, 30)))
-        err = weight * (p - y)
+        err = weight * (p - target)
         grad = np.bincount(col, err[row], len(chosen))
         if len(moves):
             grad = grad + 2 * fairness * moves.T @ (moves @ vw)
