@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import id_remainder, stored
+from traceloom.llm.common import id_remainder, in_arrow, stored
 
 NAMES = (
     "log_words", "word_length", "word_length_spread", "symbols_per_word", "bangs_per_word", "bars_per_word", "upper_share",
@@ -80,7 +80,7 @@ def stats_table(docs: DataFrame) -> DataFrame:
             stats = [doc_stats(t.as_py()) for t in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats, pa.list_(pa.float32()))], names=["doc_id", "stats"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, stats array<float>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_arrow, run, f"doc_id {kind}, stats array<float>")
 
 
 class Kernel:
@@ -128,8 +128,8 @@ def _sums(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
                 total += np.frombuffer(x.as_py()).reshape(size, size + 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    parts = train.select("stats", "label").mapInArrow(partial, "total binary")
-    level = parts.repartition(8).mapInArrow(add, "total binary")
+    parts = train.select("stats", "label").transform(in_arrow, partial, "total binary")
+    level = parts.repartition(8).transform(in_arrow, add, "total binary")
     total = sum(np.frombuffer(bytes(r["total"])).reshape(size, size + 1) for r in level.collect())
     return total[:, :size], total[:, size]
 
@@ -175,7 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     held = train.where("calibrates")
     held = held if not held.isEmpty() else train
-    bins = held.select("stats", "label").mapInArrow(binned, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    bins = held.select("stats", "label").transform(in_arrow, binned, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
     at = np.array(sorted((r["bin"], r["good"], r["n"]) for r in bins.collect()), float)  # at most BINS rows
     kernel.knots = isotonic((at[:, 0] + 0.5) * 2 / BINS - 0.5, at[:, 1], at[:, 2])
     return kernel
@@ -190,7 +190,7 @@ def score(stats: DataFrame, kernel: Kernel | None) -> DataFrame:
             got = kernel.apply(_stats_of(b, 1)) if kernel else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
+    return stats.select("doc_id", "stats").transform(in_arrow, run, f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
             got = kernel.apply(stats) if kernel else np.full(len(stats), 0.5)
             yield b.filter(pa.array(got >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

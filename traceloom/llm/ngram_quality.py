@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import label_sample
+from traceloom.llm.common import in_arrow, label_sample
 
 PER_CLASS = 1500
 BITS = 12
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     texts = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text"))
     held = F.crc32(F.concat(F.lit("platt:"), F.col("doc_id").cast("string"))) % 5 == 0
     picked = texts.join(F.broadcast(sample.withColumn("held", held)), F.col("text_id") == F.col("doc_id"))
-    got = picked.select("label", "held", "text").mapInArrow(run, "label int, held boolean, at array<int>, value array<float>").toArrow().combine_chunks()
+    got = picked.select("label", "held", "text").transform(in_arrow, run, "label int, held boolean, at array<int>, value array<float>").toArrow().combine_chunks()
     y, held = got.column("label").to_numpy().astype(np.float32), got.column("held").to_numpy(zero_copy_only=False).astype(bool)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -176,4 +176,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     NAMES = ["doc_id", *names, "base_failed", "kept", "probability"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, kept boolean, probability double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_arrow, run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, kept boolean, probability double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import grammar
-from traceloom.llm.common import shared_dir
+from traceloom.llm.common import in_arrow, shared_dir
 from traceloom.llm.word_tokens import WordTokenizer
 
 END = 1
@@ -51,7 +51,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None
             at = np.searchsorted(cuts, b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), ids], names=["shard", "doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, "shard int, doc_id long, ids binary")
 
 
 def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_chars: int = SHARD_CHARS, block_ids: int = BLOCK_IDS) -> None:
@@ -97,7 +97,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
         if held:
             yield flush()
 
-    ids.mapInArrow(run, BLOCK_SCHEMA).write.parquet(to)
+    ids.transform(in_arrow, run, BLOCK_SCHEMA).write.parquet(to)
 
 
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, sizes array<long>, terminals int, rules binary, lengths binary, width int, symbols binary"
@@ -134,7 +134,7 @@ def _documents(spark: SparkSession, at: str, digest, kind: pa.DataType, ddl: str
                 first = before[row["shard"]] + row["first"]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + first), pa.array(row["sizes"], pa.int64()), pa.array(out, kind)], names=["doc_id", "start", "n_tokens", name])
 
-    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {ddl}")
+    return blocks.transform(in_arrow, run, f"doc_id long, start long, n_tokens long, {ddl}")
 
 
 def document_ids(spark: SparkSession, at: str, doc_id: int) -> list[np.ndarray]:

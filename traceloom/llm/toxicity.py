@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import id_remainder, label_sample
+from traceloom.llm.common import id_remainder, in_arrow, label_sample
 
 PER_CLASS = 4000
 HASH_BITS = 21
@@ -95,7 +95,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, terms: frozenset[str]) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["label", "feats", "terms"])
 
     picked = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("text_id") == F.col("doc_id"))
-    return picked.select("label", "text").mapInArrow(run, "label int, feats array<int>, terms array<string>").toArrow()
+    return picked.select("label", "text").transform(in_arrow, run, "label int, feats array<int>, terms array<string>").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = PER_CLASS, groups=IDENTITY_TERMS, fairness: float = 20.0, sparsity: float = 1e-4, steps: int = 800) -> LexicalModel:
@@ -171,5 +171,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
             got = [model.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_arrow, run, f"doc_id {kind}, score double")
     return got.select("doc_id", (id_remainder("doc_id", folds) == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
