@@ -1,0 +1,86 @@
+import random
+import sys
+from collections import Counter
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_decontaminate import plain_leaks  # noqa: E402
+from test_mixing import expected  # noqa: E402
+from test_quality import CLEAN, sentence  # noqa: E402
+from test_simhash import DOCS, plain_fingerprint, plain_groups  # noqa: E402
+from test_token_files import plain  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from traceloom.llm import kernel_quality  # noqa: E402
+from traceloom.llm.queries import MIX_WEIGHTS, tokenizer_path  # noqa: E402
+
+
+def tables(spark, to):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, 30)) for i in range(4)]
+    rows, labels = [], []
+    for i in range(200):
+        good = i % 5 != 0
+        text = sentence(rng, 70, CLEAN + [f"w{k}" for k in range(80)])
+        if not good:
+            text = " ".join(w + "###" for w in text.split())
+        elif i % 7 == 0:
+            text += " " + items[i % 4][1]
+        rows.append((i, text, "en", f"src{i % 6}", len(text)))
+        labels.append((i, int(good), 0))
+    rows += [(300 + i, rows[i + 1][1], "en", "src0", 1) for i in range(8)]  # copies
+    rows += [(400, rows[1][1] + " end", None, None, None), (401, None, "en", "src1", 0), (402, "", "en", "src1", 0), rows[3], (None, "one more " + sentence(rng, 60), "de", "src2", 5)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    return items
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    data = f"file://{tmp_path}/data"
+    items = tables(spark, data)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, data)
+        if i < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{data}/stage{i}")
+        kept.append((docs, spark.read.parquet(f"{data}/stage{i}")))
+        docs = kept[-1][1]
+
+    before, after = kept[0]
+    judged = kernel_quality.quality_scores(before, spark.read.parquet(f"{data}/labels.parquet"))
+    assert Counter(r.doc_id for r in after.collect()) == Counter(r.doc_id for r in judged.where("predicted = 1").collect())
+    assert 140 < after.count() < 185
+
+    before, after = kept[1]
+    rows = list(before.collect())
+    groups = plain_groups([(r.doc_id, plain_fingerprint(r.text)) for r in rows])
+    firsts = {(r.doc_id, plain_fingerprint(r.text)) for r, g in zip(rows, groups) if r.doc_id == g}
+    assert sorted((str(r.doc_id), plain_fingerprint(r.text)) for r in after.collect()) == sorted((str(d), f) for d, f in firsts)
+    assert after.count() < before.count()
+
+    before, after = kept[2]
+    want = Counter({r: n for r, n in rows_of(before).items() if not plain_leaks(r[1], items)})
+    assert rows_of(after) == want and after.count() < before.count()
+
+    before, after = kept[3]
+    assert rows_of(after) == expected([tuple(r) for r in before.collect()], MIX_WEIGHTS)
+
+    before, after = kept[4]
+    assert sorted(map(tuple, after.collect()), key=lambda r: r[1]) == plain([(r.doc_id, r.text) for r in before.collect()], tokenizer_path())
+
+    assert rows_of(corpus_pipeline.run(spark, data)) == rows_of(after)
+
+
+def test_empty_tables(spark, tmp_path):
+    data = f"file://{tmp_path}/data"
+    tables(spark, data)
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
