@@ -11,19 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _tagged(lines: DataFrame, keys: list[str], side: str) -> DataFrame:
-    valid = F.col("is_valid") if "is_valid" in lines.columns else F.lit(True)
-    return lines.select(*keys, F.col("line_no").cast("int").alias("line_no"), F.lit(side).alias("side"), F.col("value").cast("string").alias("value"), valid.alias("valid"))
-
-
 def aligned(keys: list[str], **sides: DataFrame) -> DataFrame:
-    """One row per key and line: has_<side>, <side> and <side>_valid. A union and an aggregate: no join, no duplicate rows."""
-    rows = None
+    """One row per key and line that any side has: has_<side>, <side> and <side>_valid.
+
+    Full outer joins, as each side has a line once: both sides are shuffled and sorted once, which an aggregate of texts
+    over their union would do twice. Keys are not null.
+    """
+    out = None
     for name, lines in sides.items():
-        part = _tagged(lines, keys, name)
-        rows = part if rows is None else rows.unionAll(part)
-    of = lambda name, column: F.max(F.when(F.col("side") == name, F.col(column)))
-    return rows.groupBy(*keys, "line_no").agg(*[x for n in sides for x in (F.coalesce(of(n, "side").isNotNull(), F.lit(False)).alias(f"has_{n}"), of(n, "value").alias(n), of(n, "valid").alias(f"{n}_valid"))])
+        valid = F.col("is_valid") if "is_valid" in lines.columns else F.lit(True)
+        part = lines.select(*keys, F.col("line_no").cast("int").alias("line_no"), F.lit(True).alias(f"has_{name}"), F.col("value").cast("string").alias(name), valid.alias(f"{name}_valid"))
+        out = part if out is None else out.join(part, [*keys, "line_no"], "full")
+    return out.withColumns({f"has_{n}": F.coalesce(f"has_{n}", F.lit(False)) for n in sides})
 
 
 def status_of(same: Column, total: Column) -> Column:
@@ -123,20 +122,18 @@ def examples(keys: list[str], k: int, original: DataFrame, inputs: DataFrame, mu
     return lines.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", "line_no", "input", *[c for c in ("original", "mutated") if c in sides])
 
 
-def whole_outputs(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and values: the lines in order as an array; nulls kept."""
-    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("v")).select(*keys, F.transform("v", lambda x: x["value"]).alias("values"))
-
-
 def validate(original: DataFrame, mutant: DataFrame, keys: list[str], equivalent: bool) -> DataFrame:
     """A verdict for each task of the original: passed, different_result / same_result, or missing_result.
 
-    An equivalent mutant passes with the same lines, a non-equivalent one with different lines.
+    An equivalent mutant passes with the same lines, a non-equivalent one with different lines. Lines are counted, not
+    gathered, so a task of any length is compared.
     """
-    o, m = whole_outputs(original, keys).withColumnRenamed("values", "o"), whole_outputs(mutant, keys).withColumnRenamed("values", "m")
-    same = F.col("o").eqNullSafe(F.col("m"))
-    reason = F.when(F.col("m").isNull(), "missing_result").when(same if equivalent else ~same, "passed").otherwise("different_result" if equivalent else "same_result")
-    return o.join(m, keys, "left").select(*keys, reason.alias("reason"))
+    lines = aligned(keys, orig=original, mut=mutant)
+    both = F.col("has_orig") & F.col("has_mut") & F.col("orig").eqNullSafe(F.col("mut"))
+    tasks = lines.groupBy(*keys).agg(F.count_if("has_orig").alias("n_orig"), F.count_if("has_mut").alias("n_mut"), F.count_if(~both).alias("n_differ")).where("n_orig > 0")
+    same = F.col("n_differ") == 0
+    reason = F.when(F.col("n_mut") == 0, "missing_result").when(same if equivalent else ~same, "passed").otherwise("different_result" if equivalent else "same_result")
+    return tasks.select(*keys, reason.alias("reason"))
 
 
 def validation_summary(verdicts: DataFrame, by: list[str]) -> DataFrame:

@@ -137,12 +137,12 @@ def validation_failures(spark, sf_dir):
     return compare.failures(compare.validate(*A.line_pair(spark, sf_dir), ["task"], equivalent=True))
 
 
-@query("WITH " + A.PAIR_SQL + """, c AS (SELECT task, coalesce(t.value, '') <> coalesce(p.value, '') AS is_valid FROM truth t FULL JOIN pred p USING (task, line_no) WHERE task % 7 <> 0),
+@query("WITH " + A.PAIR_SQL + """, c AS (SELECT task, coalesce(t.value, '') <> coalesce(p.value, '') AS is_valid FROM truth t FULL JOIN pred p USING (task, line_no) WHERE task IN (SELECT task FROM truth)),
     l AS (SELECT task, bool_or(is_valid) AS v FROM c GROUP BY task), r AS (SELECT DISTINCT task, 1 AS ran FROM pred)
     SELECT task, problem FROM (SELECT o_orderkey AS task, CASE WHEN ran IS NULL THEN 'failed_or_timeout' WHEN v IS NULL THEN 'empty_compare' WHEN NOT v THEN 'fully_same' END AS problem FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN r ON r.task = o_orderkey LEFT JOIN l ON l.task = o_orderkey) WHERE problem IS NOT NULL""")
 def problem_tasks(spark, sf_dir):
     truth, pred = A.line_pair(spark, sf_dir)
-    compared = compare.compare_lines(truth, pred, ["task"]).where("task % 7 <> 0")
+    compared = compare.compare_lines(truth, pred, ["task"]).join(truth.select("task").distinct(), "task", "left_semi")
     return compare.problem_tasks(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), pred, compared, ["task"])
 
 
@@ -158,9 +158,9 @@ def missing_tasks(spark, sf_dir):
     return compare.missing_from(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), done, ["task"])
 
 
-@query("SELECT o_orderkey AS task, mode, status FROM orders, (VALUES ('original'), ('equivalent'), ('non_equivalent')) m(mode), (VALUES ('correct'), ('error')) s(status) WHERE o_orderkey % 100 = 1 AND NOT (mode = 'original' AND status = CASE o_orderstatus WHEN 'F' THEN 'correct' ELSE 'error' END)")
+@query("SELECT o_orderkey AS task, mode, status FROM orders, (VALUES ('original'), ('equivalent'), ('non_equivalent')) m(mode), (VALUES ('correct'), ('error')) s(status) WHERE NOT (mode = 'original' AND status = CASE o_orderstatus WHEN 'F' THEN 'correct' ELSE 'error' END)")
 def resume_pending(spark, sf_dir):
-    orders = A.table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1")
+    orders = A.table(spark, sf_dir, "orders")
     done = orders.select(F.col("o_orderkey").alias("task"), F.lit("original").alias("mode"), F.when(F.col("o_orderstatus") == "F", "correct").otherwise("error").alias("status"))
     return compare.missing_from(modes.job_matrix(orders.select(F.col("o_orderkey").alias("task"))), done, ["task", "mode", "status"])
 
@@ -348,11 +348,19 @@ def deterministic_sample(spark, sf_dir):
     return sequence.sampled(A.table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", 5, 13).select("source", "doc_id", "sample_rank")
 
 
-@query("SELECT task_id, (row_number() OVER (ORDER BY doc_id))::INTEGER AS by_number, (row_number() OVER (ORDER BY task_id))::INTEGER AS by_text FROM (SELECT doc_id, 'task_' || doc_id AS task_id FROM documents WHERE doc_id < 200)")
+_TOP = "SELECT * FROM (SELECT '{name}' AS ordering, (row_number() OVER (ORDER BY {by}))::INTEGER AS rank, task_id FROM (SELECT doc_id, 'task_' || doc_id AS task_id FROM documents)) WHERE rank <= 100"
+
+
+@query(_TOP.format(name="number", by="doc_id") + " UNION ALL " + _TOP.format(name="text", by="task_id"))
 def numeric_task_order_topk(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").where("doc_id < 200").select(F.concat(F.lit("task_"), F.col("doc_id").cast("string")).alias("task_id"))
-    ids = rows.groupBy().agg(F.array_join(F.collect_list("task_id"), ",").alias("raw")).select(text.task_ids(F.col("raw")).alias("ids"), F.array_sort(F.split("raw", ",")).alias("texts"))
-    return ids.select(F.posexplode("ids").alias("n", "task_id"), "texts").select("task_id", (F.col("n") + 1).alias("by_number"), F.array_position("texts", F.col("task_id")).cast("int").alias("by_text"))
+    """The first 100 tasks by number and by text: two limits after sorts, ranked within what they keep."""
+    rows = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("task_"), F.col("doc_id").cast("string")).alias("task_id"))
+    out = None
+    for name, order in (("number", text.task_number(F.col("task_id"))), ("text", F.col("task_id"))):
+        top = rows.orderBy(order, "task_id").limit(100)
+        part = top.select(F.lit(name).alias("ordering"), F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(order, "task_id")).alias("rank"), "task_id")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query("SELECT conv_id::VARCHAR AS task_id, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'fixed' ELSE 'failed' END AS status, count(*) AS attempts, min(turn) FILTER (role = 'assistant')::INTEGER AS accepted_at, array_to_string(list_sort(list(DISTINCT role)), ',') AS reasons, count(*) FILTER (role = 'assistant') > 0 AS fixed FROM conversations GROUP BY conv_id")
