@@ -103,6 +103,12 @@ def test_arity(spark, literal, n):
     assert one(spark, text.literal_arity(F.col("c")), c=literal) == n == programs.arity(literal)
 
 
+def test_long_texts_end(spark):
+    long = "x" + " " * 200_000 + "y" + " " * 200_000
+    assert one(spark, text.strip(F.col("c")), c=long) == long.rstrip()
+    assert one(spark, text.literal_arity(F.col("c")), c="['" + "a\\'" * 3000 + "', \"" + "b" * 200_000 + "\"]") == 2
+
+
 def test_percent_and_dictionary(spark):
     assert spark.range(1).select(text.percent(F.lit(1), F.lit(3)).alias("x")).first().x == "33.33%"
     assert spark.range(1).select(text.percent(F.lit(1), F.lit(0)).alias("x")).first().x == "n/a"

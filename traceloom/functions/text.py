@@ -10,8 +10,8 @@ OUTPUT_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
-    """White space of all of Unicode off both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """White space of all of Unicode off both ends; a run of it is tried from its start alone, so long runs cost no more."""
+    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
 
 
 def file_lines(c: Column, ends: str = "\r\n|\r|\n") -> Column:
@@ -120,7 +120,7 @@ def literal_arity(literal: Column) -> Column:
     body = F.regexp_extract(literal, r"(?s)^\s*[\[(](.*?),?\s*[\])]\s*$", 1)
     flat = body
     for _ in range(8):  # inner brackets and strings fold up from within
-        flat = F.regexp_replace(flat, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "0")
+        flat = F.regexp_replace(flat, r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "0")
     return F.when(~literal.rlike(r"(?s)^\s*[\[(].*[\])]\s*$"), 1).when(strip(body) == "", 0).otherwise(F.size(F.split(flat, ",")))
 
 
