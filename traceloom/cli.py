@@ -7,6 +7,10 @@
     python -m traceloom execute --scripts DIR [--timeout 30] [--limit N] [--overwrite] --out DIR
     python -m traceloom trace --scripts DIR [--timeout 30] --out DIR
     python -m traceloom blocks --scripts DIR --out DIR
+    python -m traceloom load --tasks FILE --out DIR [--sample-size 10] [--seed 0] [--limit N]
+    python -m traceloom splice --tasks FILE --out DIR
+    python -m traceloom predict --scripts DIR --answers DIR --out DIR [--kind output|variables]
+    python -m traceloom problems --results DIR --compared DIR --tasks FILE
     python -m traceloom validate --original DIR --mutant DIR [--non-equivalent] [--include-missing]
 """
 
@@ -17,6 +21,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from traceloom import modes
+from traceloom.functions import prompts, text
 from traceloom.operators import compare, execute, programs, sequence
 from traceloom.plans.catalogue import ORACLES, QUERIES
 from traceloom.session import session
@@ -48,6 +53,29 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--task", action="append")
         x.add_argument("--overwrite", action="store_true")
         x.add_argument("--out", required=True)
+    for name in ("load", "splice"):
+        t = sub.add_parser(name)
+        t.add_argument("--tasks", required=True)
+        t.add_argument("--out", required=True)
+        t.add_argument("--sample-size", type=int, default=10)
+        t.add_argument("--seed", type=int, default=0)
+        t.add_argument("--limit", type=int)
+        t.add_argument("--overwrite", action="store_true")
+    r = sub.add_parser("predict")
+    r.add_argument("--scripts", required=True)
+    r.add_argument("--glob", default="*.py")
+    r.add_argument("--answers", required=True, help="folder of task_*.txt files that a replay answers with")
+    r.add_argument("--kind", choices=["output", "variables"], default="output")
+    r.add_argument("--tries", type=int, default=1)
+    r.add_argument("--workers", type=int)
+    r.add_argument("--limit", type=int)
+    r.add_argument("--task", action="append")
+    r.add_argument("--overwrite", action="store_true")
+    r.add_argument("--out", required=True)
+    d = sub.add_parser("problems")
+    d.add_argument("--tasks", required=True)
+    d.add_argument("--results", required=True)
+    d.add_argument("--compared", required=True)
     v = sub.add_parser("validate")
     v.add_argument("--original", required=True)
     v.add_argument("--mutant", required=True)
@@ -98,6 +126,27 @@ def main(argv: list[str] | None = None) -> None:
         sinks.resume(found, args.out, ["task_id"], overwrite=args.overwrite).groupBy("task_id").count().show()
     elif args.command == "blocks":
         sinks.resume(programs.cfg_blocks(_scripts(spark, args), ["task_id"], "script"), args.out, ["task_id"], overwrite=args.overwrite).groupBy("block_type").count().show()
+    elif args.command in ("load", "splice"):
+        rows = files.tasks(spark, args.tasks)
+        rows = rows.orderBy("task_num").limit(args.limit) if args.limit else rows
+        fields = rows.withColumn("test", text.test_field(F.col("test")))
+        inputs = sequence.sampled(programs.test_inputs(fields, ["task_id"]), ["task_id"], "line_no", args.sample_size, args.seed).drop("sample_rank")
+        if args.command == "load":
+            sinks.resume(inputs, args.out, ["task_id"], overwrite=args.overwrite).groupBy("task_id").count().show()
+        else:
+            named = rows.join(programs.entry_names(rows, ["task_id"]), "task_id")
+            sinks.resume(execute.spliced(named, inputs, ["task_id"]), args.out, ["task_id"], overwrite=args.overwrite).groupBy(F.col("script").isNull().alias("no_function")).count().show()
+    elif args.command == "predict":
+        ask = prompts.predict_output if args.kind == "output" else prompts.predict_variables
+        asked = _scripts(spark, args).select("task_id", ask(F.col("script")).alias("prompt"))
+        answers = files.whole_texts(spark, args.answers, "task_*.txt").select("task_id", F.col("text").alias("answer"))
+        # stored answers are a table like any other: joined to the questions, not collected
+        replies = asked.join(answers, "task_id", "left").select("task_id", F.when(F.coalesce("answer", F.lit("")) == "", "empty").otherwise("ok").alias("status"), text.result_block(F.col("answer")).alias("result"))
+        sinks.resume(replies, args.out, ["task_id"], overwrite=args.overwrite).groupBy("status").count().show()
+    elif args.command == "problems":
+        results = files.result_lines(spark, args.results, "*.txt", "", "local")
+        compared = files.marked_valid(files.result_lines(spark, args.compared, "*.txt", "", "compare"))
+        compare.problem_tasks(files.tasks(spark, args.tasks), results, compared, ["task_id"]).orderBy("problem", "task_id").show(100, truncate=False)
     elif args.command == "validate":
         original, mutant = (files.result_lines(spark, d, "*.txt", "", "local") for d in (args.original, args.mutant))
         verdicts = compare.validate(original, mutant, ["task_id"], equivalent=not args.non_equivalent)

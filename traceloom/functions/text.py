@@ -167,6 +167,31 @@ def code_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def up_to(task_id: Column, most: int) -> Column:
+    """Whether a task's number is at most that; tasks without a number are in."""
+    return F.coalesce(task_number(task_id) <= most, F.lit(True))
+
+
+def none_of(c: Column, parts: list[str]) -> Column:
+    """Whether a name has none of the parts in it."""
+    keep = F.lit(True)
+    for p in parts:
+        keep = keep & ~F.contains(c, F.lit(p))
+    return keep
+
+
+def shown(items: Column, most: int = 30) -> Column:
+    """The first items, comma-joined, and how many more there are."""
+    more = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, F.lit(1), F.lit(most)), ", "), F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def block_trace_lines(path: Column, variable: Column, values: Column) -> Column:
+    """A block trace as its two lines: quoted blocks, then the variable's values as they are."""
+    quoted = F.transform(path, lambda b: F.concat(F.lit("'"), b, F.lit("'")))
+    return F.concat(F.lit("'block_sequence': ["), F.array_join(quoted, ", "), F.lit("]\n'"), variable, F.lit("': ["), F.array_join(values, ", "), F.lit("]\n"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Two places and a percent sign; n/a of nothing."""
     return F.when(whole == 0, "n/a").otherwise(F.format_string("%.2f%%", 100.0 * part / whole))

@@ -33,7 +33,8 @@ def compare_outputs(truth: DataFrame, predicted: DataFrame, keys: list[str], tru
     """Tally of each predicted task: status, same_count, total_count, missing_lines, extra_lines, diff_lines.
 
     Truth lines whose is_valid is false are no cases. Predicted lines beyond the truth are counted only. A task without
-    truth is a missing_file (with truth_tasks, the keys that have a truth file, an empty file is no missing one). Tasks
+    truth is a missing_file (with truth_tasks, the keys whose truth and input files exist, an empty file is no missing one
+    and a missing input file counts). Tasks
     without a prediction are left out, unless include_unpredicted.
     """
     lines = aligned(keys, truth=truth, pred=predicted)

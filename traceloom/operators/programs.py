@@ -109,3 +109,21 @@ def cfg_json(blocks: DataFrame, keys: list[str], output_var: str = "result") ->
     fields = [x.split()[0] for x in CFG_BLOCKS.split(", ")]
     entry = F.struct(F.col("block_id").alias("key"), F.struct(*fields).alias("value"))
     return blocks.groupBy(*keys).agg(F.to_json(F.struct(F.lit(output_var).alias("output_var"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("blocks"))).alias("json"))
+
+
+def stored_or_built(tasks: DataFrame, stored: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """keys, cfg: the text of a stored graph (keys, cfg) where there is one, else of the graph built from the code."""
+    missing = tasks.join(stored.select(*keys), keys, "left_anti")
+    return stored.select(*keys, "cfg").unionByName(cfg_text(cfg_blocks(missing, keys, code), keys))
+
+
+def with_new_inputs(tasks: DataFrame, inputs: DataFrame, keys: list[str], script: str = "script") -> DataFrame:
+    """keys, script: scripts whose assignment to inputs is replaced by the literals of inputs (line_no, literal); null where they have none."""
+    lists = inputs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "literal"))), lambda x: x["literal"]).alias("literals"))
+    rows = tasks.join(lists, keys)
+
+    @F.pandas_udf("string")
+    def swapped(code: pd.Series, literals: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else programs.with_inputs(c, list(x)) for c, x in zip(code, literals, strict=True)], dtype=object)
+
+    return rows.select(*keys, swapped(F.col(script), F.col("literals")).alias("script"))
