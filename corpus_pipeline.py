@@ -32,7 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.poisson_mix(docs, MIX_WEIGHTS).select(docs.columns)
+    return mixing.mixed_rows(docs, MIX_WEIGHTS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

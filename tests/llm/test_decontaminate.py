@@ -95,7 +95,7 @@ def cases():
 def test_against_plain_python(spark, broadcast_rows):
     items, docs = cases()
     rows = [(i, t) for i, t in enumerate(docs)] + [(3, docs[3]), (None, docs[21])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS h", "3 AS row_key", "4 AS pos")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS h", "3 AS row_key", "4 AS pos", "5 AS leaking_row_key", "map('k', 1) AS `odd name`")
     bench = spark.createDataFrame([*items, (99, None), (None, docs[0])], "item_id long, text string")
     got = sorted((str(r.doc_id), r.contaminated, r.item_id, r.n_items, r.n_matched) for r in D.contamination(df, bench, broadcast_rows=broadcast_rows).collect())
     want = []

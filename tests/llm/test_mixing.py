@@ -57,5 +57,13 @@ def test_large_tables_of_sources_are_joined(spark, monkeypatch):
     assert Counter((r.doc_id, r.copy) for r in mixing.poisson_mix(docs, {}).collect()) == small
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "a", 1) for i in range(50)], DOCS).selectExpr("*", "7 AS copy", "8 AS mix_at", "9 AS cdf", "1 AS row", "map('k', 1) AS `odd name`", "5 AS mix_source", "3 AS draws", "2 AS n")
+    mixed = mixing.poisson_mix(docs, {"a": 2.0}, epochs=2.0)
+    assert {r.copy for r in mixed.collect()} != {7} and mixed.where("cdf = 9").count() == mixed.count()
+    rows = mixing.mixed_rows(docs, {"a": 2.0}, epochs=2.0)
+    assert rows.columns == docs.columns and rows.where("copy = 7").count() == mixed.count()
+
+
 def test_empty(spark):
     assert mixing.poisson_mix(spark.createDataFrame([], DOCS), {"a": 1.0}).count() == 0

@@ -85,7 +85,7 @@ def test_groups_match_brute_force_with_odd_rows(spark):
             w[rng.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
     rows = [(100 - i, t, "en", "s", None) for i, t in enumerate(texts)] + [(None, base[0], None, None, 0), (None, "alone here", None, None, 0), (7, base[1], None, None, 1), (7, base[1], None, None, 1)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS key", "4 AS root")
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS key", "4 AS root", "5 AS kept_id", "6 AS again_id", "map('k', 1) AS `odd name`", "7 AS row")
     got = sorted((str(r.doc_id), r.fp & (2**64 - 1), r.component_id or -1) for r in simhash.simhash_groups(docs).collect())
     fps = [(r[0], plain_fingerprint(r[1])) for r in rows]
     assert got == sorted((str(d), f, c or -1) for (d, f), c in zip(fps, plain_groups(fps)))

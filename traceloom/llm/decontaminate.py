@@ -117,7 +117,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows that leak an item of the benchmark."""
     keyed = docs.select("text", row_key(docs).alias("row_key"))
     found = leaks(keyed, benchmark, **options).select(F.col("row_key").alias("leaking_row_key")).distinct()
-    return docs.join(found, row_key(docs) == F.col("leaking_row_key"), "left_anti").select(docs.columns)
+    return docs.join(found, row_key(docs) == found["leaking_row_key"], "left_anti")
 
 
 def contamination_sql(docs: str = "documents", benchmark: str = "benchmark", window: int = WINDOW, matches: int = MATCHES, literals: int = LITERALS) -> str:

@@ -51,23 +51,35 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs
     return F.broadcast(table) if sources <= BROADCAST_SOURCES else table
 
 
+def _mixed(docs: DataFrame, weights: dict[str, float], other: float, epochs: float, seed: int) -> DataFrame:
+    """(row, copy, mix_at): docs' rows as structs, so that no name of theirs can clash with those used here."""
+    table = rates(docs, weights, other, epochs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_key"))
+    rows = rows.join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
+    draw = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col("mix_id"), j)))
+    first = F.col("draws") == 1
+    count = F.when(first, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, j: n + draw(j)))
+    rows = rows.withColumn("mix_n", count).where("mix_n > 0")
+    rows = rows.select("row", "mix_id", F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy"))
+    rows = rows.select("row", "copy", F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("copy")).alias("mix_at"))
+    return rows.repartition(F.col("mix_at")).sortWithinPartitions("mix_at")
+
+
 def poisson_mix(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs: float = 1.0, seed: int = 11) -> DataFrame:
     """docs with each row repeated by its Poisson count, and the columns copy (1, 2, ...) and mix_at (place of the shuffle).
 
     weights: target share of each source, in any unit; sources that it doesn't name have the share other, a null source
     too. A share of zero removes a source. epochs: size of the result as a multiple of the rows. Rows that repeat a
-    doc_id repeat its count; a null id draws as 'null'. Texts play no part. Empty docs give no rows. docs must not have
-    columns named copy, mix_at, mix_source, draws or cdf.
+    doc_id repeat its count; a null id draws as 'null'. Texts play no part. Empty docs give no rows. Columns of docs that
+    are called copy or mix_at give way to the new ones; mixed_rows() keeps them.
     """
-    table = rates(docs, weights, other, epochs)
-    rows = docs.withColumn("mix_key", F.col("source").cast("string")).join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
-    draw = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col("doc_id"), j)))
-    first = F.col("draws") == 1
-    count = F.when(first, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, j: n + draw(j)))
-    rows = rows.withColumn("mix_n", count).where("mix_n > 0")
-    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy"))
-    rows = rows.withColumn("mix_at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")))
-    return rows.repartition(F.col("mix_at")).sortWithinPartitions("mix_at")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copy", "mix_at")]
+    return _mixed(docs, weights, other, epochs, seed).select(*own, "copy", "mix_at")
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs: float = 1.0, seed: int = 11) -> DataFrame:
+    """poisson_mix() with the columns of docs alone."""
+    return _mixed(docs, weights, other, epochs, seed).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mixing_sql(weights: dict[str, float], other: float = 1.0, epochs: float = 1.0, seed: int = 11, docs: str = "documents", columns: str = "doc_id, source, lang, n_chars, text") -> str:
