@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from traceloom.llm.common import in_arrow, stored
 
@@ -53,7 +54,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of docs; fp as a signed long. Null and wordless texts have fingerprint 0."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    out = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, out)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -84,7 +85,9 @@ def shared(index: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b): distinct links between different fingerprints that connect all those within two bits."""
-    found = stored(shared(variants(fps)), "simhash-variants")
+    # every row becomes 64: spread the few bytes of the fingerprints first, or few tasks make all of the index
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = stored(shared(variants(spread)), "simhash-variants")
     lists = found.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most crowd each
     pairs = lists.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
     near = pairs.where(f"a < b AND bit_count(a ^ b) <= {MAX_BITS}")
@@ -140,13 +143,16 @@ def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     groups = stored(simhash_groups(docs, crowd=crowd), "simhash-result")
     keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
     ids = stored(keepers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "simhash-kept")
-    once = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = ids.where("n > 1 OR doc_id IS NULL")
-    if again.isEmpty() and docs.where("doc_id IS NULL").isEmpty():
-        return once.select(docs.columns)
-    rest = docs.join(again.select(F.col("doc_id").alias("again_id")), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi")
+    one = ids.where("n = 1").select(F.col("doc_id").alias("kept_id"))
+    once = docs.join(one, docs["doc_id"] == one["kept_id"], "left_semi")
+    again = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again_id"))
+    if again.isEmpty():
+        return once
+    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["again_id"]), "left_semi")
     # rows of one id: of those with the same fingerprint the first text stays
-    marked = fingerprints(rest.select(F.struct(*rest.columns).alias("doc_id"), "text"))
-    first = marked.groupBy(F.col("doc_id.doc_id").alias("id"), "fp").agg(F.min("doc_id").alias("doc"))
-    first = first.join(keepers.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
-    return once.select(docs.columns).unionAll(first.select("doc.*").select(docs.columns))
+    whole = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    marked = fingerprints(whole, "row", "text").select(F.col("doc_id").alias("row"), F.col("doc_id.doc_id").alias("id"), "fp")
+    first = marked.groupBy("id", "fp").agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
+    kept = keepers.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
+    first = first.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    return once.unionAll(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
