@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
     limits: list[int] = []
     if shards > 1:
         places = [i / shards for i in range(1, shards)]
-        limits = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), places, 100 * shards)).first()[0] or []))
+        limits = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), places, max(10_000, 20 * shards))).first()[0] or []))
     ids = encoded(docs, path, end, limits).repartitionById(len(limits) + 1, F.col("shard"))
     ids = ids.sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
 
