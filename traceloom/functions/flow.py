@@ -11,8 +11,7 @@ import ast
 import dataclasses
 from collections.abc import Iterable
 
-# The ranks of block types.
-RANKS = {"entry": 0, "normal": 1, "loop_head": 2, "loop_body": 3, "try": 3, "then": 4, "else": 4, "condition": 5, "return": 6}
+from traceloom.functions.patterns import BLOCK_RANKS as RANKS
 
 
 @dataclasses.dataclass

@@ -10,6 +10,8 @@ import json
 import math
 import re
 
+from traceloom.functions import patterns as P
+
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
@@ -43,7 +45,7 @@ def literal_value(text: str):
 
 def list_after_inputs(text: str) -> str | None:
     """The bracketed literal that follows the first 'inputs =', brackets matched and strings skipped; None if it doesn't close."""
-    start = re.search(r"\binputs\s*=", text)
+    start = re.search(P.INPUTS_ASSIGNMENT, text)
     at = text.find("[", start.end()) if start else -1
     if at < 0:
         return None
@@ -63,7 +65,7 @@ def list_after_inputs(text: str) -> str | None:
 
 def test_inputs(text: str) -> list[str]:
     """The inputs of a test as literals' texts; none if there is no list that can be read."""
-    shaped = re.search(r"inputs\s*=\s*(\[.*?\])\s*\nresults", text, re.S)
+    shaped = re.search(P.INPUTS_BEFORE_RESULTS, text)
     for found in (shaped and shaped[1], list_after_inputs(text)):
         if found:
             try:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.functions import patterns as P
+
 #: Line ends of a child's standard output: more than those of a text file.
 OUTPUT_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -30,7 +32,7 @@ def result_block(c: Column, empty: str = "ERROR: empty", fence: str | None = Non
 
     fence: another opening mark, such as a fenced block's, that ends at the next fence.
     """
-    pattern = r"(?s)<result>(.*?)</result>" if fence is None else rf"(?s)```{fence}(.*?)```"
+    pattern = P.RESULT_BLOCK if fence is None else rf"(?s)```{fence}(.*?)```"
     found = F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1)).otherwise(c)
     return F.when(c.isNull() | (c == ""), F.lit(empty)).otherwise(strip(found))
 
@@ -64,8 +66,8 @@ def as_strings(c: Column) -> Column:
 
 def output_variable(source: Column) -> Column:
     """The variable that a program builds its output in: result if it appends to or writes that, else the first name returned, else result."""
-    returned = F.regexp_extract(source, r"\breturn\s+(\w+)", 1)
-    builds = source.rlike(r"\bresult\s*\.?\s*append\b") | source.rlike(r"f\.write\(str\(result\)\)")
+    returned = F.regexp_extract(source, P.RETURNED_NAME, 1)
+    builds = source.rlike(P.APPENDS_TO_RESULT) | source.rlike(P.WRITES_RESULT)
     return F.when(builds | (returned == ""), "result").otherwise(returned)
 
 
@@ -82,16 +84,18 @@ def test_fields(c: Column) -> Column:
 
 def input_literal(test: Column) -> Column:
     """The list literal between 'inputs =' and a line of results; null if that shape isn't there."""
-    pattern = r"(?s)inputs\s*=\s*(\[.*?\])\s*\nresults"
-    return F.when(test.rlike(pattern), F.regexp_extract(test, pattern, 1))
+    return F.when(test.rlike(P.INPUTS_BEFORE_RESULTS), F.regexp_extract(test, P.INPUTS_BEFORE_RESULTS, 1))
 
 
 def routed_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of a test with their kind and routed text: results lines, loop heads, assertions (as appended results), others."""
     start = F.ltrim(strip(F.col("value")))
-    kind = F.when(F.startswith(start, F.lit("results")), "results").when(F.startswith(start, F.lit("for")), "loop").when(F.startswith(start, F.lit("assertion")), "assertion").otherwise("plain")
+    results, loop, assertion = (F.startswith(start, F.lit(w)) for w in P.ROUTED_WORDS)
+    kind = F.when(results, "results").when(loop, "loop").when(assertion, "assertion").otherwise("plain")
     v = F.col("value")
-    text = F.when(F.col("kind") == "results", F.substr(v, F.lit(11))).when(F.col("kind") == "loop", "result = []\nfor inp in inputs:").when(F.col("kind") == "assertion", F.concat(F.lit("    result.append("), F.substr(v, F.lit(15)), F.lit(")"))).otherwise(v)
+    rest = {k: F.substr(v, F.lit(n + 1)) for k, n in P.ROUTED_OFFSETS.items()}
+    call = F.concat(F.lit(P.APPENDED[0]), rest["assertion"], F.lit(P.APPENDED[1]))
+    text = F.when(F.col("kind") == "results", rest["results"]).when(F.col("kind") == "loop", P.LOOP_HEAD).when(F.col("kind") == "assertion", call).otherwise(v)
     return lines.withColumn("kind", kind).withColumn("routed", text)
 
 
@@ -144,7 +148,7 @@ def dictionary_lines(entries: Column) -> Column:
 def split_items(c: Column, kind: str = "output") -> Column:
     """Items of a text that came as one line: at white space, or for traces before each quoted name with a colon. More lines stay as they are."""
     lines = file_lines(c)
-    pattern = r"\s+" if kind == "output" else r"\s+(?='[^']+':)"
+    pattern = r"\s+" if kind == "output" else P.TRACE_ITEM_GAP
     return F.when(F.size(lines) == 1, F.filter(F.split(strip(c), pattern), lambda x: x != "")).otherwise(lines)
 
 

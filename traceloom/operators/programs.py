@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.functions import patterns as P
 from traceloom.functions import programs
 from traceloom.functions.flow import Flow
 from traceloom.schemas import CFG_BLOCKS
@@ -55,8 +56,8 @@ def callable_functions(functions_of: DataFrame, arities: DataFrame, preferred: D
 
 def entry_names(tasks: DataFrame, keys: list[str], test: str = "test", test_list: str = "test_list") -> DataFrame:
     """keys, preferred: the function of the last assertion, else of the last listed test that calls one."""
-    asserted = F.try_element_at(F.regexp_extract_all(F.coalesce(F.col(test), F.lit("")), F.lit(r"\bassertion\(\s*([A-Za-z_]\w*)\s*\("), F.lit(1)), F.lit(-1))
-    calls = F.transform(F.coalesce(F.col(test_list), F.array().cast("array<string>")), lambda t: F.regexp_extract(t, r"\b([A-Za-z_]\w*)\s*\(", 1))
+    asserted = F.try_element_at(F.regexp_extract_all(F.coalesce(F.col(test), F.lit("")), F.lit(P.ASSERTED_FUNCTION), F.lit(1)), F.lit(-1))
+    calls = F.transform(F.coalesce(F.col(test_list), F.array().cast("array<string>")), lambda t: F.regexp_extract(t, P.CALLED_NAME, 1))
     return tasks.select(*keys, F.coalesce(asserted, F.try_element_at(F.filter(calls, lambda x: x != ""), F.lit(-1))).alias("preferred"))
 
 
@@ -90,7 +91,7 @@ def cfg_edges(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def cfg_lines(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line_no, block_id: of the blocks that held a line the last, which outranks those before."""
-    rows = blocks.select(*keys, "block_id", F.substr("block_id", F.lit(2)).cast("int").alias("n"), F.explode("lines").alias("line_no"), F.when(F.col("block_type") == "entry", 0).when(F.col("block_type") == "normal", 1).when(F.col("block_type") == "loop_head", 2).when(F.col("block_type").isin("loop_body", "try"), 3).when(F.col("block_type").isin("then", "else"), 4).when(F.col("block_type") == "condition", 5).otherwise(6).alias("rank"))
+    rows = blocks.select(*keys, "block_id", F.substr("block_id", F.lit(2)).cast("int").alias("n"), F.explode("lines").alias("line_no"), F.create_map(*[F.lit(x) for pair in P.BLOCK_RANKS.items() for x in pair])[F.col("block_type")].alias("rank"))
     return rows.groupBy(*keys, "line_no").agg(F.max_by("block_id", F.struct(F.col("rank"), -F.col("n"))).alias("block_id"))
 
 

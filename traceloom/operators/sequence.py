@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.functions import patterns as P
+
 
 def traced(events: DataFrame) -> DataFrame:
     """Events of variables that are traced: no dunder names, inputs, functions or modules (column kind, if there is one)."""
-    kept = ~F.startswith("var", F.lit("__")) & ~F.col("var").isin("inputs", "inp")
+    kept = ~F.startswith("var", F.lit("__")) & ~F.col("var").isin(*P.UNTRACED_NAMES)
     if "kind" in events.columns:
         kept = kept & ~F.coalesce(F.col("kind").isin("callable", "module"), F.lit(False))
     return events.where(kept)
@@ -45,7 +47,7 @@ def block_steps(events: DataFrame, keys: list[str], order: str, block: str, max_
     return heads.withColumn("path_no", F.row_number().over(w))
 
 
-def capped(steps: DataFrame, keys: list[str], block: str, cap: int = 500, mark: str = "TRUNCATED") -> DataFrame:
+def capped(steps: DataFrame, keys: list[str], block: str, cap: int = P.MOST_BLOCKS, mark: str = P.TRUNCATED) -> DataFrame:
     """The first cap steps, and one step that says so where there were more."""
     more = steps.where(F.col("path_no") == cap + 1)
     others = [F.lit(None).cast(t).alias(c) for c, t in steps.dtypes if c not in (*keys, block, "path_no")]
@@ -63,7 +65,7 @@ def collected(rows: DataFrame, keys: list[str], order: str, value: str, out: str
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))
 
 
-def block_traces(events: DataFrame, keys: list[str], order: str, block: str, value: str, cap: int = 500, max_events: int | None = 5000) -> DataFrame:
+def block_traces(events: DataFrame, keys: list[str], order: str, block: str, value: str, cap: int = P.MOST_BLOCKS, max_events: int | None = P.MOST_LINE_EVENTS) -> DataFrame:
     """keys, block_sequence (capped), values and paired of an event table, from one pass over the kept steps."""
     w = Window.partitionBy(*keys).orderBy("path_no")
     steps = block_steps(events, keys, order, block, max_events)
@@ -73,7 +75,7 @@ def block_traces(events: DataFrame, keys: list[str], order: str, block: str, val
     kept = F.col("path_no") <= cap
     ordered = lambda cond, v: F.array_sort(F.collect_list(F.when(cond, F.struct("path_no", v))))
     out = steps.groupBy(*keys).agg(
-        F.transform(ordered(F.lit(True), F.when(kept, F.col(block)).otherwise("TRUNCATED").alias("v")), lambda x: x["v"]).alias("block_sequence"),
+        F.transform(ordered(F.lit(True), F.when(kept, F.col(block)).otherwise(P.TRUNCATED).alias("v")), lambda x: x["v"]).alias("block_sequence"),
         F.transform(ordered(kept & F.col("_new"), F.col("_text").alias("v")), lambda x: x["v"]).alias("values"),
         F.transform(ordered(kept, F.struct(F.col(block).alias("block"), F.col("_text").alias("value")).alias("v")), lambda x: x["v"]).alias("paired"),
     )
