@@ -6,7 +6,8 @@ counts and not over URLs. Level by level a node's children become one wildcard w
 about once each. Then siblings are merged whose smoothed share of blocked pages is alike (equal tenths), those without
 labelled pages among themselves. A merged template's purity is its share of blocked labelled pages, smoothed
 towards its parent's, and so on up to the host and to all hosts. Templates with labelled pages and a purity above
-``reject`` are rejected; what has no labelled pages is allowed.
+``reject`` are rejected. One without labelled pages has its parent's purity and is rejected only above ``sure``: where
+dozens of labelled pages around it are blocked and hardly any is allowed.
 
 All shuffles but the last are of counts, pre-aggregated; the last join brings a verdict per (host, shape) to the URLs,
 an equi-join in which adaptive execution splits a hot host, or broadcasts the verdicts if their measured size allows it.
@@ -26,6 +27,7 @@ MANY = 8
 SEEN = 3.0
 WEIGHT = 4.0
 REJECT = 0.5
+SURE = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,7 +88,7 @@ def purities(rows: DataFrame, levels: int = LEVELS, weight: float = WEIGHT) -> D
     return rows
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, levels: int = LEVELS) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int = LEVELS) -> DataFrame:
     """(page_id, host, path, rule, verdict, purity), one row per row of pages; purity is the tree's, for URLs without a rule too.
 
     A null URL or one without :// has an empty host and path, and is one of the tree's hosts like any other. Repeated rows
@@ -98,12 +100,12 @@ def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, levels:
     urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path"), levels).alias("shape"))
     counts = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = stored(counts, "url-counts")
-    judged = purities(templates(counts, levels), levels).select("host", "shape", "purity", ((F.col("own") > 0) & (F.col("purity") > reject)).alias("rejected"))
+    judged = purities(templates(counts, levels), levels).select("host", "shape", "purity", (F.col("purity") > F.when(F.col("own") > 0, reject).otherwise(sure)).alias("rejected"))
     out = urls.join(judged, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), F.round("purity", 6).alias("purity"))
 
 
-def url_sql(rules=RULES, reject: float = REJECT, levels: int = LEVELS, many: int = MANY, seen: float = SEEN, weight: float = WEIGHT, pages: str = "pages") -> str:
+def url_sql(rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int = LEVELS, many: int = MANY, seen: float = SEEN, weight: float = WEIGHT, pages: str = "pages") -> str:
     """DuckDB SQL for url_verdicts()."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
@@ -141,6 +143,6 @@ def url_sql(rules=RULES, reject: float = REJECT, levels: int = LEVELS, many: int
         FROM p{d} LEFT JOIN x{d} USING (host, {up}t{d})
     )"""
     return sql + f"""
-    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN own > 0 AND purity > {reject} THEN 'block' ELSE 'allow' END) AS verdict, round(purity::DOUBLE, 6) AS purity
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity > CASE WHEN own > 0 THEN {reject} ELSE {sure} END THEN 'block' ELSE 'allow' END) AS verdict, round(purity::DOUBLE, 6) AS purity
     FROM urls LEFT JOIN p{levels + 1} USING (host, shape)
     """
