@@ -75,7 +75,7 @@ def test_links_and_components(spark, crowd):
             assert (got.get(a, a) == got.get(signed[j], signed[j])) == (want[i] == want[j])
 
 
-def test_groups_match_brute_force_with_odd_rows(spark):
+def test_groups_match_brute_force_with_odd_rows(spark, monkeypatch):
     rng = random.Random(5)
     base = [" ".join(rng.choice("red blue green one two three four".split()) + str(rng.randrange(30)) for _ in range(300)) for _ in range(6)]
     texts = [None, "", " ", "x", "x y"] + base + base[:2]
@@ -93,6 +93,8 @@ def test_groups_match_brute_force_with_odd_rows(spark):
     assert kept.columns == docs.columns
     want = {c for (d, _), c in zip(fps, plain_groups(fps))}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, want))
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == sorted(map(str, want))
 
 
 def test_empty_table(spark):

@@ -30,6 +30,7 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 CROWD = 16
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -144,6 +145,8 @@ def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
     ids = stored(keepers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "simhash-kept")
     one = ids.where("n = 1").select(F.col("doc_id").alias("kept_id"))
+    if ids.count() <= BROADCAST_IDS:  # a few numbers against whole texts: only beyond that size the texts are shuffled
+        one = F.broadcast(one)
     once = docs.join(one, docs["doc_id"] == one["kept_id"], "left_semi")
     again = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again_id"))
     if again.isEmpty():
