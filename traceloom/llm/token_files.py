@@ -38,6 +38,11 @@ def tokenizer(path: str, end: int = END) -> WordTokenizer:
     return _TOKENIZERS[path, end]
 
 
+def forget_tokenizers() -> None:
+    """Drop this worker's tables of words."""
+    _TOKENIZERS.clear()
+
+
 def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None = None) -> DataFrame:
     """(shard, doc_id, ids binary) of every row of docs; shard: how many of the limits are below doc_id, 0 for a null."""
     cuts = np.array(limits or [], np.int64)
@@ -72,6 +77,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
     kind, terminals = tokenizer(path, end).type, tokenizer(path, end).size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()  # the worker has encoded all that it will
         shard, block, first = None, 0, 0
         held_ids: list[int | None] = []
         held: list[bytes] = []
