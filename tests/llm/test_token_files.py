@@ -38,7 +38,7 @@ def plain(rows, path):
 
     t = Tokenizer.from_file(path)
     made = [(d, np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")) for d, x in rows]
-    made.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].astype("<u2").tobytes()))
+    made.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].astype("<u2").tobytes()), r[1].astype("<u2").tobytes()))
     out, start = [], 0
     for d, ids in made:
         out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -57,6 +57,19 @@ def test_output_matches_the_library(spark):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == plain(rows, path)
 
 
+def test_hot_ids_are_split(spark):
+    rng = random.Random(4)
+    say = lambda: " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(30))
+    rows = [(None, say()) for _ in range(300)] + [(50, say()) for _ in range(300)] + [(rng.randrange(100), say()) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = tokenizer_path()
+    got = token_files.token_output(docs, path, shard_chars=8_000)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == plain(rows, path)
+    at = token_files.encoded(docs, path, limits=[-(2**63)] * 5 + [50] * 4 + [70])
+    counts = {r.shard: r["count"] for r in at.groupBy("shard").count().collect()}
+    assert len(counts) >= 9 and max(counts.values()) < 260
+
+
 def test_random_access_and_empty(spark, tmp_path):
     path = tokenizer_path()
     docs = spark.createDataFrame([(i, f"text number {i} and more and more and more") for i in range(50)], "doc_id long, text string")

@@ -27,6 +27,7 @@ from traceloom.llm.word_tokens import WordTokenizer
 END = 1
 SHARD_CHARS = 8_000_000
 MOST_SHARDS = 20_000
+LEAST_ID = -(1 << 63)
 BLOCK_IDS = 1_000_000
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
@@ -44,23 +45,35 @@ def forget_tokenizers() -> None:
 
 
 def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None = None) -> DataFrame:
-    """(shard, doc_id, ids binary) of every row of docs; shard: how many of the limits are below doc_id, 0 for a null."""
-    cuts = np.array(limits or [], np.int64)
+    """(shard, doc_id, tie, ids binary) of every row of docs.
+
+    limits, ascending: a row's shard is the number of those below its doc_id (a null counts as the least id). A doc_id
+    that several limits are equal to holds several shards' rows: they are dealt to as many by tie, the CRC-32 of the ids.
+    """
+    cuts, times = np.unique(np.array(limits or [], np.int64), return_counts=True)
+    below = np.concatenate([[0], np.cumsum(times)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path, end)
         for b in batches:
             ids, ends = words.encode(b.column(1).cast(pa.large_binary()).to_pylist())
             places = np.concatenate([[0], ends]) * words.type.itemsize
+            raw = memoryview(ids.tobytes())
+            tie = np.fromiter((zlib.crc32(raw[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)), np.int64, b.num_rows)
             ids = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-            at = np.searchsorted(cuts, b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), ids], names=["shard", "doc_id", "ids"])
+            key = b.column(0).fill_null(LEAST_ID).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(cuts, key, "left")
+            shard = below[at]
+            if len(cuts):
+                near = np.minimum(at, len(cuts) - 1)
+                shard = shard + np.where(cuts[near] == key, (tie * times[near]) >> 32, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), b.column(0), pa.array(tie), ids], names=["shard", "doc_id", "tie", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, "shard int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, "shard int, doc_id long, tie long, ids binary")
 
 
 def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_chars: int = SHARD_CHARS, block_ids: int = BLOCK_IDS) -> None:
-    """Write docs' ids to the folder to, in ascending (doc_id, ids) order, null ids first.
+    """Write docs' ids to the folder to, in ascending order of doc_id, null ids first, rows of one id by their ids' CRC-32.
 
     Null texts are empty texts; an empty text is its end id alone; rows that repeat a doc_id each have their place.
     A text of any length is one document of one block. An empty table writes an empty set of blocks.
@@ -70,9 +83,10 @@ def write_tokens(docs: DataFrame, to: str, path: str, end: int = END, shard_char
     limits: list[int] = []
     if shards > 1:
         places = [i / shards for i in range(1, shards)]
-        limits = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), places, max(10_000, 20 * shards))).first()[0] or []))
+        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID).cast("long"))
+        limits = sorted(docs.agg(F.percentile_approx(key, places, max(10_000, 20 * shards))).first()[0] or [])
     ids = encoded(docs, path, end, limits).repartitionById(len(limits) + 1, F.col("shard"))
-    ids = ids.sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
+    ids = ids.sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("ids")).drop("tie")
 
     kind, terminals = tokenizer(path, end).type, tokenizer(path, end).size
 
