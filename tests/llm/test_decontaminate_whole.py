@@ -1,0 +1,64 @@
+"""Decontamination as the queries do it: windows of few ordinary words, short items, conflicts of slots."""
+
+import random
+import re
+
+import pytest
+
+from traceloom.llm import decontaminate as D
+from traceloom.llm import queries
+
+WORDS = "the of and river stone walks quickly toward bright yellow market under seven trees every morning with his old brown dog".split()
+ITEMS = [
+    "Solve 3x + 5y = 12, 2x - y = 7 for x and y",
+    "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15",
+    "we met Alice Bob Carol Dan Erin Frank Grace Heidi Ivan Judy there",
+    "Who wrote Hamlet?",
+    "seven short words make a small item",
+    "Lisbon",
+    "A train leaves with 40 km to go and then 40 km more while Alice waves at Bob Smith near the old gate of town",
+]
+
+
+def words_of(text):
+    return re.sub(r"[\W_]+", " ", text or "").strip().lower().split()
+
+
+def stands_in(item, text):
+    """Whether the item's words stand in the text in a row: no templates, windows or filters."""
+    a, b = words_of(item), words_of(text)
+    return bool(a) and any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+
+
+def judged(spark, docs, items, **options):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {r.doc_id: r for r in D.contamination(df, bench, whole=True, **options).collect()}, sorted(r.doc_id for r in D.drop_leaks(df, bench, whole=True, **options).collect())
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 3])
+def test_every_verbatim_copy_is_found(spark, broadcast_rows):
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    docs = [some(40) for _ in range(10)] + [None, "", " ", "x"]
+    for t in ITEMS:
+        docs += [t, some(9) + ". " + t + " " + some(9), some(3) + " " + t.upper() + "! " + some(3), t.lower(), "; ".join([t, t])]
+    items = [*enumerate(ITEMS), (90, ""), (91, "?!"), (92, None), (None, docs[0])]
+    got, kept = judged(spark, docs, items, broadcast_rows=broadcast_rows)
+    for i, d in enumerate(docs):
+        want = [j for j, t in enumerate(ITEMS) if stands_in(t, d)]
+        assert (got[i].contaminated, got[i].item_id, got[i].n_items) == (bool(want), min(want, default=None), len(want)), (i, d)
+    assert kept == [i for i in sorted(got) if not got[i].contaminated]
+
+
+def test_new_numbers_in_an_item_of_few_words(spark):
+    docs = ["Solve 4x + 9y = 31, 8x - y = 5 for x and y", "Solve 4x + 9y = 31 for x and y", "2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    got, _ = judged(spark, docs, list(enumerate(ITEMS)))
+    assert got[0].contaminated and not got[1].contaminated
+
+
+def test_query_finds_short_items(spark, tmp_path):
+    data = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "x y 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 z"), (2, "the river")], "doc_id long, text string").write.parquet(f"{data}/documents.parquet")
+    spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string").write.parquet(f"{data}/benchmark.parquet")
+    assert {r.doc_id: r.item_id for r in queries.op9_decontamination(spark, data).collect()} == {1: 1, 2: None}

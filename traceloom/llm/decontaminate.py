@@ -13,9 +13,11 @@ plans the join by size. Only hits are shuffled then.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.llm.common import stored
+
 WINDOW = 8
 MATCHES = 6
 LITERALS = 4
@@ -45,9 +47,12 @@ def templates(texts: DataFrame, keys: list[str], names: bool = True) -> DataFram
     return cut.select(*keys, F.split("words", " ").alias("raw"), template.alias("template"))
 
 
-def windows(texts: DataFrame, keys: list[str], names: bool = True, window: int = WINDOW) -> DataFrame:
+def windows(texts: DataFrame, keys: list[str], names: bool = True, window: int = WINDOW, exact: tuple[int, ...] = ()) -> DataFrame:
     """keys, pos, h, slots, n_windows of every window of texts' column text; slots: the words in the slots, else blanks.
 
+    exact: numbers of words; the rows then have size and n_tokens too, and besides the template windows (size 0) there are
+    all windows of so many words as they are, whose h is that of the words and whose slots are empty.
+
     A window's hash is built from those of its halves: one round for each doubling, and a last one of two halves that
     overlap if the length is no power of two. Short texts have no windows; a filter on their length would be pushed
     below the regular expressions and repeat them.
@@ -64,7 +69,22 @@ def windows(texts: DataFrame, keys: list[str], names: bool = True, window: int =
     slots = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.array_join(F.zip_with(F.slice("tokens", i, window), F.slice("raw", i, window), lambda t, r: F.when(F.contains(t, F.lit("#")) | F.contains(t, F.lit("<")), r).otherwise("")), " "))
     cut = cut.withColumn("slots", F.when(F.col("slotted") & (F.col("n_windows") > 0), slots).otherwise(F.array().cast("array<string>")))
     each = F.zip_with(F.slice("h", F.lit(1), F.col("n_windows")), "slots", lambda h, s: F.struct(h.alias("h"), F.coalesce(s, F.lit("")).alias("slots")))
-    return cut.select(*keys, "n_windows", F.posexplode(each).alias("pos", "w")).select(*keys, "pos", "w.*", "n_windows")
+    if not exact:
+        return cut.select(*keys, "n_windows", F.posexplode(each).alias("pos", "w")).select(*keys, "pos", "w.*", "n_windows")
+    pair = lambda e, step: F.zip_with(e, F.slice(e, F.lit(step + 1), F.size(e)), lambda a, b: F.xxhash64(a, b))
+    row = lambda n, i, h, slots: F.struct(F.lit(n).alias("size"), i.alias("pos"), h.alias("h"), slots.alias("slots"))
+    cut = cut.withColumn("n_tokens", F.size("raw")).withColumn("each", F.transform(each, lambda w, i: row(0, i, w["h"], w["slots"])))
+    cut = cut.withColumn("e1", F.transform("raw", lambda r: F.xxhash64(F.replace(r, F.lit(MARK), F.lit("")))))
+    size = 1
+    while 2 * size <= max(exact):
+        cut = cut.withColumn(f"e{2 * size}", pair(f"e{size}", size))
+        size *= 2
+    parts = [F.col("each")]
+    for n in exact:
+        half = 1 << n.bit_length() - 1
+        h = F.col(f"e{half}") if half == n else pair(f"e{half}", n - half)
+        parts.append(F.transform(F.slice(h, F.lit(1), F.greatest(F.col("n_tokens") - (n - 1), F.lit(0))), lambda x, i: row(n, i, x, F.lit(""))))
+    return cut.select(*keys, "n_windows", "n_tokens", F.explode(F.concat(*parts)).alias("w")).select(*keys, "w.*", "n_windows", "n_tokens")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -94,29 +114,88 @@ def leaks(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, matches:
     return kept.groupBy("row_key", "item_id").agg(F.max("n_matched").alias("n_matched"))
 
 
+def whole_benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(h, size, item_id, item_key, item_pos, item_slots, tier, n_named, n_any, n_all): every window of every item.
+
+    A place whose template has at least ``literals`` ordinary words is asked for by template (size 0; tier 2, or 1 if that
+    holds only with names as ordinary words). A place whose template with names has fewer is asked for by its words (size
+    ``window``, tier 0), and an item of fewer words than ``window`` by all of its words. n_named, n_any and n_all count
+    an item's places of tier 2, of tier 1 and 2, and all. Different texts of one item_id are items of their own.
+    """
+    keys = ["item_id", "item_key"]
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    items = items.withColumn("item_key", F.xxhash64("text"))
+    named = windows(items, keys, True, window, tuple(range(1, window + 1)))
+    whole = (F.col("size") == window) | (F.col("n_windows") == 0) & (F.col("size") == F.col("n_tokens")) & (F.col("h") != F.xxhash64(F.lit("")))
+    named = named.where((F.col("size") == 0) | whole).withColumn("kind", F.when(F.col("size") == 0, 2).otherwise(0))
+    columns = [*keys, "pos", "h", "size", "slots", "n_windows", "kind"]
+    both = named.select(*columns).unionAll(windows(items, keys, False, window).withColumn("size", F.lit(0)).withColumn("kind", F.lit(1)).select(*columns))
+    enough = F.lit(window) - F.size(F.filter(F.split("slots", " "), lambda x: x != "")) >= literals
+    spot = Window.partitionBy(*keys, "pos")
+    both = both.withColumn("by_name", F.max((F.col("kind") == 2) & enough).over(spot)).withColumn("own", F.max(F.when(F.col("kind") == 2, F.col("slots"))).over(spot))
+    kept = both.where(F.when(F.col("kind") == 0, ~F.col("by_name")).otherwise(enough))
+    kept = kept.withColumn("tier", F.when(F.col("kind") == 0, 0).when(F.col("by_name"), 2).otherwise(1)).withColumn("slots", F.when(F.col("kind") == 0, F.coalesce("own", F.lit(""))).otherwise(F.col("slots")))
+    kept = kept.groupBy(*keys, "pos", "h", "size").agg(F.max(F.struct("kind", "tier", "slots", "n_windows")).alias("x")).select(*keys, "pos", "h", "size", "x.*")
+    places = lambda tier: F.count_distinct(F.when(F.col("tier") >= tier, F.col("pos")))
+    sizes = kept.groupBy(*keys).agg(places(2).alias("n_named"), places(1).alias("n_any"), F.greatest(F.max("n_windows"), F.lit(1)).alias("n_all"))
+    return kept.join(sizes, keys).select("h", "size", *keys, F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "tier", "n_named", "n_any", "n_all")
+
+
+def whole_leaks(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, matches: int = MATCHES, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """leaks() without its blind spots: (row_key, item_id, n_matched).
+
+    Windows of few ordinary words and items of fewer tokens than a window are looked for word by word. An item is leaked
+    if ``matches`` of its windows, or all if it has fewer, stand at one offset; with numbers or names changed, only the
+    windows that a template can find are asked for.
+    """
+    bench = stored(whole_benchmark_windows(benchmark, window, literals), "leak-windows")
+    small = bench.limit(broadcast_rows + 1).count() <= broadcast_rows
+    exact = tuple(sorted(r["size"] for r in bench.where("size > 0").select("size").distinct().collect()))
+    docs = windows(texts, ["row_key"], True, window, exact)
+    if not exact:
+        docs = docs.withColumn("size", F.lit(0))
+    hits = docs.select("row_key", "pos", "h", "slots", *["size"] * bool(exact)).join(F.broadcast(bench) if small else bench, ["h", "size"] if exact else "h")
+    place = ["row_key", "item_id", "item_key", "offset"]
+    told = F.struct("tier", "item_slots", F.when(F.col("size") > 0, F.col("item_slots")).otherwise(F.col("slots")).alias("slots"))
+    hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos")).select(*place, "item_pos", "n_named", "n_any", "n_all", told.alias("x")).repartition(*place)
+    one = hits.groupBy(*place, "item_pos").agg(F.max("x").alias("x"), *[F.max(c).alias(c) for c in ("n_named", "n_any", "n_all")])
+    pairs = F.filter(F.arrays_zip(F.split("x.item_slots", " ").alias("a"), F.split("x.slots", " ").alias("b")), lambda p: p["a"] != "")
+    pairs = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))), pairs)
+    rows = one.select(*place, "item_pos", "x.tier", "n_named", "n_any", "n_all", F.explode(pairs).alias("p"))
+    values = rows.groupBy(*place, F.col("p.a").alias("slot"), F.when(F.col("p.a").isNull(), F.col("item_pos")).alias("at")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"), *[F.max(c).alias(c) for c in ("tier", "n_named", "n_any", "n_all")])
+    found = values.groupBy(*place).agg(
+        *[F.count_if(F.col("slot").isNull() & (F.col("tier") >= t)).alias(c) for t, c in ((2, "c_named"), (1, "c_any"), (0, "c_all"))],
+        *[F.max(c).alias(c) for c in ("n_named", "n_any", "n_all")],
+        F.bool_or(F.coalesce(F.col("low") != F.col("high"), F.lit(False))).alias("mixed"),
+    )
+    enough = lambda c: (F.col(f"n_{c}") > 0) & (F.col(f"c_{c}") >= F.least(F.lit(matches), F.col(f"n_{c}")))
+    kept = found.where((enough("named") | enough("any") | enough("all")) & ~F.col("mixed"))
+    return kept.groupBy("row_key", "item_id").agg(F.max("c_all").alias("n_matched"))
+
 def row_key(docs: DataFrame) -> Column:
     """The same for rows of the same doc_id and text alone."""
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, **options) -> DataFrame:
     """(doc_id, contaminated, item_id, n_items, n_matched), one row per row of docs.
 
     item_id is the smallest item that the row leaks, n_matched its most matched windows at one offset; null and 0 if it
-    leaks none. Null and empty texts, and texts and items of fewer than eight tokens, leak nothing. Repeated rows are
+    leaks none. whole: by whole_leaks(), as the queries do; else by the narrower rule of contamination_sql(), by which
+    texts and items of fewer than eight tokens leak nothing. Null and empty texts leak nothing. Repeated rows are
     judged alike; null ids are judged by their texts. An empty benchmark clears every document.
     """
     keyed = docs.select("doc_id", "text", row_key(docs).alias("row_key"))
-    found = leaks(keyed.select("row_key", "text"), benchmark, **options)
+    found = (whole_leaks if whole else leaks)(keyed.select("row_key", "text"), benchmark, **options)
     best = found.groupBy("row_key").agg(F.min(F.struct("item_id", "n_matched")).alias("x"), F.count("*").alias("n_items"))
     out = keyed.select("doc_id", "row_key").join(best, "row_key", "left")
     return out.select("doc_id", F.col("x").isNotNull().alias("contaminated"), F.col("x.item_id").alias("item_id"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("x.n_matched", F.lit(0)).cast("bigint").alias("n_matched"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows that leak an item of the benchmark."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False, **options) -> DataFrame:
+    """docs without the rows that leak an item of the benchmark; whole as in contamination()."""
     keyed = docs.select("text", row_key(docs).alias("row_key"))
-    found = leaks(keyed, benchmark, **options).select(F.col("row_key").alias("leaking_row_key")).distinct()
+    found = (whole_leaks if whole else leaks)(keyed, benchmark, **options).select(F.col("row_key").alias("leaking_row_key")).distinct()
     return docs.join(found, row_key(docs) == found["leaking_row_key"], "left_anti")
 
 
