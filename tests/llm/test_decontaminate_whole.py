@@ -62,3 +62,32 @@ def test_query_finds_short_items(spark, tmp_path):
     spark.createDataFrame([(1, "x y 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 z"), (2, "the river")], "doc_id long, text string").write.parquet(f"{data}/documents.parquet")
     spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string").write.parquet(f"{data}/benchmark.parquet")
     assert {r.doc_id: r.item_id for r in queries.op9_decontamination(spark, data).collect()} == {1: 1, 2: None}
+
+
+TRAIN = ITEMS[6]
+
+
+def test_a_conflict_removes_only_its_windows(spark):
+    rest = " and they all had tea under the big tree until the sun went down at last"
+    twice = "we paid 12 coins for the bread and the milk then walked home and counted 12 coins for the next day again slowly"
+    docs = [
+        TRAIN.replace("40", "75", 1),  # the rest word for word
+        TRAIN.replace("40", "75", 1).replace("Alice", "Carol"),  # the rest agrees with itself
+        twice.replace("12", "31", 1),  # word for word from the second slot on, and before it too
+        twice.replace("12", "31"),
+        " ".join(twice.replace("12", "31", 1).split()[:17]),  # the slots agree
+        " ".join(("7 b c d e f g h 7 j k l m n o p 7".replace("7", "8", 1)).split()),  # in the middle all is the item's own
+        "seven 1 coins and 2 coins or then",
+    ]
+    items = [(0, TRAIN), (1, twice), (2, "7 b c d e f g h 7 j k l m n o p 7"), (3, "seven 4 coins and 4 coins or then" + rest)]
+    got, _ = judged(spark, docs, items)
+    assert [got[i].item_id for i in range(7)] == [0, 0, 1, 1, 1, 2, None]
+    assert got[3].n_matched == len(twice.split()) - 7 and got[0].n_matched >= 13
+
+
+def test_windows_that_never_agree_leak_nothing(spark):
+    item = "12 coins and 12 coins or 12 coins and 12 coins or 12 coins and 12 coins or 12 coins and 12 more"
+    doc = iter(range(20, 90))
+    changed = re.sub("12", lambda _: str(next(doc)), item)
+    got, _ = judged(spark, [changed, item.replace("12", "15"), item], [(0, item)])
+    assert [got[i].contaminated for i in range(3)] == [False, True, True]

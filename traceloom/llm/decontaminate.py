@@ -146,7 +146,8 @@ def whole_leaks(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     Windows of few ordinary words and items of fewer tokens than a window are looked for word by word. An item is leaked
     if ``matches`` of its windows, or all if it has fewer, stand at one offset; with numbers or names changed, only the
-    windows that a template can find are asked for.
+    windows that a template can find are asked for. Those windows are either neighbours among the ones found at the
+    offset, with slots filled consistently, or have the item's own words in all slots, wherever at the offset they are.
     """
     bench = stored(whole_benchmark_windows(benchmark, window, literals), "leak-windows")
     small = bench.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -159,18 +160,23 @@ def whole_leaks(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     told = F.struct("tier", "item_slots", F.when(F.col("size") > 0, F.col("item_slots")).otherwise(F.col("slots")).alias("slots"))
     hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos")).select(*place, "item_pos", "n_named", "n_any", "n_all", told.alias("x")).repartition(*place)
     one = hits.groupBy(*place, "item_pos").agg(F.max("x").alias("x"), *[F.max(c).alias(c) for c in ("n_named", "n_any", "n_all")])
+    # windows in a row agree from behind the last one in which a slot had another value; told by running counts
+    run = Window.partitionBy(*place).orderBy("item_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = {"named": 2, "any": 1, "all": 0}
+    count = lambda what: [F.sum(F.when(what & (F.col("x.tier") >= t), 1).otherwise(0)).over(run).alias(c) for c, t in kinds.items()]
+    one = one.select("*", F.struct("item_pos", *count(F.lit(True))).alias("here"), F.struct(*count(F.col("x.item_slots") == F.col("x.slots"))).alias("own"))
     pairs = F.filter(F.arrays_zip(F.split("x.item_slots", " ").alias("a"), F.split("x.slots", " ").alias("b")), lambda p: p["a"] != "")
     pairs = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))), pairs)
-    rows = one.select(*place, "item_pos", "x.tier", "n_named", "n_any", "n_all", F.explode(pairs).alias("p"))
-    values = rows.groupBy(*place, F.col("p.a").alias("slot"), F.when(F.col("p.a").isNull(), F.col("item_pos")).alias("at")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"), *[F.max(c).alias(c) for c in ("tier", "n_named", "n_any", "n_all")])
-    found = values.groupBy(*place).agg(
-        *[F.count_if(F.col("slot").isNull() & (F.col("tier") >= t)).alias(c) for t, c in ((2, "c_named"), (1, "c_any"), (0, "c_all"))],
-        *[F.max(c).alias(c) for c in ("n_named", "n_any", "n_all")],
-        F.bool_or(F.coalesce(F.col("low") != F.col("high"), F.lit(False))).alias("mixed"),
-    )
-    enough = lambda c: (F.col(f"n_{c}") > 0) & (F.col(f"c_{c}") >= F.least(F.lit(matches), F.col(f"n_{c}")))
-    kept = found.where((enough("named") | enough("any") | enough("all")) & ~F.col("mixed"))
-    return kept.groupBy("row_key", "item_id").agg(F.max("c_all").alias("n_matched"))
+    sizes = [f"n_{c}" for c in kinds]
+    rows = one.select(*place, "item_pos", "here", "own", *sizes, F.posexplode(pairs).alias("k", "p")).select("*", "p.a", "p.b").drop("p")
+    same = Window.partitionBy(*place, "a").orderBy("item_pos", "k")
+    rows = rows.withColumn("last", F.lag(F.struct("b", "here")).over(same)).withColumn("other", F.when(F.col("last.b") != F.col("b"), F.col("last.here")))
+    rows = rows.withColumn("other", F.max("other").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = rows.groupBy(*place, "item_pos").agg(F.max("other").alias("other"), *[F.max(c).alias(c) for c in ("here", "own", *sizes)]).withColumn("other", F.max("other").over(run))
+    enough = lambda n: F.greatest(*[F.when((F.col(f"n_{c}") > 0) & (n(c) >= F.least(F.lit(matches), F.col(f"n_{c}"))), n("all")).otherwise(0) for c in kinds])
+    agreed, own = enough(lambda c: F.col(f"here.{c}") - F.coalesce(F.col(f"other.{c}"), F.lit(0))), enough(lambda c: F.col(f"own.{c}"))
+    found = ends.groupBy("row_key", "item_id").agg(F.max(F.greatest(agreed, own)).alias("n_matched"))
+    return found.where("n_matched > 0")
 
 def row_key(docs: DataFrame) -> Column:
     """The same for rows of the same doc_id and text alone."""
