@@ -188,6 +188,12 @@ class WordTokenizer:
         gap = _BLANK[np.frombuffer(raw, np.uint8)]
         turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         starts, ends = turn[::2], turn[1::2]
+        ids, counts = self._looked_up(raw, starts, ends)
+        closing = np.frombuffer(raw, np.uint8)[starts] == 255
+        return ids, np.cumsum(counts)[closing]
+
+    def _looked_up(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of raw at these places, and how many each has; in several rounds if the table can't hold all."""
         long = np.flatnonzero(ends - starts > 16)
         key, check = self._keys(raw, starts, ends)
         words = [raw[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
@@ -198,16 +204,16 @@ class WordTokenizer:
             if not len(lost):
                 break
             missing = {raw[s:e] for s, e in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)}
-            if not fresh and (self.n + 2 * len(missing) > self.WORDS or len(self.long) > self.LONG_WORDS):
+            full = self.n + 2 * len(missing) + 2 > self.WORDS  # each word and its stem, a period and a comma
+            if not fresh and (full or len(self.long) > self.LONG_WORDS):
                 self._clear()
                 continue
-            if self.n + 2 * len(missing) > self.WORDS:
-                raise ValueError(f"a text has more than {self.WORDS // 2} different words")
+            if full:
+                step = (self.WORDS - 3) // 2  # as many words as an empty table surely holds
+                parts = [self._looked_up(raw, starts[i : i + step], ends[i : i + step]) for i in range(0, len(starts), step)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             self._learn(missing)
         entry = self._find(key, check)
         entry[long] = [self.long[w] for w in words]
         counts = self.counts[entry].astype(np.int64)
-        stops = np.cumsum(counts)
-        ids = self._ids(entry, counts)
-        closing = np.frombuffer(raw, np.uint8)[starts] == 255
-        return ids, stops[closing]
+        return self._ids(entry, counts), counts
