@@ -142,8 +142,10 @@ def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     Repeated rows of that doc_id and text count as one document. Groups whose ids are all null keep one null id.
     """
     groups = stored(simhash_groups(docs, crowd=crowd), "simhash-result")
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    ids = stored(keepers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "simhash-kept")
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keepers = groups.where(keeps).select("doc_id", "fp").distinct()
+    # n: rows of the id in any group, as another row of a keeper's id may belong to a group that it doesn't keep
+    ids = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(keeps).alias("kept")).where("kept > 0"), "simhash-kept")
     one = ids.where("n = 1").select(F.col("doc_id").alias("kept_id"))
     if ids.count() <= BROADCAST_IDS:  # a few numbers against whole texts: only beyond that size the texts are shuffled
         one = F.broadcast(one)
