@@ -49,9 +49,9 @@ def test_fingerprint(text):
     assert simhash.fingerprint(None if text is None else text.encode()) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("crowd", [1, 3, 16])
-def test_links_and_components(spark, crowd):
-    rng = random.Random(crowd)
+@pytest.mark.parametrize("seed", [1, 3, 16])
+def test_links_and_components(spark, seed):
+    rng = random.Random(seed)
     fps = {rng.getrandbits(64) for _ in range(40)}
     centre = rng.getrandbits(64)
     for _ in range(120):  # a crowd around one centre, and a chain
@@ -65,7 +65,7 @@ def test_links_and_components(spark, crowd):
         fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), crowd)
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     pairs = [(r.a, r.b) for r in found.collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in pairs)
     want = plain_groups(list(zip(range(len(fps)), fps)))
@@ -75,7 +75,7 @@ def test_links_and_components(spark, crowd):
             assert (got.get(a, a) == got.get(signed[j], signed[j])) == (want[i] == want[j])
 
 
-def test_groups_match_brute_force_with_odd_rows(spark, monkeypatch):
+def test_groups_match_brute_force_with_odd_rows(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choice("red blue green one two three four".split()) + str(rng.randrange(30)) for _ in range(300)) for _ in range(6)]
     texts = [None, "", " ", "x", "x y"] + base + base[:2]
@@ -93,8 +93,60 @@ def test_groups_match_brute_force_with_odd_rows(spark, monkeypatch):
     assert kept.columns == docs.columns
     want = {c for (d, _), c in zip(fps, plain_groups(fps))}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, want))
-    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == sorted(map(str, want))
+
+
+def test_candidates_share_a_segment_but_for_one_bit(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) for _ in range(50)]
+    fps += [fps[0] ^ 1 ^ 2 << 40, fps[1] ^ 7, fps[2] ^ 7 ^ 7 << 40]  # two bits; three in one segment; three in each
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {r.fp for r in simhash.candidates(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    near = lambda a, b: any(((a ^ b) >> s & 0xFFFFFFFF).bit_count() <= 1 for s in (0, 32))
+    assert got == {signed[i] for i, a in enumerate(fps) if any(near(a, b) for j, b in enumerate(fps) if i != j)}
+    assert len(got) == 4
+
+
+def plain_components(edges):
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    return {frozenset(v for v in root if find(v) == r) for r in map(find, list(root))}
+
+
+@pytest.mark.parametrize("shape", ["zigzag", "path", "star", "random", "stars of stars"])
+def test_components_end_on_any_graph(spark, shape):
+    rng = random.Random(9)
+    n = 400
+    order = {"zigzag": [x for i in range(n // 2) for x in (i, n - 1 - i)], "path": list(range(n))}.get(shape)
+    if order:
+        edges = list(zip(order, order[1:], strict=False))
+    elif shape == "star":
+        edges = [(n, i) for i in range(n)]
+    elif shape == "random":
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]
+        edges = [e for e in edges if e[0] != e[1]]
+    else:
+        edges = [(1000 - i // 10, i) for i in range(n)] + [(1000 - i, 5000) for i in range(0, 40, 2)]
+    got = {}
+    for r in simhash.components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect():
+        assert r.node not in got
+        got[r.node] = r.root
+    groups = {frozenset(v for v in got if got[v] == r) for r in set(got.values())}
+    assert groups == plain_components(edges)
+    assert all(r in got for r in got.values())
+
+
+def test_groups_without_ids_keep_one_row_each(spark):
+    a, b = "one text about rivers and stones in the north", "quite another text on ships, harbours and lights"
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (4, "x"), (4, "x")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect()) == [("4", "x"), ("None", a), ("None", b)]
 
 
 def test_empty_table(spark):

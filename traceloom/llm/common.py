@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a folder of this machine is set.
+    Only where the session names none and all runs on this machine, as in local tests, a folder of this machine is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="traceloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -39,11 +41,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
 
 
-#: Rows of an Arrow batch: whole texts are long, and a worker holds a batch and what it makes of it.
-BATCH_ROWS = 1000
+def discard(*tables: DataFrame) -> None:
+    """Remove stored() tables that nothing reads any more: those of a loop, which later ones replace."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows and bytes that an operator gets at once: whole texts are long, and a worker holds a part and what it makes of it.
+PART_ROWS = 1000
+PART_BYTES = 16 << 20
 
 
 def give_back() -> None:
@@ -54,17 +66,23 @@ def give_back() -> None:
         trim(0)
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow() in batches of at most BATCH_ROWS rows; memory that a task has freed goes back to the machine.
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most PART_ROWS rows and, but for a single row, PART_BYTES bytes; order as it was."""
+    rows = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        if part.num_rows > 1 and part.nbytes > PART_BYTES:  # long texts stand together
+            for i in range(part.num_rows):
+                yield part.slice(i, 1)
+        else:
+            yield part
 
-    The size of batches is a setting of the session, which this lowers.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow() over the parts of its batches, which Spark bounds in bytes; memory that a task has freed goes back to the machine."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(part for b in batches for part in parts(b))
         give_back()
 
     return df.mapInArrow(bounded, schema)

@@ -1,16 +1,17 @@
 """Near-duplicate groups by SimHash, with a deletion-variant index for the Hamming search.
 
 Fingerprints of 64 bits that differ in at most two bits are linked. Cut into two segments of 32 bits, one
-segment of a linked pair differs in at most one bit, so the pair shares a *deletion variant*: that segment with
-one bit position left out. Each distinct fingerprint has 64 such variants (two segments, 32 positions); an
-equality join on (segment, position, remaining bits) finds every candidate and an XOR verifies it.
+segment of a linked pair differs in at most one bit, so the pair shares a *one-wildcard variant*: that segment with
+one bit position left out. Each distinct fingerprint has 64 such variants (two segments, 32 positions); fingerprints
+that share one with another are candidates.
 
-Groups of many near copies crowd the variants of one segment. A variant that more than ``crowd`` distinct
-fingerprints share is not paired up: its members are linked through the points of Hamming space at distance 0
-or 1 from them. Two fingerprints differ in at most two bits exactly if they share such a point, so a point's
-members are linked to their smallest one without verification and without listing pairs. Nothing is dropped.
+A crowd of near copies may share one variant, so its members are not paired up. Candidates fill the wildcard in, with
+the rest of the fingerprint beside it: 65 values each, their own and those with one bit turned. Two fingerprints differ
+in at most two bits exactly if they have such a value in common, and at most 65 can have the same one. An equality join
+on the value brings them together, and each is verified (XOR) against the value's smallest fingerprint, its
+representative: links for all linked pairs without listing the pairs, by one plan for groups of every size.
 
-Rows that the search moves: 64 per distinct fingerprint, 65 more per fingerprint of a crowded variant.
+Rows that the search moves: 64 per distinct fingerprint, 65 more per candidate.
 """
 
 from __future__ import annotations
@@ -20,17 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from traceloom.llm.common import in_arrow, stored
+from traceloom.llm.common import discard, in_arrow, stored
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-CROWD = 16
-BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -78,47 +77,77 @@ def points(fps: DataFrame) -> DataFrame:
     return at.select("fp", F.expr("CASE WHEN b < 0 THEN fp ELSE fp ^ shiftleft(1L, b) END").alias("key"))
 
 
-def shared(index: DataFrame) -> DataFrame:
-    """The index rows whose key more than one fingerprint has, with the key's size and smallest fingerprint."""
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    return index.join(sizes, "key")
+def candidates(fps: DataFrame) -> DataFrame:
+    """(fp): the fingerprints that share a one-wildcard variant with another. fps: distinct fingerprints.
 
-
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b): distinct links between different fingerprints that connect all those within two bits."""
+    One shuffle of two longs a variant; a variant's rows are counted in a window, which spills and gathers no list.
+    """
     # every row becomes 64: spread the few bytes of the fingerprints first, or few tasks make all of the index
     spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = stored(shared(variants(spread)), "simhash-variants")
-    lists = found.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most crowd each
-    pairs = lists.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
-    near = pairs.where(f"a < b AND bit_count(a ^ b) <= {MAX_BITS}")
-    crowded = found.where(F.col("n") > crowd).select("fp").distinct()
-    stars = shared(points(crowded)).where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return near.unionAll(stars).distinct()
+    shared = variants(spread).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return shared.where("n > 1").select("fp").distinct()
+
 
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): links between different fingerprints, some twice, that connect all those within two bits."""
+    least = F.min("fp").over(Window.partitionBy("key"))  # of at most 65
+    stars = points(candidates(fps)).withColumn("least", least).where("fp <> least")
+    return stars.where(f"bit_count(fp ^ least) <= {MAX_BITS}").select(F.col("least").alias("a"), F.col("fp").alias("b"))
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each node's component.
 
-    Each round takes the smallest label among the neighbours, then the label's own label, so a chain of n nodes
-    takes about log n rounds. A node has at most 2,080 neighbours (the fingerprints within two bits); the labels'
-    join, where one label may hold most rows, is an inner join of two exchanges that adaptive execution splits.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): a node of each node's component, the same for all of the component. A node without edges is not in the result.
+
+    Each round hooks every vertex to its smallest neighbour. Such a choice has no cycles but pairs that choose each
+    other, of which the smaller becomes the root of a tree; pointers are doubled until all show their root, and trees
+    become the vertices of the next round. A vertex with an edge is never alone in its tree, so each round at least halves
+    the vertices: n nodes take at most log2(n) rounds of at most log2(n) + 1 doublings, whatever the graph's shape.
+    The joins' other sides have one row per vertex, so a root with most of the rows is split by adaptive execution.
     """
-    both = stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "simhash-labels")
-    for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root").unionAll(labels)
-        least = stored(seen.groupBy("node").agg(F.min("root").alias("root")), "simhash-labels")
-        jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = stored(least.join(jump, "root").select("node", F.col("up").alias("root")), "simhash-labels")
-        sums = [x.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0] for x in (labels, after)]
-        labels = after
-        if sums[0] == sums[1]:  # labels only fall, so an equal sum means that none changed
+    both = stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "simhash-links")
+    labels = None
+    while True:
+        chosen = stored(both.groupBy("a").agg(F.min("b").alias("up")), "simhash-chosen")
+        other = chosen.select(F.col("a").alias("up"), F.col("up").alias("back"))
+        mutual = (F.col("back") == F.col("a")) & (F.col("a") < F.col("up"))
+        tree = stored(chosen.join(other, "up").select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root")), "simhash-trees")
+        discard(chosen)
+        while True:
+            jump = tree.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            after = stored(tree.join(jump, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "simhash-trees")
+            settled = after.where("moved").isEmpty()
+            discard(tree)
+            tree = after
+            if settled:
+                break
+        up = tree.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        if labels is None:
+            now = stored(tree.select("node", "root"), "simhash-labels")
+        else:
+            now = stored(labels.join(up, F.col("root") == F.col("at"), "left").select("node", F.coalesce("up", "root").alias("root")), "simhash-labels")
+            discard(labels)
+        labels = now
+        half = both.join(up, F.col("a") == F.col("at")).select(F.col("up").alias("a"), "b")
+        rest = stored(half.join(up, F.col("b") == F.col("at")).select("a", F.col("up").alias("b")).where("a <> b").distinct(), "simhash-links")
+        discard(both, tree)
+        both = rest
+        if both.isEmpty():
+            discard(both)
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, root, component_id), one row per row of docs; root tells the groups apart, also those without any id."""
+    fps = stored(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+    least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(links(least.select("fp")))
+    member = stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    discard(least, roots)
+    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(member.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: (doc_id, fp, component_id), one row per row of docs.
 
     component_id is the smallest doc_id reachable over links, the row's own included. Null texts, empty texts and
@@ -126,38 +155,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group; a null doc_id takes part but is never a component_id unless all of its group are null. An empty table gives
     no rows. Other columns of docs are not read, so their names can't clash.
     """
-    fps = stored(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(least.select("fp"), crowd))
-    linked = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    lone = least.join(roots, least["fp"] == roots["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
-    group = stored(lone.unionAll(roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")), "simhash-groups")
-    return fps.join(group, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate group: the smallest doc_id, and of its texts in the group the one with the smallest hash.
 
-    Repeated rows of that doc_id and text count as one document. Groups whose ids are all null keep one null id.
+    Rows that repeat both doc_id and text are one document. A group whose ids are all null keeps one of its rows.
     """
-    groups = stored(simhash_groups(docs, crowd=crowd), "simhash-result")
-    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keepers = groups.where(keeps).select("doc_id", "fp").distinct()
-    # n: rows of the id in any group, as another row of a keeper's id may belong to a group that it doesn't keep
-    ids = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(keeps).alias("kept")).where("kept > 0"), "simhash-kept")
-    one = ids.where("n = 1").select(F.col("doc_id").alias("kept_id"))
-    if ids.count() <= BROADCAST_IDS:  # a few numbers against whole texts: only beyond that size the texts are shuffled
-        one = F.broadcast(one)
-    once = docs.join(one, docs["doc_id"] == one["kept_id"], "left_semi")
-    again = ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again_id"))
-    if again.isEmpty():
-        return once
-    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["again_id"]), "left_semi")
-    # rows of one id: of those with the same fingerprint the first text stays
-    whole = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    marked = fingerprints(whole, "row", "text").select(F.col("doc_id").alias("row"), F.col("doc_id.doc_id").alias("id"), "fp")
-    first = marked.groupBy("id", "fp").agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
-    kept = keepers.select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
-    first = first.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    key = docs.select(F.struct("doc_id", text_hash.alias("h")).alias("key"), "text")
+    rows = grouped(key, "key", "text").select("root", F.col("doc_id.doc_id").alias("id"), F.col("doc_id.h").alias("h"))
+    each = rows.groupBy("root", "id", "h").agg(F.count("*").alias("n"))
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("x"))
+    kept = stored(best.select(F.col("x.id").alias("kept_id"), F.col("x.h").alias("kept_h"), F.col("x.n").alias("kept_n")), "simhash-kept")
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (text_hash == kept["kept_h"])
+    if kept.where("kept_n > 1").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.where("kept_n = 1"), same, "left_semi")
+    again = docs.join(kept.where("kept_n > 1"), same, "left_semi")
+    again = again.select("doc_id", text_hash.alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = again.groupBy("doc_id", "h").agg(F.first("row").alias("row"))
     return once.unionAll(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
