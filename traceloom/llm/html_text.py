@@ -1,21 +1,29 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-Tokens of a page are the tags of its containers, told apart by their path, and its text blocks. Over the
-different pages of a host, tokens with the same vector of occurrences form an equivalence class. The vectors are
-never stored: XOR of hashes of (page, count) over the pages is the same exactly for equal vectors (up to hash
-collisions), needs eight bytes and is pre-aggregated before its shuffle, so a host with a third of all pages is no
-task of its own. A class is valid if it occurs on most of the host's pages. Valid classes nest: the class that
-occurs once on each page is the template's frame, and its containers hold the others and the slots.
-
-The frame's container that holds most of the text that varies, outside of boilerplate, is the main slot: the
-deepest that still holds ``SHARE`` of it. Its text is extracted, without template text and without boilerplate
-inside. Hosts of fewer than ``LEAST_PAGES`` different pages use the template of all pages together.
+Tokens of a page are the containers that it opens, told apart by their path, and its text blocks. Over the different
+pages of a host, tokens with the same vector of occurrences (how often on which page) form an equivalence class. The
+vectors are never stored: XOR of hashes of (page, count) over the pages is the same exactly for equal vectors (up to
+collisions of 128 bits) and is pre-aggregated before its shuffle, so a host with a third of all pages is no task of its own.
+
+A class counts if it is large (``LEAST_TOKENS`` tokens, a container among them) and frequent (``SUPPORT`` of the pages). It is
+valid if on the pages that have it its tokens stand in one order, repeated without interleaving. The class of containers
+that stands once on most pages is the template's frame. Another valid class is nested in a slot of the frame, the gap
+between two of its tokens, if all of its occurrences lie in that gap; classes that cross the frame are dropped. Text
+tokens of the template's classes are template text, and what remains between the tokens are the slots.
+
+The main slot is the deepest container of the template, once on its pages, that holds ``SHARE`` of the text that remains.
+Its remaining text is extracted. Hosts of fewer than ``LEAST_PAGES`` different pages use the template of all pages
+together. Pages that no template covers give the text of their article and main elements, or of their body.
+
+The template can't tell readers' comments or adverts that stand in the main slot from the article: there, elements that
+are none by their meaning (``BOILERPLATE``, ``ROLES``) and containers with an unmistakable class name (``INSIDE``) are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,19 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import in_arrow, stored
+from traceloom.llm.common import discard, in_arrow, stored
 from traceloom.llm.url_filter import host_and_path
 
 LEAST_PAGES = 3
+LEAST_TOKENS = 2
+SUPPORT = 0.3
+#: Text on fewer pages than this is never template text: short texts come together on a few pages by chance.
 LEAST_CONSTANT = 8
 FRAME = 0.8
 SHARE = 0.6
 # Elements by what they do to text.
 CONTAINERS = frozenset("html head body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure blockquote details fieldset".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br title figcaption caption summary legend option center".split())
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas audio video select button".split())
+RAW = frozenset("script style textarea noscript template iframe svg canvas audio video select".split())
 BOILERPLATE = frozenset("head nav header footer aside form".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|cookies?|consent|notices?|alert|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar|copyright)(?:$|[\s_-])", re.I)
+INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|comments?|disqus|replies|cookies?|consent|newsletter|share|sharing)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = ("article", "main")
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -45,24 +57,35 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _BLANK = re.compile(r"\s+")
 
 
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
 def is_boilerplate(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
     """Whether a container is menu, header, footer, sidebar, notice, advert, form or comments."""
     if name in BOILERPLATE and not (name == "header" and inside_main):
         return True
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    return bool(MARKS.search(attributes.get("class", "")) or MARKS.search(attributes.get("id", ""))) and name not in ("html", "body", *MAIN)
+    marks = INSIDE if inside_main else MARKS
+    return bool(marks.search(attributes.get("class", "")) or marks.search(attributes.get("id", ""))) and name not in ("html", "body", *MAIN)
+
 
+def _hash(text: str, within: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, within & (1 << 64) - 1) - (1 << 63)
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """(path of containers, boilerplate, text) of each text block in page order; characters decoded, white space single.
 
-    Inline markup joins; block markup and line breaks part. Broken markup is read as far as it goes: an end tag closes
-    the nearest open container of its name, and what stays open ends with the page.
+def events(page: str, main: int = 0) -> Iterator[tuple[int, int, str | None, bool, bool]]:
+    """(token, place of the container around it or -1, text or None for a container, boilerplate, inside main or an article element) in page order.
+
+    A container's token is the hash of its path of labels (element and class), a text block's the hash of its text and
+    path. Characters are decoded, white space is single. Inline markup joins; block markup and line breaks part. Broken
+    markup is read as far as it goes: an end tag closes the nearest open container of its name, and what stays open ends
+    with the page. Time and memory are linear in the page's length, however deep it nests.
     """
-    stack: list[tuple[str, str, bool]] = []  # element, label, boilerplate here or above
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, -1, False, False)]  # element, path, place, boilerplate and main here or above
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    at, end = 0, len(page)
+    at, end, place = 0, len(page), 0
 
     def flush():
         text = _BLANK.sub(" ", html.unescape("".join(held))).strip() if held else ""
@@ -79,108 +102,207 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
             continue
         name = name.lower()
         if name in BREAKS and (text := flush()):
-            yield tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text
+            _, path, around, boilerplate, inside = stack[-1]
+            yield _hash(text, path), around, text, boilerplate, inside
+            place += 1
         if m[1]:
-            if name in CONTAINERS and any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while (last := stack.pop()[0]) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                close = _CLOSE[name].search(page, at)
                 at = close.end() if close else end
             held.append(" ")
             continue
         if name in CONTAINERS:
             attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            above = bool(stack) and stack[-1][2]
+            _, path, around, above, inside = stack[-1]
             label = name + ("." + _BLANK.sub(".", re.sub(r"\d+", "", attributes["class"]).strip()) if attributes.get("class") else "")
-            stack.append((name, label, above or is_boilerplate(name, attributes, any(s[0] in MAIN for s in stack))))
+            path = _hash("<" + label, path)
+            inside = inside or path == main or name in MAIN
+            opened[name] += 1
+            stack.append((name, path, place, path != main and (above or is_boilerplate(name, attributes, inside)), inside))
+            yield path, around, None, stack[-1][3], inside
+            place += 1
     if text := flush():
-        yield tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-def page_tokens(page: str) -> list[tuple[str, int, int, int]]:
-    """(container path or "", hash of the token, occurrences, characters of text that may be main) of a page's tokens."""
-    paths: Counter[tuple[str, ...]] = Counter()
-    mass: Counter[tuple[str, ...]] = Counter()
-    texts: Counter[int] = Counter()
-    last: tuple[str, ...] = ()
-    for path, boilerplate, text in blocks(page):
-        common = 0
-        while common < min(len(path), len(last)) and path[common] == last[common]:
-            common += 1
-        for i in range(common, len(path)):
-            paths[path[: i + 1]] += 1
-        last = path
-        if not boilerplate:
-            for i in range(len(path)):
-                mass[path[: i + 1]] += len(text)
-        texts[_hash("/".join(path) + "\n" + text)] += 1
-    found = [("/".join(p), _hash("/".join(p)), n, mass[p]) for p, n in paths.items()]
-    return found + [("", h, n, 0) for h, n in texts.items()]
+        _, path, around, boilerplate, inside = stack[-1]
+        yield _hash(text, path), around, text, boilerplate, inside
 
 
-def deduce(pages: DataFrame) -> DataFrame:
-    """(host, main array<string>, constant array<bigint>): each host's main container and template text; host null for all pages together.
+def blocks(page: str) -> Iterator[tuple[int, bool, str]]:
+    """(token, boilerplate, text) of each text block in page order."""
+    for token, _, text, boilerplate, _ in events(page):
+        if text is not None:
+            yield token, boilerplate, text
+
+
+def page_tokens(page: str) -> tuple[list[int], list[int], list[int]]:
+    """A page's tokens in order, the place of the container around each (-1: none), and what it adds to the text that may be main.
+
+    The last is -1 for a container, the text's length for a text, and 0 for text of boilerplate.
+    """
+    found = [(token, around, -1 if text is None else 0 if boilerplate else len(text)) for token, around, text, boilerplate, _ in events(page)]
+    return tuple(map(list, zip(*found, strict=True))) if found else ([], [], [])
 
-    main is empty if the host has no frame that holds most of the text.
+
+def masses(around: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The text in each token, and its depth."""
+    mass = np.maximum(np.array(sizes, np.int64), 0)
+    depth = np.zeros(len(around), np.int64)
+    for i, a in enumerate(around):
+        depth[i] = depth[a] + 1 if a >= 0 else 0
+    for i in range(len(around) - 1, -1, -1):
+        if around[i] >= 0:
+            mass[around[i]] += mass[i]
+    return mass, depth
+
+
+def sequences(pages: DataFrame) -> DataFrame:
+    """(host, page, seq, around, sizes, tokens array<struct>): the tokens of each different page of a host, and its different tokens with their counts.
+
+    Copies of a page say nothing about what varies: each different text of a host counts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, k, *t) for h, p, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for t in page_tokens(p or "")]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "path", "token", "n", "mass"])
-
-    # copies of a page say nothing about what varies: each different text of a host counts once
-    tokens = stored(pages.select("host", "html", F.xxhash64("html").alias("page")).transform(in_arrow, run, "host string, page long, path string, token long, n long, mass long"), "html-tokens")
-    distinct = tokens.groupBy("host", "page", "token").agg(F.max("path").alias("path"), F.max("n").alias("n"), F.max("mass").alias("mass"))
-    once = stored(distinct, "html-distinct")
-    pages_of = once.select("host", "page").distinct()
-    sizes = stored(pages_of.groupBy(F.col("host").alias("sized_host")).agg(F.count("*").alias("pages")), "html-sizes")
-    vectors = lambda rows, *keys: rows.groupBy(*keys, "token").agg(F.max("path").alias("path"), F.count("*").alias("seen"), F.max("n").alias("most"), F.min("n").alias("fewest"), F.sum("mass").alias("mass"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-    own = vectors(once, "host").join(sizes, F.col("host") == F.col("sized_host")).drop("sized_host")
-    # of all pages together only the containers are asked for: few tokens, however many pages
-    every = vectors(once.where("path <> ''")).withColumn("host", F.lit(None).cast("string")).withColumn("pages", F.lit(pages_of.count()).cast("bigint"))
-    common = stored(own.unionByName(every).where(F.col("seen") >= FRAME * F.col("pages")), "html-common")
-    classes = common.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "token", "most", "fewest", "mass", "seen")).alias("members"), F.max("pages").alias("pages"), F.max("seen").alias("seen"))
-    member = classes.select("host", "pages", F.explode("members").alias("m")).select("host", "pages", "m.*")
-    # the frame: containers once on each page; the template's text: blocks as often on every one of enough pages
-    kept = member.where((F.col("most") == 1) & (F.col("path") != "") | (F.col("path") == "") & (F.col("fewest") == F.col("most")) & (F.col("seen") >= 0.98 * F.col("pages")) & (F.col("pages") >= LEAST_CONSTANT))
-    return kept.groupBy("host").agg(
-        F.max("pages").alias("pages"),
-        F.collect_list(F.when(F.col("path") != "", F.struct("path", "mass"))).alias("frame"),
-        F.collect_list(F.when(F.col("path") == "", F.col("token"))).alias("constant"),
+            rows = [page_tokens(p or "") for p in b.column(1).to_pylist()]
+            each = []
+            for seq, around, sizes in rows:
+                mass, depth = masses(around, sizes)
+                last = {t: i for i, t in enumerate(seq)}
+                counts = Counter(seq)
+                each.append([{"token": t, "n": counts[t], "is_text": sizes[i] >= 0, "depth": int(depth[i]), "mass": int(mass[i])} for t, i in last.items()])
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns, pa.array(each, _TOKENS)], names=["host", "page", "seq", "around", "sizes", "tokens"])
+
+    schema = "host string, page long, seq array<long>, around array<int>, sizes array<int>, tokens array<struct<token: long, n: int, is_text: boolean, depth: int, mass: long>>"
+    return pages.select("host", "html", F.xxhash64("html").alias("page")).transform(in_arrow, run, schema).dropDuplicates(["host", "page"])
+
+
+_TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("is_text", pa.bool_()), ("depth", pa.int32()), ("mass", pa.int64())]))
+
+
+def classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, pages, frame, class, seen, once, members): the large and frequent equivalence classes of each host.
+
+    tokens: (host, page, token, n, is_text, depth). class: a long that tells a host's classes apart. frame: the frame's class,
+    null if the host has none. once: its tokens stand at most once on a page. members: (token, is_text, depth).
+    """
+    vector = [F.bit_xor(F.xxhash64("page", "n")).alias("v1"), F.bit_xor(F.xxhash64(F.lit(1), "n", "page")).alias("v2")]
+    each = tokens.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.max("depth").alias("depth"), F.count("*").alias("seen"), F.max("n").alias("most"), *vector)
+    least = F.greatest(F.when(F.col("is_text"), LEAST_CONSTANT).otherwise(LEAST_PAGES), SUPPORT * F.col("pages"))
+    each = each.join(sizes, "host").where(F.col("seen") >= least)
+    found = each.groupBy("host", "v1", "v2").agg(
+        F.max("pages").alias("pages"), F.max("seen").alias("seen"), (F.max("most") == 1).alias("once"), F.count_if(~F.col("is_text")).alias("containers"), F.collect_list(F.struct("token", "is_text", "depth")).alias("members")
     )
+    found = found.where((F.col("containers") > 0) & ((F.size("members") >= LEAST_TOKENS) | (F.col("seen") >= FRAME * F.col("pages"))))
+    found = found.select("host", "pages", F.xxhash64("v1", "v2").alias("class"), "seen", "once", "containers", "members")
+    frames = found.where(F.col("once") & (F.col("seen") >= FRAME * F.col("pages"))).groupBy("host").agg(F.max(F.struct("seen", "containers", "class"))["class"].alias("frame"))
+    return found.join(frames, "host").drop("containers")
 
 
-def main_path(frame: list[tuple[str, int]]) -> str:
-    """The deepest frame container that holds SHARE of the text outside of boilerplate; "" if none does."""
-    total = max((mass for _, mass in frame), default=0)
-    held = [(path.count("/"), path) for path, mass in frame if mass and mass >= SHARE * total]
-    return max(held)[1] if held else ""
+def page_fit(seq: list[int], around: list[int], sizes: list[int], member: dict[int, int], frame: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(class, order, gap) of each class on a page, and (token, mass) of each container of a class that the page has once.
+
+    order: hash of the class's tokens in their order, 0 if they interleave. gap: the only slot of the frame that the class
+    is in, -1 if there are several; the frame itself is in slot 0. mass: the text in it that is of no class.
+    """
+    places: dict[int, list[int]] = {}
+    for i, t in enumerate(seq):
+        if t in member:
+            places.setdefault(member[t], []).append(i)
+    of_frame = places.get(frame, [])
+    fits = []
+    for c, at in places.items():
+        s = [seq[i] for i in at]
+        k = len(set(s))
+        order = xxhash.xxh64_intdigest(np.array(s[:k]).tobytes()) >> 1 | 1 if s == s[:k] * (len(s) // k) else 0
+        gaps = {bisect(of_frame, i) for i in at} if c != frame else {0}
+        fits.append((c, order, gaps.pop() if len(gaps) == 1 else -1))
+    mass, _ = masses(around, [0 if t in member else n for t, n in zip(seq, sizes, strict=True)])
+    counts = Counter(seq)
+    return fits, [(t, int(mass[i])) for i, t in enumerate(seq) if sizes[i] < 0 and t in member and counts[t] == 1]
 
 
-def extract(page: str | None, main: str, constant: frozenset[int]) -> str:
-    """Main text of a page: blocks in the main container, or in article and main elements if it lacks that, or in the body."""
+def deduce(pages: DataFrame) -> DataFrame:
+    """(host, main, constant array<long>): each host's main slot (0: none) and template text; host null for all pages together.
+
+    pages: (host, html). Hosts without a template have no row. Constant text stands on many of the host's pages, so the
+    array is no larger than a few of its pages.
+    """
+    seqs = stored(sequences(pages), "html-sequences")
+    sizes = stored(seqs.groupBy("host").agg(F.count("*").alias("pages")), "html-sizes")
+    tokens = seqs.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    found = stored(classes(tokens, sizes.where(F.col("pages") >= LEAST_PAGES)), "html-classes")
+    each = found.groupBy("host", "frame").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(m["token"].alias("token"), F.col("class").alias("class"))))).alias("members"))
+    joined = seqs.join(each.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host")).select("host", "frame", "members", "seq", "around", "sizes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, int]] = {}
+        for b in batches:
+            rows: list[tuple] = []
+            for i in range(b.num_rows):
+                host = b.column(0)[i].as_py()
+                if host not in held:
+                    if len(held) > 1_000:
+                        held.clear()
+                    held[host] = {m["token"]: m["class"] for m in b.column(2)[i].as_py()}
+                fits, mass = page_fit(*(b.column(j)[i].as_py() for j in (3, 4, 5)), held[host], b.column(1)[i].as_py())
+                rows += [(host, c, None, order, gap, 1) for c, order, gap in fits] + [(host, None, t, None, None, m) for t, m in mass]
+            names = ["host", "class", "token", "order", "gap", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(6)], names=names)
+
+    told = joined.transform(in_arrow, run, "host string, class long, token long, order long, gap long, n long").groupBy("host", "class", "token", "order", "gap").agg(F.sum("n").alias("n"))
+    told = stored(told, "html-fits")
+    # valid: most of its pages show one order in one slot of the frame
+    best = told.where("class IS NOT NULL AND order <> 0 AND gap >= 0").groupBy("host", "class").agg(F.max("n").alias("n"))
+    valid = found.join(best, ["host", "class"]).where(F.col("n") >= FRAME * F.col("seen"))
+    member = valid.select("host", "once", F.explode("members").alias("m")).select("host", "once", "m.*")
+    containers = member.where("once AND NOT is_text").join(told.where("token IS NOT NULL").select("host", "token", F.col("n").alias("mass")), ["host", "token"])
+    total = containers.groupBy("host").agg(F.max("mass").alias("total"))
+    main = containers.join(total, "host").where((F.col("mass") > 0) & (F.col("mass") >= SHARE * F.col("total"))).groupBy("host").agg(F.max(F.struct("depth", "mass", "token"))["token"].alias("main"))
+    constant = member.groupBy("host").agg(F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("constant"))
+    own = constant.join(main, "host", "left").select("host", F.coalesce("main", F.lit(0)).alias("main"), "constant")
+    # of all pages together only the containers are asked for: few tokens, however many pages
+    n = seqs.count()
+    every = tokens.where("NOT is_text").groupBy("token").agg(F.max("depth").alias("depth"), F.count("*").alias("seen"), F.max("n").alias("most"), F.sum("mass").alias("mass"))
+    every = stored(every.where((F.col("seen") >= FRAME * n) & (F.col("most") == 1) & (F.col("mass") > 0) & (F.col("depth") > 1)), "html-every")
+    most = F.col("mass") >= SHARE * F.lit((every.agg(F.max("mass")).first() or [0])[0] or 0)
+    whole = every.where(most).agg(F.max(F.struct("depth", "mass", "token"))["token"].alias("main"))
+    whole = whole.select(F.lit(None).cast("string").alias("host"), F.coalesce("main", F.lit(0)).alias("main"), F.array().cast("array<bigint>").alias("constant"))
+    templates = stored(own.unionByName(whole), "html-templates")
+    discard(seqs, sizes, found, told, every)
+    return templates
+
+
+def extract(page: str | None, main: int | str, constant: frozenset[int], main_all: int = 0) -> str:
+    """Main text of a page: what the main slot holds besides template text and boilerplate.
+
+    main and main_all: slots of the host's template and of that of all pages, tried in turn. A page that has neither gives
+    the text of its article and main elements, or of its body.
+    """
     if not page:
         return ""
-    parts = list(blocks(page))
-    want = tuple(main.split("/")) if main else ()
-    inside = [p for p in parts if want and p[0][: len(want)] == want]
-    if not any(not p[1] for p in inside):
-        inside = [p for p in parts if any(x.split(".")[0] in MAIN for x in p[0])]
-    if not any(not p[1] for p in inside):
-        inside = parts
-    kept = [(path, text) for path, boilerplate, text in inside if not boilerplate]
-    own = [(path, text) for path, text in kept if _hash("/".join(path) + "\n" + text) not in constant] if constant else kept
-    return " ".join(text for _, text in own or kept)  # a host whose pages all have one text has it as its main text
+    for slot in dict.fromkeys((main, main_all)):
+        if slot:
+            found = list(_inside(page, slot))
+            if found:
+                own = [text for token, text in found if token not in constant]
+                return " ".join(own or [text for _, text in found])  # a host whose pages all have one text has it as its main text
+    parts = [(inside, text) for _, _, text, boilerplate, inside in events(page) if text is not None and not boilerplate]
+    return " ".join([text for inside, text in parts if inside] or [text for _, text in parts])
+
+
+def _inside(page: str, slot: int) -> Iterator[tuple[int, str]]:
+    """(token, text) of the blocks in a slot, outside of boilerplate."""
+    held: list[bool] = []  # by place, whether it is in the slot
+    for token, around, text, boilerplate, _ in events(page, slot):
+        held.append(around >= 0 and held[around] or text is None and token == slot)
+        if text is not None and held[-1] and not boilerplate:
+            yield token, text
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -191,25 +313,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    found = stored(deduce(rows.select("host", "html")), "html-templates")
-    whole = [r for r in found.where("host IS NULL").collect()]
-    main_all = main_path([(f["path"], f["mass"]) for f in whole[0]["frame"]]) if whole else ""
-    own = found.where(F.col("host").isNotNull() & (F.col("pages") >= LEAST_PAGES)).select(F.col("host").alias("template_host"), "frame", "constant")
-    joined = rows.join(own, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "host", "frame", "constant")
+    found = deduce(rows.select("host", "html"))
+    main_all = found.where("host IS NULL").first()["main"]
+    own = found.where("host IS NOT NULL").select(F.col("host").alias("template_host"), "main", "constant")
+    joined = rows.join(own, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "main", "constant")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates: dict[str, tuple[str, frozenset[int]]] = {}
         for b in batches:
-            texts = []
-            for i in range(b.num_rows):
-                host, frame = b.column(3)[i].as_py(), b.column(4)[i]
-                if host not in templates:
-                    if len(templates) > 10_000:
-                        templates.clear()
-                    mine = frame.as_py()
-                    templates[host] = (main_all, frozenset()) if mine is None else (main_path([(f["path"], f["mass"]) for f in mine]) or main_all, frozenset(b.column(5)[i].as_py()))
-                texts.append(extract(b.column(2)[i].as_py(), *templates[host]))
+            texts = [extract(h.as_py(), m.as_py() or 0, frozenset(c.as_py() or ()), main_all) for h, m, c in zip(b.column(2), b.column(3), b.column(4), strict=True)]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(lengths)], names=["page_id", "url", "text", "n_chars"])
 
