@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from traceloom.llm.queries import tokenizer_path
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
     ids = rng.choice([1, 2, 3, 4, 9, 50], size=rng.integers(0, 4000), p=[0.02, 0.5, 0.2, 0.1, 0.1, 0.08])
-    block = grammar.compress(ids, 1, 60, rounds=12, per_round=8, least=2)
+    block = grammar.compress(ids, 1, 60, least=2)
     again = grammar.Block.of(*block.columns(), block.n_ids)
     assert (again.decode() == ids).all()
     for _ in range(30):
@@ -24,8 +25,49 @@ def test_grammar_round_trip(seed):
         assert len(block.symbols) < len(ids) / 2
 
 
+def plain_repair(ids, end, terminals, least):
+    """Re-Pair symbol by symbol: (rules, symbols)."""
+    seq, rules, closes = list(ids), [], {end}
+    while True:
+        counts, i = Counter(), 0
+        for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            run = 0  # how many of one symbol stand before this place
+            while pair[0] == pair[1] and i - run > 0 and seq[i - run - 1] == pair[0]:
+                run += 1
+            counts[pair] += pair[0] not in closes and run % 2 == 0
+        pairs = sorted(p for p, n in counts.items() if n >= least)
+        out, used, i = [], set(), 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) in pairs:
+                out.append(tuple(seq[i : i + 2]))
+                used.add(out[-1])
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        if not used:
+            return rules, seq
+        names = {p: terminals + len(rules) + k for k, p in enumerate(sorted(used))}
+        rules += sorted(used)
+        closes |= {n for (_, b), n in names.items() if b in closes}
+        seq = [names.get(x, x) for x in out]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_grammar_matches_plain_repair(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(grammar, "CELLS", 4 + seed)  # pairs share cells
+    ids = rng.choice([1, 2, 3, 4, 9, 50], size=rng.integers(300, 2000), p=[0.02, 0.5, 0.2, 0.1, 0.1, 0.08])
+    least = int(rng.integers(2, 9))
+    block = grammar.compress(ids, 1, 60, least=least)
+    rules, symbols = plain_repair(ids.tolist(), 1, 60, least)
+    assert list(map(tuple, block.rules.tolist())) == rules
+    assert block.symbols.tolist() == symbols
+    assert len(rules) > 4 and (block.decode() == ids).all()
+
+
 def test_overlaps_and_ends():
-    block = grammar.compress(np.array([5] * 101 + [1] + [5] * 7 + [1]), 1, 6, rounds=20, per_round=1, least=2)
+    block = grammar.compress(np.array([5] * 101 + [1] + [5] * 7 + [1]), 1, 6, least=2)
     assert (block.decode() == [5] * 101 + [1] + [5] * 7 + [1]).all()
     assert grammar.compress(np.zeros(0, np.uint16), 1, 6).decode().size == 0
     flat, starts = block.expansions()

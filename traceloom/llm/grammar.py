@@ -1,9 +1,9 @@
 """Re-Pair grammar compression of token ids, in blocks that decode alone and in part.
 
-A block holds the ids of consecutive documents. In each round the most frequent adjacent pairs of the block's
-symbols become nonterminals and their occurrences, leftmost first, are replaced; a pair never spans two
-documents. Stored are the rules (pairs of symbols), the length that each nonterminal expands to, and the
-remaining symbols. The lengths' running sum finds the symbols that cover any range of ids, so a single document
+A block holds the ids of consecutive documents. In each round all adjacent pairs of the block's symbols that occur often
+enough become nonterminals and their occurrences, leftmost first, are replaced; a pair never spans two documents. Rounds
+end when no pair occurs ``LEAST`` times. Stored are the rules (pairs of symbols), the length that each nonterminal expands
+to, and the remaining symbols. The lengths' running sum finds the symbols that cover any range of ids, so a single document
 is decoded without the rest of its block.
 """
 
@@ -13,10 +13,8 @@ import dataclasses
 
 import numpy as np
 
-ROUNDS = 6
-PER_ROUND = 1024
 LEAST = 16
-CELLS = 18  # bits of the table that counts pairs
+CELLS = 18  # bits of the table that tells which pairs may be frequent
 _LEFT, _RIGHT = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 
 
@@ -41,19 +39,22 @@ class Block:
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """The nonterminals' expansions, one after another, and where each starts."""
-        starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
+        lengths = self.lengths.astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
         flat = np.zeros(starts[-1], np.uint32)
-        t = self.terminals
-        for i, (a, b) in enumerate(self.rules):
-            at = starts[i]
-            for s in (int(a), int(b)):
-                if s < t:
-                    flat[at] = s
-                    at += 1
-                else:
-                    n = self.lengths[s - t]
-                    flat[at : at + n] = flat[starts[s - t] : starts[s - t] + n]
-                    at += n
+        parts = self.rules.astype(np.int64)
+        plain = parts < self.terminals
+        inner = np.where(plain, 0, parts - self.terminals)
+        sizes = np.where(plain, 1, lengths[inner] if len(lengths) else 1)
+        to = starts[:-1, None] + np.stack([np.zeros(len(parts), np.int64), sizes[:, 0]], 1)
+        flat[to[plain]] = parts[plain]
+        done = plain.copy()
+        while not done.all():  # as many rounds as the rules nest
+            ready = ~done & done.all(1)[inner]
+            size, source, target = sizes[ready], starts[:-1][inner[ready]], to[ready]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            flat[np.repeat(target, size) + step] = flat[np.repeat(source, size) + step]
+            done |= ready
         return flat, starts
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -79,10 +80,53 @@ class Block:
         return out[start - before : stop - before]
 
 
-def compress(ids: np.ndarray, end: int, terminals: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> Block:
+def _every_other(places: np.ndarray) -> np.ndarray:
+    """Of each run of adjacent places, ascending, the first, third and so on: a mask."""
+    run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return (np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))) % 2 == 0
+
+
+def frequent(left: np.ndarray, right: np.ndarray, hot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur least times among the places hot, ascending, the places that have one, and which.
+
+    Counts are exact; of a run of one symbol every other place counts. Only pairs of a well-filled cell of a hash table
+    are counted, as others can't be frequent.
+    """
+    a, b = left[hot], right[hot]
+    cell = ((a * _LEFT + b) * _RIGHT) >> np.uint32(32 - CELLS)
+    full = (np.bincount(cell, minlength=1 << CELLS) >= least)[cell]
+    hot, a, b, cell = hot[full], a[full], b[full], cell[full]
+    key = a.astype(np.uint64) << np.uint64(32) | b
+    twin = np.flatnonzero(a == b)
+    counted = np.ones(len(hot), bool)
+    counted[twin[~_every_other(hot[twin])]] = False
+    ordered = np.sort(key[counted])
+    first = np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
+    pairs = ordered[first[np.diff(np.append(first, len(ordered))) >= least]]
+    if not len(pairs):
+        return pairs, hot[:0], hot[:0]
+    # which of the pairs each place has: looked up by cell, and by bisection where pairs share a cell
+    table = np.full(1 << CELLS, -1, np.int32)
+    at = (((pairs >> np.uint64(32)).astype(np.uint32) * _LEFT + pairs.astype(np.uint32)) * _RIGHT) >> np.uint32(32 - CELLS)
+    table[at] = np.arange(len(pairs))
+    which = table[cell]
+    on = which >= 0
+    hot, key, which = hot[on], key[on], which[on]
+    hit = pairs[which] == key
+    hidden = np.flatnonzero(table[at] != np.arange(len(pairs)))
+    if len(hidden):
+        miss = np.flatnonzero(~hit)
+        near = np.minimum(np.searchsorted(pairs[hidden], key[miss]), len(hidden) - 1)
+        same = pairs[hidden][near] == key[miss]
+        which[miss[same]] = hidden[near[same]]
+        hit[miss[same]] = True
+    return pairs, hot[hit], which[hit]
+
+
+def compress(ids: np.ndarray, end: int, terminals: int, least: int = LEAST) -> Block:
     """Re-Pair over ids (all below terminals); no pair goes past an id end, so documents stay apart.
 
-    per_round: how many pairs become nonterminals at once; least: how often a pair must occur.
+    least: how often a pair must occur, 2 at least. The result has no pair that occurs so often.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -90,42 +134,29 @@ def compress(ids: np.ndarray, end: int, terminals: int, rounds: int = ROUNDS, pe
     closes = np.zeros(terminals, bool)  # symbols that end a document
     if end < terminals:
         closes[end] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        # pairs are counted by cell of a hash; of the pairs of a frequent cell the last one seen stands for it
+    new = 0  # symbols from here on are the last round's: no other pair can have become frequent
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
-        cell = ((left * _LEFT + right) * _RIGHT) >> np.uint32(32 - CELLS)
-        counts = np.bincount(cell, minlength=1 << CELLS)
-        limit = max(least, int(np.partition(counts, len(counts) - per_round)[len(counts) - per_round]))
-        hot = np.flatnonzero((counts >= limit)[cell])
-        hot = hot[~closes[left[hot]]]
-        cell, key = cell[hot], left[hot].astype(np.uint64) << np.uint64(32) | right[hot]
-        pair = np.zeros(1 << CELLS, np.uint64)
-        pair[cell] = key
-        same = pair[cell] == key
-        hot, cell = hot[same], cell[same]
-        n = np.bincount(cell, minlength=1 << CELLS)
-        chosen = np.flatnonzero(n >= least)
-        chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:per_round]])
-        if not len(chosen):
+        hot = ~closes[left]
+        if new:
+            hot &= (left >= new) | (right >= new)
+        pairs, hot, which = frequent(left, right, np.flatnonzero(hot), max(2, least))
+        if not len(pairs):
             break
-        name = np.full(1 << CELLS, -1)
-        name[chosen] = np.arange(len(chosen)) + len(lengths)
-        new = name[cell]
-        hot, new = hot[new >= 0], new[new >= 0]
-        # of overlapping occurrences the leftmost are taken: every other one of a run of adjacent places
-        run = np.flatnonzero(np.diff(hot, prepend=-2) != 1)
-        place = np.arange(len(hot)) - np.repeat(run, np.diff(np.append(run, len(hot))))
-        taken = place % 2 == 0
-        hot, new = hot[taken], new[taken]
+        taken = _every_other(hot)  # of overlapping occurrences the leftmost
+        hot, which = hot[taken], which[taken]
+        used = np.zeros(len(pairs), bool)
+        used[which] = True
+        name = np.cumsum(used) - 1 + len(lengths)
         seq = seq.copy()
-        seq[hot] = new.astype(np.uint32)
+        seq[hot] = name[which].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hot + 1] = False
         seq = seq[keep]
-        both = np.stack([pair[chosen] >> np.uint64(32), pair[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        pairs = pairs[used]
+        both = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(both)
+        new = len(lengths)
         lengths = np.concatenate([lengths, lengths[both[:, 0]] + lengths[both[:, 1]]])
         closes = np.concatenate([closes, closes[both[:, 1]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)

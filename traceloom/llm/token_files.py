@@ -35,7 +35,7 @@ _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 def tokenizer(path: str, end: int = END) -> WordTokenizer:
     """One for each Python worker."""
     if (path, end) not in _TOKENIZERS:
-        _TOKENIZERS[path, end] = WordTokenizer(path, end, grammar.ROUNDS * grammar.PER_ROUND)
+        _TOKENIZERS[path, end] = WordTokenizer(path, end)
     return _TOKENIZERS[path, end]
 
 
@@ -60,7 +60,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, limits: list[int] | None
             places = np.concatenate([[0], ends]) * words.type.itemsize
             raw = memoryview(ids.tobytes())
             tie = np.fromiter((zlib.crc32(raw[i:j]) for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)), np.int64, b.num_rows)
-            ids = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            ids = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())  # a part's texts have far fewer than 2^31 bytes
             key = b.column(0).fill_null(LEAST_ID).to_numpy(zero_copy_only=False)
             at = np.searchsorted(cuts, key, "left")
             shard = below[at]

@@ -28,13 +28,13 @@ class WordTokenizer:
     LONG_WORDS = 300_000
     GROUP = 1 << 20  # bytes of text that are looked up together
 
-    def __init__(self, path: str, end: int = 1, spare: int = 0):
+    def __init__(self, path: str, end: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have a Python worker each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end + 1)
-        self.type = np.dtype("<u2") if self.size + spare <= 1 << 16 else np.dtype("<u4")
+        self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = end
         model = json.loads(self.tokenizer.to_str())["model"]
         suffix = model.get("end_of_word_suffix")
