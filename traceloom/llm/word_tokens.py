@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -17,7 +18,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MASKS = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_SIMPLE = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: A word that ends in ASCII punctuation, and what stands before that.
+_TAILED = re.compile(rb"(.*[^!-/:-@\[-`{-~])([!-/:-@\[-`{-~]+)", re.S)
 
 
 class WordTokenizer:
@@ -41,9 +43,10 @@ class WordTokenizer:
         self.closes = np.zeros(self.size, bool)  # ids that close a piece, if they can be told
         if suffix:
             self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        # case and closing punctuation are left to the library, unless it is seen to drop the one and part the other
-        said = [x.tolist() for x in self._one_by_one([b"aZ", b"az", b"az.", b".", b"az,", b","])]
-        self.folds = said[0] == said[1] and said[2] == said[1] + said[3] and said[4] == said[1] + said[5]
+        # case is left to the library, unless it is seen to drop it
+        upper, lower = self._one_by_one([b"aZ", b"az"])
+        self.folds = upper.tolist() == lower.tolist()
+        self.tails: dict[tuple[bytes, bytes], bool] = {}  # whether a letter and the punctuation behind it are parted
         self._clear()
 
     def _clear(self) -> None:
@@ -84,16 +87,28 @@ class WordTokenizer:
         each = self._one_by_one(rest)
         return order + rest, np.concatenate([np.zeros(0, np.int64), *ids, *each]), np.concatenate([np.zeros(0, np.int64), *counts, np.fromiter(map(len, each), np.int64, len(each))]).astype(np.int64)
 
+    def _cut(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Words of letters with punctuation behind, as (letters, punctuation), where the library is seen to part such a pair."""
+        found = {w: m.groups() for w in words if (m := _TAILED.fullmatch(w)) and len(m[2]) <= 8 and m[1].decode().isalpha()}
+        ends = {w: (p[0].decode()[-1].encode(), p[1]) for w, p in found.items()}
+        if len(self.tails) > self.LONG_WORDS:
+            self.tails.clear()
+        new = sorted(set(ends.values()) - self.tails.keys())
+        if new:
+            said = [x.tolist() for x in self._one_by_one([x for a, t in new for x in (a, t, a + t)])]
+            self.tails |= {p: said[3 * i] + said[3 * i + 1] == said[3 * i + 2] for i, p in enumerate(new)}
+        return {w: p for w, p in found.items() if self.tails[ends[w]]}
+
     def _learn(self, words: set[bytes]) -> None:
-        parted = [w for w in words if self.folds and w[-1] in b".," and len(w) > 1 and w[-2] in _SIMPLE]
-        ask = list((words - set(parted)).union([w[:-1] for w in parted], [b".", b","] if parted else []))
+        parted = self._cut(words)
+        ask = list((words - parted.keys()).union(*parted.values()))
         ask = [w for w, e in zip(ask, self._entries(ask).tolist(), strict=True) if e < 0]
         self._insert(*self._library(ask))
         if parted:
-            stem, close = self._entries([w[:-1] for w in parted]), self._entries([w[-1:] for w in parted])
+            stem, close = (self._entries([p[i] for p in parted.values()]) for i in (0, 1))
             pieces = np.stack([stem, close], 1).ravel()
             counts = self.counts[pieces].astype(np.int64)
-            self._insert(parted, self._ids(pieces, counts), counts.reshape(-1, 2).sum(1))
+            self._insert(list(parted), self._ids(pieces, counts), counts.reshape(-1, 2).sum(1))
 
     def _ids(self, entry: np.ndarray, counts: np.ndarray) -> np.ndarray:
         stops = np.cumsum(counts)
@@ -204,12 +219,12 @@ class WordTokenizer:
             if not len(lost):
                 break
             missing = {raw[s:e] for s, e in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)}
-            full = self.n + 2 * len(missing) + 2 > self.WORDS  # each word and its stem, a period and a comma
+            full = self.n + 3 * len(missing) > self.WORDS  # each word, its letters and its punctuation
             if not fresh and (full or len(self.long) > self.LONG_WORDS):
                 self._clear()
                 continue
             if full:
-                step = (self.WORDS - 3) // 2  # as many words as an empty table surely holds
+                step = (self.WORDS - 1) // 3  # as many words as an empty table surely holds
                 parts = [self._looked_up(raw, starts[i : i + step], ends[i : i + step]) for i in range(0, len(starts), step)]
                 return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             self._learn(missing)
