@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -188,3 +189,56 @@ def test_rules_keep_good_documents(spark):
     good = got.where("quality = 1")
     assert good.where("kept").count() > 0.99 * good.count()
     assert got.where("quality = 0 AND kept").count() < 0.2 * got.where("quality = 0").count()
+
+
+def test_counterfactuals_are_those_of_the_swapped_text():
+    rng = random.Random(7)
+    words = ["muslims", "muslim", "christians", "chris", "black", "blackened", "white", "walk", "whit", "jews"]
+    peers = {t: [u for u in g if u != t] for g in toxicity.IDENTITY_TERMS for t in g}
+    feats = lambda text: {f for w in toxicity.distinct_words(text) for f in toxicity.word_features(w)}
+    for _ in range(200):
+        text = " ".join(rng.choices(words, k=rng.randrange(1, 9)))
+        found = list(toxicity.counterfactuals(toxicity.distinct_words(text), peers))
+        assert {t for t, *_ in found} == {w for w in text.split() if w in peers}
+        for term, other, lost, gained in found:
+            swapped = " ".join(other if w == term else w for w in text.split())
+            assert set(lost) == feats(text) - feats(swapped) and set(gained) == feats(swapped) - feats(text)
+
+
+def test_neutral_words_of_the_sample_are_swapped(spark):
+    rng = random.Random(3)
+    names = [f"{a}landers" for a in ("green", "iron", "north", "lake")]  # groups that the list doesn't know
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        words = sentence(rng, 20).split() + [names[i // 4 % 4]]  # each group is mentioned as often in either class
+        if bad:
+            words += [rng.choice(["awful", "vermin"])] if i % 3 else ["northerly"]  # shares its prefixes with one group's name
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stored = toxicity.sample_words(docs, known.selectExpr("doc_id", "toxic AS label"))
+    found = {w for g in toxicity.neutral_groups(stored, 300, 900) for w in g}
+    assert set(names) <= found and not found & {"awful", "vermin", "northerly"}
+    free, fair = (toxicity.fit(docs, known, fairness=200.0, neutral=x) for x in (False, True))
+    gap = lambda m: abs(m.logit({"northlanders"}) - m.logit({"lakelanders"}))
+    assert gap(fair) <= gap(free)
+    assert fair.score("the northerly people") > fair.score("the northlanders walk")
+
+
+def plain_logit(model, text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    feats = {zlib.crc32(p.encode()) % 2**21 for w in words for p in ["w:" + w] + ["p:" + w[:n] for n in (4, 5) if len(w) > n]}
+    return model.bias + sum(model.weights.get(f, 0.0) for f in feats)
+
+
+def test_scores_match_plain_scoring(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 30, [*CLEAN, "scumbag", "vilify"] if i % 3 == 0 else CLEAN)) for i in range(300)] + [(400, None), (401, ""), (402, "x " * 20_000)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    assert model.weights
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known).collect()}
+    for d, t in rows:
+        assert abs(got[d] - 1 / (1 + np.exp(-plain_logit(model, t)))) < 1e-9

@@ -2,17 +2,23 @@
 
 Features are the distinct words of a document and their prefixes of four and five letters, hashed. Weights are
 non-negative with an L1 penalty: a document is toxic for what it contains, so a long clean text can't outvote a
-few toxic words and words without evidence weigh nothing. A counterfactual penalty acts on labelled documents with
-identity terms: each term is swapped for others and the squared change of the score is added to the loss.
+few toxic words and words without evidence weigh nothing.
+
+The counterfactual penalty acts on labelled documents that mention a group: the term is swapped for another of its kind in
+the text, the features of the swapped text are worked out anew, and the squared change of the score is added to the loss.
+Terms are those of a list, and *neutral* ones of the sample: words that many documents of both classes hold about equally
+often, swapped for others as frequent. Names of groups that the list lacks are among these where they occur.
 
 The model is fitted on a bounded sample: at most ``per_class`` labelled documents of each class (in the order of
-their ids' hash), reweighted to the true class sizes. All documents are scored, whole.
+their ids' hash), reweighted to the true class sizes. Features are counted and chosen by Spark; the driver gets the
+``SELECTED`` features at most, and what the sampled documents hold of them. All documents are scored, whole.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import id_remainder, in_arrow, label_sample
+from traceloom.llm.common import discard, id_remainder, in_arrow, label_sample, stored
 
 PER_CLASS = 4000
 HASH_BITS = 21
 SELECTED = 4000
+#: Neutral words of the sample that are swapped: how many at most, in groups of how many, and in what share of each class's documents at least.
+NEUTRAL, PEERS, NEUTRAL_SHARE = 200, 4, 0.02
 #: How far targets stay from 0 and 1: labels err, and without it the bias would run off until one word can't outweigh it.
 SMOOTH = 0.02
 WORDS = re.compile(r"[^\W\d_]+")
@@ -82,74 +90,114 @@ class LexicalModel:
         return float(1 / (1 + np.exp(-np.clip(self.logit(distinct_words(text)), -30, 30))))
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, terms: frozenset[str]) -> list:
-    """Of the sampled rows only: label, distinct feature ids, and the identity terms found."""
+def counterfactuals(words: set[str], peers: dict[str, list[str]]) -> Iterator[tuple[str, str, list[int], list[int]]]:
+    """(term, other, lost, gained) of each text that swaps a term for another of its kind: the features that change.
+
+    >>> [(t, u) for t, u, _, _ in counterfactuals({"gay", "people"}, {"gay": ["straight"]})]
+    [('gay', 'straight')]
+    """
+    found = sorted(words & peers.keys())
+    held = Counter(f for w in words for f in set(word_features(w))) if found else Counter()
+    for term in found:
+        own = set(word_features(term))
+        for other in peers[term]:
+            new = set() if other in words else set(word_features(other))
+            yield term, other, sorted(f for f in own - new if held[f] == 1), sorted(f for f in new if not held[f])
+
+
+def sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(label, words, feats): the distinct words of the sampled rows, and their distinct features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            feats, found = [], []
-            for t in b.column(1):
-                words = distinct_words(t.as_py())
-                feats.append(sorted({f for w in words for f in word_features(w)}))
-                found.append(sorted(words & terms))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["label", "feats", "terms"])
+            words = [sorted(distinct_words(t.as_py())) for t in b.column(1)]
+            feats = [sorted({f for w in x for f in word_features(w)}) for x in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(feats, pa.list_(pa.int32()))], names=["label", "words", "feats"])
 
     picked = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("text_id") == F.col("doc_id"))
-    return picked.select("label", "text").transform(in_arrow, run, "label int, feats array<int>, terms array<string>").toArrow()
+    return stored(picked.select("label", "text").transform(in_arrow, run, "label int, words array<string>, feats array<int>"), "toxicity-sample")
+
+
+def _odds(n1: float, n0: float):
+    """log of the smoothed ratio of the shares of documents of class 1 and 0; columns in1 and in0 count them."""
+    return F.log((F.col("in1") + 0.5) / (n1 + 1)) - F.log((F.col("in0") + 0.5) / (n0 + 1))
+
 
+def _counted(rows: DataFrame, column: str) -> DataFrame:
+    one = rows.select("label", F.explode(column).alias("x"))
+    return one.groupBy("x").agg(F.sum("label").alias("in1"), F.sum(1 - F.col("label")).alias("in0"))
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = PER_CLASS, groups=IDENTITY_TERMS, fairness: float = 20.0, sparsity: float = 1e-4, steps: int = 800) -> LexicalModel:
+
+def neutral_groups(rows: DataFrame, n1: float, n0: float) -> list[list[str]]:
+    """Words that documents of both classes hold about equally often, in groups of similar frequency; at most NEUTRAL words."""
+    even = (F.abs(_odds(n1, n0)) < 0.25) & (F.col("in1") >= NEUTRAL_SHARE * n1) & (F.col("in0") >= NEUTRAL_SHARE * n0) & (F.col("in1") > 1)
+    found = [r.x for r in _counted(rows, "words").where(even).orderBy(F.desc(F.col("in1") + F.col("in0")), "x").limit(NEUTRAL).collect()]
+    return [found[i : i + PEERS] for i in range(0, len(found), PEERS)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, per_class: int = PER_CLASS, groups=IDENTITY_TERMS, neutral: bool = True, fairness: float = 20.0, sparsity: float = 1e-4, steps: int = 800) -> LexicalModel:
     """Fit on labelled rows whose crc32(doc_id) modulo folds is not fold."""
     known = labels.where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
     sample, sizes = label_sample(known, label, per_class)
-    peers = {t: [x for x in g if x != t] for g in groups for t in g}
-    got = sample_features(docs, sample, frozenset(peers)).combine_chunks()
+    rows = sample_words(docs, sample)
+    by_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
+    if not n1 or not n0:
+        return LexicalModel(2.0 if n1 else -2.0, {})
+    gain = _odds(n1, n0)
+    best = _counted(rows, "feats").where((F.col("in1") >= 2) & (gain > 0.7)).orderBy(F.desc(gain * F.sqrt("in1")), "x").limit(SELECTED)
+    chosen = np.array(sorted(r.x for r in best.select("x").collect()), np.int64)
+    kinds = [list(g) for g in groups]
+    listed = {t for g in kinds for t in g}
+    if neutral:
+        kinds += [[t for t in g if t not in listed] for g in neutral_groups(rows, n1, n0)]
+    peers = {t: [x for x in g if x != t] for g in kinds for t in g}
+    kept = frozenset(chosen.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            feats, moves = [], []
+            for words, mine in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                feats.append([f for f in mine if f in kept])
+                swaps = [([f for f in lost if f in kept], [f for f in gained if f in kept], len(peers[t])) for t, _, lost, gained in counterfactuals(set(words), peers)]
+                moves.append([{"lost": x, "gained": y, "peers": n} for x, y, n in swaps if x or y])  # any other leaves the score as it is
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(moves, _MOVES)], names=["label", "feats", "moves"])
+
+    # at most 2 * per_class rows of at most SELECTED small numbers, and of the swaps of a document's terms
+    got = rows.transform(in_arrow, run, "label int, feats array<int>, moves array<struct<lost: array<int>, gained: array<int>, peers: int>>").toArrow().combine_chunks()
+    discard(rows)
     y = got.column("label").to_numpy().astype(float)
     n = len(y)
-    if not n or y.min() == y.max():
-        return LexicalModel(-2.0 if not n or y.min() == 0 else 2.0, {})
     lists = got.column("feats").combine_chunks()
-    feat = lists.flatten().to_numpy(zero_copy_only=False)
+    col = np.searchsorted(chosen, lists.flatten().to_numpy(zero_copy_only=False))
     row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-    size = 1 << HASH_BITS
-    n1, n0 = y.sum(), n - y.sum()
-    in1, in0 = (np.bincount(feat[y[row] == v], minlength=size) for v in (1, 0))
-    gain = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    gain = np.where((in1 >= 2) & (gain > 0.7), gain * np.sqrt(in1), 0)
-    chosen = np.argsort(-gain, kind="stable")[:SELECTED]
-    chosen = np.sort(chosen[gain[chosen] > 0])
-    terms = sorted(t for t in {t for x in got.column("terms").to_pylist() for t in x})
-    if terms:  # swapped terms need their features in the model, so that the penalty reaches them
-        chosen = np.union1d(chosen, [f for t in terms for u in (t, *peers[t]) for f in word_features(u)])
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    held = place[feat] >= 0
-    row, col = row[held], place[feat[held]]
     target = SMOOTH + (1 - 2 * SMOOTH) * y
     weight = np.where(y == 1, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0)
     weight /= weight.sum()
-    # a counterfactual moves the score by what the two terms' features differ in
-    swaps: dict[tuple[str, str], float] = {}
-    for w, found in zip(weight, got.column("terms").to_pylist(), strict=True):
-        for t in found:
-            for u in peers[t]:
-                swaps[t, u] = swaps.get((t, u), 0.0) + w / len(peers[t])
-    moves = np.zeros((len(swaps), len(chosen)))
-    for i, ((t, u), share) in enumerate(sorted(swaps.items())):
-        for sign, word in ((1, t), (-1, u)):
-            for f in word_features(word):
-                moves[i, place[f]] += sign * np.sqrt(share)
+    # each different change of features is a row of the penalty, with the weight of all swaps that make it
+    shares: dict[tuple[tuple[int, ...], tuple[int, ...]], float] = {}
+    for w, swaps in zip(weight, got.column("moves").to_pylist(), strict=True):
+        for m in swaps:
+            key = tuple(m["lost"]), tuple(m["gained"])
+            shares[key] = shares.get(key, 0.0) + w / m["peers"]
+    entries = [(i, f, sign * np.sqrt(share)) for i, ((lost, gained), share) in enumerate(sorted(shares.items())) for sign, side in ((1, lost), (-1, gained)) for f in side]
+    move, at, value = (np.array([e[j] for e in entries]) for j in range(3)) if entries else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    at = np.searchsorted(chosen, at)
+    steep = 0.0
+    if entries:  # no less than the square of the penalty's largest singular value
+        steep = np.bincount(move, np.abs(value)).max() * np.bincount(at, np.abs(value)).max()
     w, bias = np.zeros(len(chosen)), float(np.log((weight * y).sum() / (weight * (1 - y)).sum()))
     bend = 0.25 * max(1.0, np.bincount(row, minlength=n).max() ** 0.5)
-    rate = 1 / (bend + 2 * fairness * (np.linalg.norm(moves, 2) ** 2 if len(moves) else 0))
+    rate = 1 / (bend + 2 * fairness * steep)
     fast, last_w, last_b = 1.0, w.copy(), bias
     vw, vb = w.copy(), bias
     for _ in range(steps):  # accelerated proximal gradient
         p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, vw[col], n), -30, 30)))
         err = weight * (p - target)
         grad = np.bincount(col, err[row], len(chosen))
-        if len(moves):
-            grad = grad + 2 * fairness * moves.T @ (moves @ vw)
+        if entries:
+            change = np.bincount(move, value * vw[at], len(shares))
+            grad = grad + 2 * fairness * np.bincount(at, value * change[move], len(chosen))
         w, bias = np.maximum(0, vw - rate * (grad + sparsity)), vb - rate * err.sum()
         nxt = (1 + np.sqrt(1 + 4 * fast * fast)) / 2
         vw, vb = w + (fast - 1) / nxt * (w - last_w), bias + (fast - 1) / nxt * (bias - last_b)
@@ -157,6 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4
     return LexicalModel(bias, {int(f): float(x) for f, x in zip(chosen, w, strict=True) if x > 1e-6})
 
 
+_MOVES = pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("peers", pa.int32())]))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs, whole texts.
 
