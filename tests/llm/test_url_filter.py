@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -33,11 +34,25 @@ def plain_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def plain_shape(path, levels=U.LEVELS):
+def plain_shape(path):
     import re
 
-    segs = [re.sub("[0-9]+", "*", re.sub("^[0-9a-fA-F-]{16,}$", "*", s)) for s in path.split("/") if s]
-    return segs[: levels - 1] + ["**"] if len(segs) > levels else segs
+    return [re.sub("[0-9]+", "*", re.sub("^[0-9a-fA-F-]{16,}$", "*", s)) for s in path.split("/") if s]
+
+
+def plain_branches(nodes, parents):
+    """Of each parent's nodes in the order of their shares, which run of neighbours that don't differ each is in."""
+    band = {}
+    for parent in set(parents.values()):
+        order = sorted(((b + 0.5) / (l + 1.0), n[2], l, b, n) for n, (l, b) in nodes.items() if l and parents[n] == parent)
+        at = 0
+        for i, (share, _, l, b, n) in enumerate(order):
+            if i:
+                last, _, m, c, _ = order[i - 1]
+                q = (b + c + 1.0) / (l + m + 2.0)
+                at += share - last > 1.96 * math.sqrt(q * (1 - q) * (1 / l + 1 / m))
+            band[n] = at
+    return {n: band.get(n, -1) for n in nodes}
 
 
 def plain_verdicts(urls):
@@ -48,7 +63,8 @@ def plain_verdicts(urls):
     place = {}  # (host, shape) -> prefixes
     shapes = Counter((p[0], tuple(p[4])) for p in pages)
     current = {k: [""] for k in shapes}
-    for d in range(1, U.LEVELS + 1):
+    deepest = max(len(p[4]) for p in pages)
+    for d in range(1, deepest + 1):
         kids = defaultdict(Counter)
         for (h, s), n in shapes.items():
             if len(s) >= d:
@@ -64,13 +80,13 @@ def plain_verdicts(urls):
     overall = (sum(blocked.values()) + 1) / (sum(labelled.values()) + 2)
     place = {k: [overall, 0] for k in shapes}
     above = {k: () for k in shapes}
-    for d in range(U.LEVELS + 1):
+    for d in range(deepest + 1):
         nodes = defaultdict(lambda: [0, 0])
         for k, t in current.items():
             if t[d] is not None:
                 nodes[k[0], above[k], t[d]][0] += labelled[k]
                 nodes[k[0], above[k], t[d]][1] += blocked[k]
-        band = {n: -1 if not x[0] else int(10 * (x[1] + 0.5) / (x[0] + 1)) for n, x in nodes.items()}
+        band = plain_branches({n: tuple(x) for n, x in nodes.items()}, {n: n[:2] for n in nodes})
         merged = defaultdict(lambda: [0, 0])
         for n, x in nodes.items():
             merged[n[0], n[1], band[n]][0] += x[0]
@@ -101,5 +117,14 @@ def test_against_plain_python(spark):
     assert by_url["http://bad.com/en/5"][3] == "block" and all(w[3] == "allow" for u, w in by_url.items() if u and u.startswith("http://shop.com"))
 
 
+def test_deep_rules_reach_deep_paths(spark):
+    rules = (("block", "deep.com", "/a/b/c/d/e/bad"), ("allow", "deep.com", "/a/b/c/d/e/good"))
+    urls = [f"http://deep.com/a/b/c/d/e/{x}/{w}" for x in ("bad", "good") for w in "klmnop"] * 5
+    urls += [f"http://other.com/a/b/c/d/e/{x}/k" for x in ("bad", "good")] + ["http://deep.com/" + "/".join("abcdefghijkl")]
+    got = U.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    purity = {r.path.split("/")[6]: r.purity for r in got if r.host == "deep.com" and r.rule}
+    assert purity["bad"] > 0.8 and purity["good"] < 0.2
+
+
 def test_empty(spark):
     assert U.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0

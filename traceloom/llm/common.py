@@ -103,3 +103,15 @@ def label_sample(labels: DataFrame, label: str, per_class: int) -> tuple[DataFra
     sizes = {r["label"]: float(r["n"]) for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = [kept.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     return parts[0].unionAll(parts[1]), sizes
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The columns of sample (doc_id, label and any others) but doc_id, and text, one row per sampled id that docs has.
+
+    Of rows that repeat an id the text with the smallest hash is taken, so the result is no larger than the sample.
+    """
+    others = [c for c in sample.columns if c != "doc_id"]
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").alias("text_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    found = texts.join(F.broadcast(sample), F.col("text_id") == F.col("doc_id"))
+    return found.groupBy("doc_id").agg(F.min_by("text", "text_hash").alias("text"), *[F.first(c).alias(c) for c in others]).select(*others, "text")

@@ -178,9 +178,10 @@ def whole_leaks(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     found = ends.groupBy("row_key", "item_id").agg(F.max(F.greatest(agreed, own)).alias("n_matched"))
     return found.where("n_matched > 0")
 
+
 def row_key(docs: DataFrame) -> Column:
-    """The same for rows of the same doc_id and text alone."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    """The same for rows of the same doc_id and text alone: 128 bits of hashes, as 64 would meet by chance among 10^10 rows."""
+    return F.struct(F.xxhash64(docs["doc_id"], docs["text"]).alias("a"), F.xxhash64(F.lit(1), docs["text"], docs["doc_id"]).alias("b"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, **options) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import in_arrow, label_sample
+from traceloom.llm.common import in_arrow, label_sample, sampled_texts
 
 PER_CLASS = 1500
 BITS = 12
@@ -127,9 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             at = [np.flatnonzero(f).astype(np.int32) for f in feats]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([f[i] for f, i in zip(feats, at, strict=True)], pa.list_(pa.float32()))], names=["label", "held", "at", "value"])
 
-    texts = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text"))
     held = F.crc32(F.concat(F.lit("platt:"), F.col("doc_id").cast("string"))) % 5 == 0
-    picked = texts.join(F.broadcast(sample.withColumn("held", held)), F.col("text_id") == F.col("doc_id"))
+    picked = sampled_texts(docs, sample.withColumn("held", held))
     got = picked.select("label", "held", "text").transform(in_arrow, run, "label int, held boolean, at array<int>, value array<float>").toArrow().combine_chunks()
     y, held = got.column("label").to_numpy().astype(np.float32), got.column("held").to_numpy(zero_copy_only=False).astype(bool)
     if len(y) == 0 or y.min() == y.max():

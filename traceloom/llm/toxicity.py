@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import discard, id_remainder, in_arrow, label_sample, stored
+from traceloom.llm.common import discard, id_remainder, in_arrow, label_sample, sampled_texts, stored
 
 PER_CLASS = 4000
 HASH_BITS = 21
@@ -114,8 +114,7 @@ def sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
             feats = [sorted({f for w in x for f in word_features(w)}) for x in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(feats, pa.list_(pa.int32()))], names=["label", "words", "feats"])
 
-    picked = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("text_id") == F.col("doc_id"))
-    return stored(picked.select("label", "text").transform(in_arrow, run, "label int, words array<string>, feats array<int>"), "toxicity-sample")
+    return stored(sampled_texts(docs, sample).select("label", "text").transform(in_arrow, run, "label int, words array<string>, feats array<int>"), "toxicity-sample")
 
 
 def _odds(n1: float, n0: float):

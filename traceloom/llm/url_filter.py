@@ -15,18 +15,21 @@ an equi-join in which adaptive execution splits a hot host, or broadcasts the ve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import stored
 
 # Fixed rules: (verdict, host and its subdomains, start of the path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-LEVELS = 4
+#: Levels of the tree in the SQL, which can't ask how deep the paths are; url_verdicts() can.
+SQL_LEVELS = 4
 MANY = 8
 SEEN = 3.0
 WEIGHT = 4.0
 REJECT = 0.5
+#: How many standard errors the blocked shares of neighbouring siblings must differ by to stay apart (two-proportion test).
+Z = 1.96
 SURE = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,14 +50,14 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def shape(path: Column, levels: int = LEVELS) -> Column:
-    """The path's segments, joined by /; digits and long hexadecimal segments as *; what is below the last level as one **."""
+def shape(path: Column) -> Column:
+    """The path's segments, joined by /; digits and long hexadecimal segments as *."""
     cut = F.filter(F.split(path, "/"), lambda s: s != "")
     cut = F.transform(cut, lambda s: F.regexp_replace(F.regexp_replace(s, r"^(?:[0-9a-fA-F-]{16,})$", "*"), r"[0-9]+", "*"))
-    return F.array_join(F.when(F.size(cut) > levels, F.concat(F.slice(cut, 1, levels - 1), F.array(F.lit("**")))).otherwise(cut), "/")
+    return F.array_join(cut, "/")
 
 
-def templates(counts: DataFrame, levels: int = LEVELS, many: int = MANY, seen: float = SEEN) -> DataFrame:
+def templates(counts: DataFrame, levels: int, many: int = MANY, seen: float = SEEN) -> DataFrame:
     """counts (host, shape, n, labelled, blocked) with the columns t0 ... t<levels>: the node's prefix at each level, null below the shape's end."""
     rows = counts.withColumn("segs", F.split("shape", "/")).withColumn("t0", F.lit(""))
     for d in range(1, levels + 1):
@@ -65,10 +68,12 @@ def templates(counts: DataFrame, levels: int = LEVELS, many: int = MANY, seen: f
         vary = kids.where("has_many AND seldom").select(F.col("host").alias("h"), F.col(f"t{d - 1}").alias("p"))
         rows = rows.join(vary, (F.col("host") == F.col("h")) & (F.col(f"t{d - 1}") == F.col("p")), "left")
         rows = rows.withColumn(f"t{d}", F.when(F.col("child").isNull(), None).otherwise(F.concat_ws("/", f"t{d - 1}", F.when(F.col("h").isNotNull(), "*").otherwise(F.col("child"))))).drop("h", "p")
+        if d % 4 == 0:  # a plan of few levels, however deep the paths are
+            rows = stored(rows, f"url-templates-{d}")
     return rows.drop("segs")
 
 
-def purities(rows: DataFrame, levels: int = LEVELS, weight: float = WEIGHT) -> DataFrame:
+def purities(rows: DataFrame, levels: int, weight: float = WEIGHT) -> DataFrame:
     """templates() with the columns own (labelled pages of the row's merged template) and purity."""
     total = rows.groupBy().agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     overall = ((total["b"] or 0) + 1.0) / ((total["l"] or 0) + 2.0)
@@ -76,8 +81,14 @@ def purities(rows: DataFrame, levels: int = LEVELS, weight: float = WEIGHT) -> D
     for d in range(levels + 1):
         up = [f"t{d - 1}", f"m{d - 1}"] if d else []
         nodes = rows.where(F.col(f"t{d}").isNotNull()).groupBy("host", *up, f"t{d}").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        # siblings alike in tenths of their smoothed share are one branch; -1: no labelled pages
-        nodes = nodes.withColumn(f"m{d}", F.when(F.col("l") == 0, -1).otherwise(F.floor(10 * (F.col("b") + 0.5) / (F.col("l") + 1.0))).cast("int"))
+        # siblings in the order of their smoothed share: where neighbours differ significantly, a new branch begins; -1: no labelled pages
+        nodes = nodes.withColumn("share", (F.col("b") + 0.5) / (F.col("l") + 1.0)).withColumn("none", F.col("l") == 0)
+        order = Window.partitionBy("host", *up, "none").orderBy("share", f"t{d}")
+        nodes = nodes.withColumn("last", F.lag(F.struct("l", "b", "share")).over(order))
+        pooled = (F.col("b") + F.col("last.b") + 1.0) / (F.col("l") + F.col("last.l") + 2.0)
+        differs = F.col("share") - F.col("last.share") > Z * F.sqrt(pooled * (1.0 - pooled) * (1.0 / F.col("l") + 1.0 / F.col("last.l")))
+        branch = F.sum(F.when(~F.col("none") & differs, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        nodes = nodes.withColumn(f"m{d}", F.when(F.col("none"), -1).otherwise(branch).cast("int"))
         merged = nodes.groupBy("host", *up, f"m{d}").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"))
         keys = ["host", *up]
         nodes = nodes.join(merged, [*keys, f"m{d}"]).select(*[F.col(k).alias(f"k_{k}") for k in [*keys, f"t{d}"]], f"m{d}", "ml", "mb")
@@ -88,7 +99,7 @@ def purities(rows: DataFrame, levels: int = LEVELS, weight: float = WEIGHT) -> D
     return rows
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int = LEVELS) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, sure: float = SURE) -> DataFrame:
     """(page_id, host, path, rule, verdict, purity), one row per row of pages; purity is the tree's, for URLs without a rule too.
 
     A null URL or one without :// has an empty host and path, and is one of the tree's hosts like any other. Repeated rows
@@ -97,16 +108,17 @@ def url_verdicts(pages: DataFrame, rules=RULES, reject: float = REJECT, sure: fl
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path"), levels).alias("shape"))
+    urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path")).alias("shape"))
     counts = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     counts = stored(counts, "url-counts")
+    levels = counts.agg(F.max(F.size(F.split("shape", "/")))).first()[0] or 1  # the tree is as deep as the paths
     judged = purities(templates(counts, levels), levels).select("host", "shape", "purity", (F.col("purity") > F.when(F.col("own") > 0, reject).otherwise(sure)).alias("rejected"))
     out = urls.join(judged, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), F.round("purity", 6).alias("purity"))
 
 
-def url_sql(rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int = LEVELS, many: int = MANY, seen: float = SEEN, weight: float = WEIGHT, pages: str = "pages") -> str:
-    """DuckDB SQL for url_verdicts()."""
+def url_sql(rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int = SQL_LEVELS, many: int = MANY, seen: float = SEEN, weight: float = WEIGHT, pages: str = "pages") -> str:
+    """DuckDB SQL for url_verdicts(); exact for paths of at most so many segments as levels."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick(v, h, p)}'" for v, h, p in ordered) + " END"
@@ -117,7 +129,7 @@ def url_sql(rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int
         SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled,
             list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '^(?:[0-9a-fA-F-]{{16,}})$', '*'), '[0-9]+', '*', 'g')) AS segs FROM parts
     ),
-    urls AS (SELECT * EXCLUDE (segs), array_to_string(CASE WHEN len(segs) > {levels} THEN list_append(segs[1:{levels - 1}], '**') ELSE segs END, '/') AS shape FROM cuts),
+    urls AS (SELECT * EXCLUDE (segs), array_to_string(segs, '/') AS shape FROM cuts),
     g0 AS (SELECT host, shape, string_split(shape, '/') AS segs, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS t0 FROM urls GROUP BY host, shape)"""
     for d in range(1, levels + 1):
         p = f"t{d - 1}"
@@ -134,8 +146,12 @@ def url_sql(rules=RULES, reject: float = REJECT, sure: float = SURE, levels: int
         up = f"t{d - 1}, m{d - 1}, " if d else ""
         sql += f""",
     n{d} AS (
-        SELECT host, {up}t{d}, sum(labelled) AS l, sum(blocked) AS b, CASE WHEN sum(labelled) = 0 THEN -1 ELSE floor(10 * (sum(blocked) + 0.5::DOUBLE) / (sum(labelled) + 1.0::DOUBLE))::INTEGER END AS m{d}
-        FROM p{d} WHERE t{d} IS NOT NULL GROUP BY host, {up}t{d}
+        SELECT host, {up}t{d}, l, b, CASE WHEN l = 0 THEN -1 ELSE (sum(CASE WHEN share - ls > {Z}::DOUBLE * sqrt(q * (1.0::DOUBLE - q) * (1.0::DOUBLE / l + 1.0::DOUBLE / ll)) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY host, {up}l = 0 ORDER BY share, t{d} ROWS UNBOUNDED PRECEDING))::INTEGER END AS m{d}
+        FROM (SELECT *, (b + lb + 1.0::DOUBLE) / (l + ll + 2.0::DOUBLE) AS q FROM (
+            SELECT *, lag(l) OVER w AS ll, lag(b) OVER w AS lb, lag(share) OVER w AS ls FROM (
+                SELECT *, (b + 0.5::DOUBLE) / (l + 1.0::DOUBLE) AS share FROM (SELECT host, {up}t{d}, sum(labelled) AS l, sum(blocked) AS b FROM p{d} WHERE t{d} IS NOT NULL GROUP BY host, {up}t{d})
+            ) WINDOW w AS (PARTITION BY host, {up}l = 0 ORDER BY share, t{d})))
     ),
     x{d} AS (SELECT host, {up}t{d}, m{d}, sum(l) OVER w AS ml, sum(b) OVER w AS mb FROM n{d} WINDOW w AS (PARTITION BY host, {up}m{d})),
     p{d + 1} AS (
