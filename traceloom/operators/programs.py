@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import patterns as P
 from traceloom.functions import programs
 from traceloom.functions.flow import Flow
-from traceloom.schemas import CFG_BLOCKS
+from traceloom.schemas import CFG_BLOCKS, CFG_JSON
 
 
 def mapped(c: Column, f: Callable, kind: str) -> Column:
@@ -112,6 +112,12 @@ def cfg_json(blocks: DataFrame, keys: list[str], output_var: str = "result") ->
     return blocks.groupBy(*keys).agg(F.to_json(F.struct(F.lit(output_var).alias("output_var"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("blocks"))).alias("json"))
 
 
+def blocks_from_json(graphs: DataFrame, keys: list[str], column: str = "json") -> DataFrame:
+    """keys, output_var and a CFG_BLOCKS row for each block of cfg_json() texts; a text that is no such graph has none."""
+    parsed = graphs.select(*keys, F.from_json(column, CFG_JSON).alias("g"))
+    return parsed.select(*keys, "g.output_var", F.explode("g.blocks").alias("_id", "b")).select(*keys, "output_var", "b.*")
+
+
 def stored_or_built(tasks: DataFrame, stored: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
     """keys, cfg: the text of a stored graph (keys, cfg) where there is one, else of the graph built from the code."""
     missing = tasks.join(stored.select(*keys), keys, "left_anti")

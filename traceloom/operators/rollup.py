@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,23 @@ def error_distribution(scored: DataFrame, by: list[str] | None = None) -> DataFr
     return scored.groupBy(*(by or []), "error_type").agg(F.count("*").alias("n"))
 
 
+def by_count(rows: DataFrame, by: list[str], what: str, seen: str) -> DataFrame:
+    """by, what, n and place: the values of a column by falling count, of equal counts the one that was seen first (smallest seen).
+
+    Ranks are over counts, a row per value; give groups by where there are many values.
+    """
+    counts = rows.groupBy(*by, what).agg(F.count("*").alias("n"), F.min(seen).alias("_first"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "_first"))).drop("_first")
+
+
+def output_variables(lines: DataFrame, keys: list[str], sequence: str = "block_sequence", default: str = "result") -> DataFrame:
+    """keys, variable: the first name of a trace's lines (line_no, value) that isn't the block sequence's."""
+    name = F.expr("""trim(BOTH '"' FROM trim(BOTH "'" FROM trim(split_part(value, ':', 1))))""")
+    named = lines.select(*keys, "line_no", F.when(F.contains("value", F.lit(":")), name).alias("_name"))
+    first = F.min(F.when(F.col("_name") != sequence, F.struct("line_no", "_name")))["_name"]
+    return named.groupBy(*keys).agg(F.coalesce(first, F.lit(default)).alias("variable"))
+
+
 def status_counts(rows: DataFrame, by: list[str], status: str = "status") -> DataFrame:
     return rows.groupBy(*by, status).agg(F.count("*").alias("n"))
 

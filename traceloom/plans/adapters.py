@@ -106,3 +106,25 @@ SEQUENCES_SQL = TRACE_SQL + """,
             tp = pp AS path_exact, tv = pv AS values_exact, tv[len(tv)] = pv[len(pv)] AS final_correct, tv[len(tv)] = pv[len(pv)] AND tp <> pp AS reasoning_illusion
         FROM pairs
     )"""
+
+
+#: Programs made of the sizes of parts: a helper, and a function with a loop and a branch. {n} is the size.
+PROGRAM = "def helper(x, y=1):\n    return x * {n}\n\n\ndef fun1(n):\n    result = 0\n    for i in range(n):\n        if i % 2 == 0:\n            result += i\n        else:\n            result -= {n}\n    return result\n"
+BROKEN = "def fun1(n:\n    return {n}\n"
+ENDLESS = "def fun1(n):\n    while True:\n        n += {n}\n    return n\n"
+TEST = "inputs = [[{n}], [3], [0]]\nresults = [1, 2, 0]\nassertion(fun1(3), 1, 0)"
+
+
+def program_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of programs, one for each size of a part: every fifth doesn't parse, that of size 1 doesn't end."""
+    filled = lambda template: F.replace(F.lit(template), F.lit("{n}"), F.col("n").cast("string"))
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("n")).where("n IS NOT NULL").distinct()
+    code = F.when(F.col("n") % 5 == 0, filled(BROKEN)).when(F.col("n") == 1, filled(ENDLESS)).otherwise(filled(PROGRAM))
+    rows = sizes.select(F.concat(F.lit("task_"), F.col("n").cast("string")).alias("task_id"), code.alias("code"), filled(TEST).alias("test"), F.array(F.lit("assert helper(2) == 4"), F.lit("assert fun1(1) == 0")).alias("test_list"))
+    changed = lambda a, b: F.replace(F.col("code"), F.lit(a), F.lit(b))
+    return rows.select("*", changed("result += i", "result = result + i").alias("equivalent"), changed("result += i", "result += i + 1").alias("non_equivalent"), changed("    return result", "    return result +").alias("rejected"))
+
+
+#: The same for the oracle: n, task_id and the kind of program.
+TASKS_SQL = """
+    tasks AS (SELECT DISTINCT p_size AS n, 'task_' || p_size AS task_id, CASE WHEN p_size % 5 = 0 THEN 'broken' WHEN p_size = 1 THEN 'endless' ELSE 'plain' END AS kind FROM part WHERE p_size IS NOT NULL)"""

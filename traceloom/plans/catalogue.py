@@ -9,10 +9,10 @@ from traceloom import modes
 from traceloom.functions import similarity, text
 from traceloom.operators import compare, rollup, sequence
 from traceloom.plans import adapters as A
-from traceloom.plans import program_queries
+from traceloom.plans import program_queries, text_queries
 
-QUERIES: dict = dict(program_queries.QUERIES)
-ORACLES: dict = {}
+QUERIES: dict = program_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict = program_queries.ORACLES | text_queries.ORACLES
 
 
 def query(sql: str | None = None):

@@ -1,4 +1,8 @@
-"""Queries over programs: parsed, run and traced toy tasks. SQL can't express them; tests hold them against golden values."""
+"""Queries over programs: parsed, run and traced tasks.
+
+The programs are made of the driver's tables (adapters.program_tasks); without a folder of tables they are three toys. SQL
+can't parse or run a program, but it can say what these programs' blocks, functions and outputs are.
+"""
 
 from __future__ import annotations
 
@@ -6,115 +10,188 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import prompts, text
 from traceloom.operators import execute, programs, sequence
+from traceloom.plans import adapters as A
 from traceloom.plans import toys
 
 QUERIES: dict = {}
+ORACLES: dict = {}
 TIMEOUT = 4.0
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = "WITH " + A.TASKS_SQL + sql
+        return f
+
+    return add
+
+
+def _tasks(spark, sf_dir):
+    return A.program_tasks(spark, sf_dir) if sf_dir else toys.tasks(spark)
+
+#: Blocks of the programs by kind: id, type, first and last line, the lines held, successors, source.
+_PLAIN = [
+    ("B0", "entry", 1, 1, "1", "B1", "def helper(x, y=1):"), ("B1", "return", 2, 2, "2", "", "    return x * {n}"),
+    ("B2", "entry", 5, 5, "5", "B3", "def fun1(n):"), ("B3", "normal", 6, 6, "6", "B4", "    result = 0"),
+    ("B4", "loop_head", 7, 7, "7", "B5,B11", "    for i in range(n):"),
+    ("B5", "loop_body", 8, 11, "8,9,10,11", "B6", "        if i % 2 == 0:\n            result += i\n        else:\n            result -= {n}"),
+    ("B6", "condition", 8, 8, "8", "B7,B9", "        if i % 2 == 0:"), ("B7", "then", 9, 9, "9", "B8", "            result += i"),
+    ("B8", "normal", 9, 9, "", "", "            result += i"), ("B9", "else", 11, 11, "11", "B10", "            result -= {n}"),
+    ("B10", "normal", 11, 11, "", "B4", "            result -= {n}"), ("B11", "return", 12, 12, "12", "", "    return result"),
+]
+_ENDLESS = [
+    ("B0", "entry", 1, 1, "1", "B1", "def fun1(n):"), ("B1", "loop_head", 2, 2, "2", "B2,B4", "    while True:"), ("B2", "loop_body", 3, 3, "3", "B3", "        n += {n}"),
+    ("B3", "normal", 3, 3, "", "B1", "        n += {n}"), ("B4", "return", 4, 4, "4", "", "    return n"),
+]
+
 
+def _values() -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    rows = [(kind, *b) for kind, blocks in (("plain", _PLAIN), ("endless", _ENDLESS)) for b in blocks]
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
 
-@query
+
+_BLOCKS = f""",
+    shapes(kind, block_id, block_type, line_start, line_end, lines, successors, source_snippet) AS (VALUES {_values()}),
+    blocks AS (SELECT task_id, block_id, block_type, line_start, line_end, lines, successors, replace(source_snippet, '{{n}}', n::VARCHAR) AS source_snippet FROM tasks JOIN shapes USING (kind))"""
+_FILL = lambda text: "replace('" + text.replace("'", "''") + "', '{n}', n::VARCHAR)"
+_CODE = f", code AS (SELECT *, CASE kind WHEN 'broken' THEN {_FILL(A.BROKEN)} WHEN 'endless' THEN {_FILL(A.ENDLESS)} ELSE {_FILL(A.PROGRAM)} END AS code FROM tasks)"
+#: What fun1 of a plain program gives for an input k: the even numbers below k, less n for each odd one.
+_RESULT = "(((k + 1) // 2) * ((k + 1) // 2 - 1) - n * (k // 2))"
+_RUNS = _CODE + f""",
+    cases AS (SELECT n, task_id, kind, 1 AS line_no, n AS k FROM tasks UNION ALL SELECT n, task_id, kind, 2, 3 FROM tasks UNION ALL SELECT n, task_id, kind, 3, 0 FROM tasks),
+    outputs AS (SELECT *, {_RESULT}::VARCHAR AS value FROM cases WHERE kind = 'plain')"""
+
+_TEXTS = _CODE + _BLOCKS + """,
+    shown AS (SELECT task_id, string_agg('[' || block_id || '] ' || rpad(block_type, 12, ' ') || ' line ' || line_start || '-' || line_end || ':  ' || replace(source_snippet, chr(10), chr(10) || repeat(' ', 22)), chr(10) ORDER BY line_start, substr(block_id, 2)::INTEGER) AS cfg FROM blocks GROUP BY task_id),
+    asked AS (SELECT task_id, cfg, code, CASE kind WHEN 'broken' THEN n::VARCHAR WHEN 'endless' THEN 'n' ELSE 'x' END AS v FROM code LEFT JOIN shown USING (task_id))"""
+_ANSWER = "chr(10) || chr(10) || 'Give the answer between <result> and </result> and nothing else.'"
+
+
+@query(_BLOCKS + " SELECT * FROM blocks")
 def cfg_blocks(spark, sf_dir):
-    return programs.cfg_blocks(toys.tasks(spark), ["task_id"])
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return programs.cfg_blocks(_tasks(spark, sf_dir), ["task_id"]).select("task_id", "block_id", "block_type", "line_start", "line_end", joined("lines"), joined("successors"), "source_snippet")
 
 
-@query
+@query(_BLOCKS + " SELECT task_id, block_id AS src, unnest(string_split(successors, ',')) AS dst FROM blocks WHERE successors <> ''")
 def cfg_edges(spark, sf_dir):
-    return programs.cfg_edges(programs.cfg_blocks(toys.tasks(spark), ["task_id"]), ["task_id"])
+    return programs.cfg_edges(programs.cfg_blocks(_tasks(spark, sf_dir), ["task_id"]), ["task_id"])
 
 
-@query
+@query(_BLOCKS + """, ranks(block_type, rank) AS (VALUES ('entry', 0), ('normal', 1), ('loop_head', 2), ('loop_body', 3), ('try', 3), ('then', 4), ('else', 4), ('condition', 5), ('return', 6)),
+    held AS (SELECT task_id, block_id, block_type, unnest(string_split(lines, ','))::INTEGER AS line_no FROM blocks WHERE lines <> '')
+    SELECT task_id, line_no, arg_max(block_id, rank) AS block_id FROM held JOIN ranks USING (block_type) GROUP BY task_id, line_no""")
 def cfg_lines(spark, sf_dir):
-    return programs.cfg_lines(programs.cfg_blocks(toys.tasks(spark), ["task_id"]), ["task_id"])
+    return programs.cfg_lines(programs.cfg_blocks(_tasks(spark, sf_dir), ["task_id"]), ["task_id"])
 
 
-@query
+@query(_TEXTS + " SELECT task_id, cfg, 'These are the basic blocks of the program below:' || chr(10) || coalesce(cfg, '(no blocks)') || chr(10) || chr(10) || 'Program:' || chr(10) || code || chr(10) || chr(10) || 'Give the blocks in the order in which they run as ''block_sequence'': [...], and the values of ' || v || ' as ''' || v || ''': [...].' || " + _ANSWER + " AS prompt FROM asked")
 def cfg_prompt_text(spark, sf_dir):
-    blocks = programs.cfg_blocks(toys.tasks(spark), ["task_id"])
+    blocks = programs.cfg_blocks(_tasks(spark, sf_dir), ["task_id"])
     cfg = programs.cfg_text(blocks, ["task_id"])
-    rows = toys.tasks(spark).join(cfg, "task_id", "left").withColumn("output_var", text.output_variable(F.col("code")))
+    rows = _tasks(spark, sf_dir).join(cfg, "task_id", "left").withColumn("output_var", text.output_variable(F.col("code")))
     return rows.select("task_id", "cfg", prompts.predict_blocks(F.col("code"), F.coalesce("cfg", F.lit("(no blocks)")), F.col("output_var")).alias("prompt"))
 
 
-@query
+@query(_BLOCKS + """, one AS (SELECT task_id, block_id, '"' || block_id || '":{"block_id":"' || block_id || '","block_type":"' || block_type || '","line_start":' || line_start || ',"line_end":' || line_end || ',"lines":[' || lines || '],"successors":[' || CASE WHEN successors = '' THEN '' ELSE '"' || replace(successors, ',', '","') || '"' END || '],"source_snippet":' || to_json(source_snippet)::VARCHAR || '}' AS j FROM blocks)
+    SELECT task_id, '{"output_var":"result","blocks":{' || string_agg(j, ',' ORDER BY block_id) || '}}' AS json FROM one GROUP BY task_id""")
 def cfg_json(spark, sf_dir):
-    return programs.cfg_json(programs.cfg_blocks(toys.tasks(spark), ["task_id"]), ["task_id"])
+    return programs.cfg_json(programs.cfg_blocks(_tasks(spark, sf_dir), ["task_id"]), ["task_id"])
 
 
-@query
+@query(", f(kind, ordinal, name, required, \"positional\", any_number) AS (VALUES ('plain', 0, 'helper', 1, 2, false), ('plain', 1, 'fun1', 1, 1, false), ('endless', 0, 'fun1', 1, 1, false)) SELECT task_id, ordinal, name, required, \"positional\", any_number FROM tasks JOIN f USING (kind)")
 def ast_functions(spark, sf_dir):
-    return programs.functions(toys.tasks(spark), ["task_id"])
+    return programs.functions(_tasks(spark, sf_dir), ["task_id"])
 
 
-@query
+@query(" SELECT task_id, 'fun1' AS name FROM tasks WHERE kind <> 'broken'")
 def callable_choice(spark, sf_dir):
-    tasks = toys.tasks(spark)
+    tasks = _tasks(spark, sf_dir)
     inputs = programs.test_inputs(tasks, ["task_id"]).withColumn("arity", text.literal_arity(F.col("literal")))
     return programs.callable_functions(programs.functions(tasks, ["task_id"]), inputs.select("task_id", "arity"), programs.entry_names(tasks, ["task_id"]), ["task_id"])
 
 
-@query
+@query(_CODE + " SELECT task_id, kind = 'endless' AS syntax_ok FROM code")
 def syntax_gate(spark, sf_dir):
-    return programs.syntax_gate(toys.tasks(spark), "rejected").select("task_id", "syntax_ok", "syntax_error")
+    return programs.syntax_gate(_tasks(spark, sf_dir), "rejected").select("task_id", "syntax_ok")
 
 
-@query
+@query(_RUNS + " SELECT task_id, line_no, '[' || k || ']' AS literal FROM cases")
 def test_input_literals(spark, sf_dir):
-    return programs.parsed_inputs(programs.test_inputs(toys.tasks(spark), ["task_id"]))
+    return programs.parsed_inputs(programs.test_inputs(_tasks(spark, sf_dir), ["task_id"])).select("task_id", "line_no", "literal")
 
 
-def _scripts(spark, code="code"):
-    tasks = toys.tasks(spark).select("task_id", F.col(code).alias("code"), "test", "test_list")
+def _scripts(spark, sf_dir, code="code"):
+    tasks = _tasks(spark, sf_dir).select("task_id", F.col(code).alias("code"), "test", "test_list")
     return execute.spliced(tasks.join(programs.entry_names(tasks, ["task_id"]), "task_id"), programs.test_inputs(tasks, ["task_id"]), ["task_id"])
 
 
-@query
+@query(_RUNS + " SELECT task_id, CASE kind WHEN 'broken' THEN 'missing' WHEN 'endless' THEN 'timeout' ELSE 'success' END AS status, coalesce(string_agg(value, chr(10) ORDER BY line_no) || chr(10), '') AS output FROM tasks LEFT JOIN outputs USING (n, task_id, kind) GROUP BY task_id, kind")
 def sandbox_exec(spark, sf_dir):
-    return execute.run_scripts(_scripts(spark), ["task_id"], timeout=TIMEOUT).select("task_id", "status", "output")
+    return execute.run_scripts(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT).select("task_id", "status", "output")
 
 
-@query
+@query(""", kinds(name, ok, reason, diff_indices) AS (VALUES ('equivalent', false, 'no output differs', ''), ('non_equivalent', true, '', '0,1'), ('rejected', false, 'syntax', ''))
+    SELECT task_id, name AS kind, ok, reason, diff_indices FROM tasks, kinds WHERE kind = 'plain'""")
 def candidate_gate(spark, sf_dir):
-    original = execute.output_lines(execute.run_scripts(_scripts(spark), ["task_id"], timeout=TIMEOUT), ["task_id"])
+    original = execute.output_lines(execute.run_scripts(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT), ["task_id"])
     original = sequence.collected(original, ["task_id"], "line_no", "value", "original")
-    literals = sequence.collected(programs.test_inputs(toys.tasks(spark), ["task_id"]), ["task_id"], "line_no", "literal", "literals")
+    literals = sequence.collected(programs.test_inputs(_tasks(spark, sf_dir), ["task_id"]), ["task_id"], "line_no", "literal", "literals")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("candidate")) for k in ("equivalent", "non_equivalent", "rejected")]))
-    rows = toys.tasks(spark).select("task_id", kinds.alias("c")).select("task_id", "c.*").join(original, "task_id").join(literals, "task_id")
-    return execute.gate(rows, ["task_id", "kind"], timeout=TIMEOUT)
-
-
-@query
+    rows = _tasks(spark, sf_dir).select("task_id", kinds.alias("c")).select("task_id", "c.*").join(original, "task_id").join(literals, "task_id")
+    judged = execute.gate(rows, ["task_id", "kind"], timeout=TIMEOUT)
+    return judged.withColumn("reason", F.split("reason", ":")[0]) if not sf_dir else judged.select("task_id", "kind", "ok", F.split("reason", ":")[0].alias("reason"), F.array_join(F.col("diff_indices").cast("array<string>"), ",").alias("diff_indices"))
+
+
+@query(_RUNS + f""", calls AS (SELECT * FROM cases WHERE kind = 'plain'),
+    steps AS (
+        SELECT task_id, 'n' AS var, line_no, 0 AS i, k::VARCHAR AS value FROM calls
+        UNION ALL SELECT task_id, 'one', line_no, 0, '[' || k || ']' FROM calls
+        UNION ALL SELECT task_id, 'i', line_no, i, i::VARCHAR FROM (SELECT *, unnest(range(0, k))::INTEGER AS i FROM calls)
+        UNION ALL SELECT task_id, 'one', 1, 0, '[1]' FROM tasks WHERE kind = 'endless'
+        UNION ALL SELECT task_id, 'n', 1, i, i::VARCHAR FROM (SELECT task_id, unnest(range(1, 998))::INTEGER AS i FROM tasks WHERE kind = 'endless')
+        UNION ALL SELECT task_id, 'result', line_no, k::INTEGER, {_RESULT}::VARCHAR FROM (SELECT task_id, line_no, n, unnest(range(0, k + 1)) AS k FROM calls)
+    ),
+    new AS (SELECT * FROM (SELECT *, lag(value) OVER (PARTITION BY task_id, var ORDER BY line_no, i) AS before FROM steps) WHERE value IS DISTINCT FROM before)
+    SELECT task_id, var, string_agg(value, ' ' ORDER BY line_no, i) AS values FROM new GROUP BY task_id, var""")
 def program_variable_changes(spark, sf_dir):
-    events = sequence.traced(execute.trace_events(_scripts(spark), ["task_id"], timeout=TIMEOUT, most=2000).where("var IS NOT NULL"))
+    events = sequence.traced(execute.trace_events(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT, most=2000).where("var IS NOT NULL"))
     new = sequence.changes(events, ["task_id", "var"], "step", "value")
-    return sequence.collected(new, ["task_id", "var"], "step", "value", "values")
+    found = sequence.collected(new, ["task_id", "var"], "step", "value", "values")
+    return found.withColumn("values", F.array_join("values", " ")) if sf_dir else found
 
 
-@query
+@query()
 def program_block_trace(spark, sf_dir):
-    events = execute.trace_events(_scripts(spark), ["task_id"], timeout=TIMEOUT, most=2000)
+    events = execute.trace_events(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT, most=2000)
     lines = execute.line_events(events, ["task_id"], ["fun1"], "result")
-    owned = programs.cfg_lines(programs.cfg_blocks(_scripts(spark), ["task_id"], "script"), ["task_id"])
+    owned = programs.cfg_lines(programs.cfg_blocks(_scripts(spark, sf_dir), ["task_id"], "script"), ["task_id"])
     return sequence.block_traces(sequence.line_blocks(lines, owned, ["task_id"]), ["task_id"], "step", "block_id", "value", cap=500)
 
 
-@query
+@query(""" SELECT task_id, CASE WHEN n % 3 = 2 THEN 'empty' ELSE 'ok' END AS status, CASE n % 3 WHEN 0 THEN n::VARCHAR WHEN 1 THEN 'no tag' ELSE 'ERROR: empty' END AS result FROM tasks""")
 def replay_prediction(spark, sf_dir):
-    answers = {"task_1": ["<result>\n-1\n1\n0\n</result>"], "task_2": ["no tag "]}
-    asked = _scripts(spark).select("task_id", prompts.predict_output(F.col("script")).alias("prompt"))
+    answers = {"task_1": ["<result>\n-1\n1\n0\n</result>"], "task_2": ["no tag "]}  # of the toys
+    if sf_dir:
+        answers = {f"task_{n}": ["<result>\n" + str(n) + " \n</result> <result>2</result>"] if n % 3 == 0 else [" no tag\n"] for n in range(200) if n % 3 < 2}
+    asked = _scripts(spark, sf_dir).select("task_id", prompts.predict_output(F.col("script")).alias("prompt"))
     return execute.predict(asked, ["task_id"], lambda: execute.Replay(answers), tries=1).select("task_id", "status", "result")
 
 
-@query
+@query(_CODE + """ SELECT task_id, 'fixed' AS status, 3 AS attempts, 'syntax|no output differs|' AS reasons, replace(code, 'result += i', 'result += i + 1') AS code FROM code WHERE kind = 'plain'""")
 def repair_loop(spark, sf_dir):
-    original = execute.output_lines(execute.run_scripts(_scripts(spark), ["task_id"], timeout=TIMEOUT), ["task_id"])
+    original = execute.output_lines(execute.run_scripts(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT), ["task_id"])
     original = sequence.collected(original, ["task_id"], "line_no", "value", "original")
-    literals = sequence.collected(programs.test_inputs(toys.tasks(spark), ["task_id"]), ["task_id"], "line_no", "literal", "literals")
-    rows = toys.tasks(spark).select("task_id", "code").join(original, "task_id").join(literals, "task_id")
+    literals = sequence.collected(programs.test_inputs(_tasks(spark, sf_dir), ["task_id"]), ["task_id"], "line_no", "literal", "literals")
+    rows = _tasks(spark, sf_dir).select("task_id", "code").join(original, "task_id").join(literals, "task_id")
     rows = rows.withColumn("prompt", prompts.non_equivalent(F.col("code"), F.array_join("literals", "\n")))
-    answers = {t[0]: [t[6], t[4], t[5]] for t in toys.TASKS}
-    return execute.repair(rows, ["task_id"], lambda: execute.Replay(answers), attempts=4, timeout=TIMEOUT)
+    # stored answers, one program for each size of a part: a few dozen
+    answers = {r.task_id: [r.rejected, r.equivalent, r.non_equivalent] for r in _tasks(spark, sf_dir).select("task_id", "rejected", "equivalent", "non_equivalent").toLocalIterator()}
+    fixed = execute.repair(rows, ["task_id"], lambda: execute.Replay(answers), attempts=4, timeout=TIMEOUT)
+    if not sf_dir:
+        return fixed
+    reasons = F.array_join(F.transform("attempts", lambda a: F.split(a["reason"], ":")[0]), "|")
+    return fixed.select("task_id", "status", F.size("attempts").alias("attempts"), reasons.alias("reasons"), "code")
