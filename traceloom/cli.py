@@ -9,9 +9,16 @@
     python -m traceloom blocks --scripts DIR --out DIR
     python -m traceloom load --tasks FILE --out DIR [--sample-size 10] [--seed 0] [--limit N]
     python -m traceloom splice --tasks FILE --out DIR
-    python -m traceloom predict --scripts DIR --answers DIR --out DIR [--kind output|variables]
+    python -m traceloom predict --scripts DIR --out DIR [--kind output|variables|blocks] (--answers DIR | --service URL --model NAME [--key ${NAME}] [--tries 5] [--workers N])
+    python -m traceloom mutate --tasks FILE --out DIR --kind equivalent|non_equivalent --service URL --model NAME
+    python -m traceloom repair --tasks FILE --mutants DIR --results DIR --compared DIR --out DIR [--task-ids 1,2] [--dry-run] [--refresh-only] [--service URL --model NAME]
+    python -m traceloom compare --original DIR --mutant DIR --out DIR
+    python -m traceloom evaluate-traces --truth DIR --predicted DIR [--label NAME ...]
+    python -m traceloom evaluate-blocks --truth DIR --predicted DIR [--label NAME ...]
+    python -m traceloom clean --texts DIR --out DIR [--label NAME ...] [--kind output|trace]
     python -m traceloom problems --results DIR --compared DIR --tasks FILE
     python -m traceloom validate --original DIR --mutant DIR [--non-equivalent] [--include-missing]
+    python -m traceloom validate --original DIR --equivalent DIR --different DIR [--inputs DIR] [--report DIR] [--max-examples 3]
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from traceloom import modes
+from traceloom import drivers, modes
 from traceloom.functions import prompts, text
 from traceloom.operators import compare, execute, programs, sequence
 from traceloom.plans.catalogue import ORACLES, QUERIES
@@ -64,10 +71,8 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("predict")
     r.add_argument("--scripts", required=True)
     r.add_argument("--glob", default="*.py")
-    r.add_argument("--answers", required=True, help="folder of task_*.txt files that a replay answers with")
-    r.add_argument("--kind", choices=["output", "variables"], default="output")
-    r.add_argument("--tries", type=int, default=1)
-    r.add_argument("--workers", type=int)
+    r.add_argument("--answers", help="folder of task_*.txt files that a replay answers with")
+    r.add_argument("--kind", choices=["output", "variables", "blocks"], default="output")
     r.add_argument("--limit", type=int)
     r.add_argument("--task", action="append")
     r.add_argument("--overwrite", action="store_true")
@@ -78,12 +83,65 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--compared", required=True)
     v = sub.add_parser("validate")
     v.add_argument("--original", required=True)
-    v.add_argument("--mutant", required=True)
+    v.add_argument("--mutant")
+    v.add_argument("--equivalent")
+    v.add_argument("--different")
+    v.add_argument("--inputs")
+    v.add_argument("--report")
+    v.add_argument("--max-examples", type=int, default=3)
     v.add_argument("--non-equivalent", action="store_true")
     v.add_argument("--include-missing", action="store_true")
+    m = sub.add_parser("mutate")
+    m.add_argument("--tasks", required=True)
+    m.add_argument("--kind", choices=["equivalent", "non_equivalent"], required=True)
+    f = sub.add_parser("repair")
+    for name in ("tasks", "mutants", "results", "compared"):
+        f.add_argument(f"--{name}", required=True)
+    f.add_argument("--task-ids")
+    f.add_argument("--attempts", type=int, default=5)
+    f.add_argument("--dry-run", action="store_true")
+    f.add_argument("--refresh-only", action="store_true")
+    f.add_argument("--void", help="a table of task_id whose rows of changed tasks are dropped")
+    for q in (r, m, f):
+        q.add_argument("--service")
+        q.add_argument("--model", default="")
+        q.add_argument("--key", default="")
+        q.add_argument("--timeout", type=float, default=60)
+        q.add_argument("--tries", type=int, default=5)
+        q.add_argument("--workers", type=int)
+    for q in (m, f):
+        q.add_argument("--limit", type=int)
+        q.add_argument("--overwrite", action="store_true")
+        q.add_argument("--out", required=True)
+    c = sub.add_parser("compare")
+    c.add_argument("--original", required=True)
+    c.add_argument("--mutant", required=True)
+    c.add_argument("--out", required=True)
+    for name in ("evaluate-traces", "evaluate-blocks"):
+        e = sub.add_parser(name)
+        e.add_argument("--truth", required=True)
+        e.add_argument("--predicted", required=True)
+        e.add_argument("--label", action="append")
+    k = sub.add_parser("clean")
+    k.add_argument("--texts", required=True)
+    k.add_argument("--kind", choices=["output", "trace"], default="output")
+    k.add_argument("--label", action="append")
+    k.add_argument("--out", required=True)
     return p
 
 
+def _service(args):
+    return lambda: execute.Service(args.service, args.model, args.key, args.timeout)
+
+
+def _tasks(spark, args):
+    """task_id, code, preferred and literals of a snapshot's tasks."""
+    rows = files.tasks(spark, args.tasks)
+    rows = rows.orderBy("task_num").limit(args.limit) if args.limit else rows
+    inputs = programs.test_inputs(rows.withColumn("test", text.test_field(F.col("test"))), ["task_id"])
+    return rows.join(programs.entry_names(rows, ["task_id"]), "task_id").join(drivers.literals_of(inputs), "task_id").select("task_id", "code", "preferred", "literals")
+
+
 def _scripts(spark, args):
     rows = files.whole_texts(spark, args.scripts, args.glob).select("task_id", F.col("text").alias("script"))
     if args.task:
@@ -137,8 +195,22 @@ def main(argv: list[str] | None = None) -> None:
             named = rows.join(programs.entry_names(rows, ["task_id"]), "task_id")
             sinks.resume(execute.spliced(named, inputs, ["task_id"]), args.out, ["task_id"], overwrite=args.overwrite).groupBy(F.col("script").isNull().alias("no_function")).count().show()
     elif args.command == "predict":
-        ask = prompts.predict_output if args.kind == "output" else prompts.predict_variables
-        asked = _scripts(spark, args).select("task_id", ask(F.col("script")).alias("prompt"))
+        rows = _scripts(spark, args)
+        script = F.col("script")
+        if args.kind == "blocks":
+            rows = rows.join(programs.cfg_text(programs.cfg_blocks(rows, ["task_id"], "script"), ["task_id"]), "task_id", "left")
+            ask = prompts.predict_blocks(script, F.coalesce("cfg", F.lit("(no blocks)")), text.output_variable(script))
+        else:
+            ask = prompts.predict_output(script) if args.kind == "output" else prompts.predict_variables(script)
+        asked = rows.select("task_id", ask.alias("prompt"))
+        if args.service:
+            if sinks.exists(spark, args.out) and not args.overwrite:  # ask no question twice
+                asked = compare.missing_from(asked, spark.read.parquet(args.out), ["task_id"])
+            replies = execute.predict(asked, ["task_id"], _service(args), args.tries, args.workers).select("task_id", "status", "result")
+            sinks.resume(replies, args.out, ["task_id"], overwrite=args.overwrite).groupBy("status").count().show()
+            return
+        if not args.answers:
+            raise SystemExit("predict needs --answers or --service")
         answers = files.whole_texts(spark, args.answers, "task_*.txt").select("task_id", F.col("text").alias("answer"))
         # stored answers are a table like any other: joined to the questions, not collected
         replies = asked.join(answers, "task_id", "left").select("task_id", F.when(F.coalesce("answer", F.lit("")) == "", "empty").otherwise("ok").alias("status"), text.result_block(F.col("answer")).alias("result"))
@@ -147,6 +219,65 @@ def main(argv: list[str] | None = None) -> None:
         results = files.result_lines(spark, args.results, "*.txt", "", "local")
         compared = files.marked_valid(files.result_lines(spark, args.compared, "*.txt", "", "compare"))
         compare.problem_tasks(files.tasks(spark, args.tasks), results, compared, ["task_id"]).orderBy("problem", "task_id").show(100, truncate=False)
+    elif args.command == "mutate":
+        made = drivers.mutate(_tasks(spark, args), args.kind, _service(args), args.tries, args.workers)
+        sinks.resume(made, args.out, ["kind", "task_id"], overwrite=args.overwrite).groupBy("kind", "status").count().show()
+    elif args.command == "repair":
+        compared = files.marked_valid(files.result_lines(spark, args.compared, "*.txt", "", "compare"))
+        results = files.result_lines(spark, args.results, "*.txt", "", "local")
+        found = compare.problem_tasks(files.tasks(spark, args.tasks), results, compared, ["task_id"])
+        found = drivers.selected_problems(found, args.task_ids, args.limit)
+        if args.dry_run:
+            found.show(1000, truncate=False)
+            return
+        mutants = files.whole_texts(spark, args.mutants, "*.py").select("task_id", F.col("text").alias("mutant"))
+        tasks = _tasks(spark, args)
+        inputs = tasks.select("task_id", F.posexplode("literals").alias("p", "literal")).select("task_id", (F.col("p") + 1).alias("line_no"), "literal")
+        runs = execute.run_scripts(execute.spliced(tasks, inputs, ["task_id"]), ["task_id"], timeout=args.timeout)
+        original = sequence.collected(execute.output_lines(runs, ["task_id"]), ["task_id"], "line_no", "value", "original")
+        rows = tasks.join(mutants, "task_id").join(original, "task_id")
+        done = drivers.repair(rows, found, None if args.refresh_only else _service(args), args.attempts, args.tries, args.timeout)
+        done = sinks.resume(done, args.out, ["task_id"], overwrite=args.overwrite)
+        drivers.repair_report(found, done).write.mode("overwrite").json(f"{args.out}-report")
+        if args.void and sinks.exists(spark, args.void):
+            drivers.invalidated(done, spark.read.parquet(args.void)).write.mode("overwrite").parquet(f"{args.void}-kept")
+        done.groupBy("status").count().show()
+    elif args.command == "compare":
+        lines, skipped = drivers.compare_results(*(files.result_lines(spark, d, "*.txt", "", "local") for d in (args.original, args.mutant)))
+        lines = sinks.resume(lines, args.out, ["task_id"], overwrite=True)
+        compare.compare_summary(lines.withColumn("all", F.lit("all")), ["all"], ["all", "task_id"]).show()
+        skipped.orderBy("task_id").show(1000, truncate=False)
+    elif args.command in ("evaluate-traces", "evaluate-blocks"):
+        labels = args.label or [f"{m}/{s}" for m in modes.MODES for s in ("correct", "error")]
+        truth, predicted = (drivers.labelled_lines(spark, d, labels) for d in (args.truth, args.predicted))
+        if args.command == "evaluate-traces":
+            drivers.evaluate_traces(truth, predicted).orderBy("label").show(100, truncate=False)
+        else:
+            scores, errors = drivers.evaluate_blocks(truth, predicted)
+            scores.orderBy("label").show(100, truncate=False)
+            errors.orderBy("place").show(truncate=False)
+    elif args.command == "clean":
+        found = [files.whole_texts(spark, f"{args.texts}/{x}", "*.txt").select(F.lit(x).alias("label"), "task_id", "text") for x in args.label or modes.MODES if sinks.exists(spark, f"{args.texts}/{x}")]
+        if not found:
+            raise SystemExit("no texts")
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        kept, counts = drivers.cleaned(rows, args.kind)
+        kept.write.mode("overwrite").parquet(args.out)
+        counts.orderBy("label").show(truncate=False)
+    elif args.command == "validate" and not args.mutant:
+        lines = lambda d: files.result_lines(spark, d, "*.txt", "", "local").select("task_id", "line_no", "value")
+        original = lines(args.original)
+        mutants = {k: lines(d) for k, d in (("equivalent", args.equivalent), ("non_equivalent", args.different)) if d}
+        if not mutants:
+            raise SystemExit("validate needs --mutant, --equivalent or --different")
+        inputs = files.input_literals(spark, args.inputs, "*.txt").withColumnRenamed("literal", "value") if args.inputs else original.limit(0)
+        found = drivers.validate(original, mutants, inputs, args.max_examples)
+        found.summary.orderBy("kind").show()
+        compare.failures(found.verdicts, args.include_missing).orderBy("kind", "task_id").show(1000, truncate=False)
+        if args.report:
+            drivers.validation_report(found).write.mode("overwrite").json(args.report)
     elif args.command == "validate":
         original, mutant = (files.result_lines(spark, d, "*.txt", "", "local") for d in (args.original, args.mutant))
         verdicts = compare.validate(original, mutant, ["task_id"], equivalent=not args.non_equivalent)

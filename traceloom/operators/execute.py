@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import programs, sandbox, text
 from traceloom.schemas import ATTEMPT, ERROR_EMPTY
+from traceloom.sources.files import from_environment
 
 
 def _each(rows: DataFrame, keys: list[str], take: list[str], schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
@@ -129,6 +131,26 @@ class Replay:
         return found[min(n, len(found)) - 1] if found else None
 
 
+class Service:
+    """Answers of a chat service over HTTP: POST of model and messages as JSON, the text of the first choice back.
+
+    Address and key may be written as ${NAME}: they are read from the environment of the worker that asks, so no key is in a
+    plan. Each Python worker makes its own.
+    """
+
+    def __init__(self, address: str, model: str, key: str = "", timeout: float = 60):
+        self.address, self.model, self.key, self.timeout = address, model, key, timeout
+
+    def answer(self, key: str, prompt: str) -> str | None:
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        headers = {"Content-Type": "application/json"}
+        if secret := from_environment(self.key):
+            headers["Authorization"] = f"Bearer {secret}"
+        request = urllib.request.Request(from_environment(self.address), body, headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+
 def with_retries(ask: Callable[[], str | None], tries: int = 5, wait: Callable[[float], None] = time.sleep) -> str | None:
     """The first answer that isn't empty; waits 1, 2, 4, ... seconds after a failure; None after the last."""
     for i in range(tries):
