@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import decontaminate, html_text, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
-from traceloom.llm.common import table
+from traceloom.llm.common import table, texts
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.simhash_groups(texts(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return ngram_quality.quality_rules(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def tokenizer_path() -> str:
@@ -26,7 +26,7 @@ def tokenizer_path() -> str:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.token_output(texts(spark, sf_dir, "documents"), tokenizer_path())
 
 
 #: Target shares of the mixture; every other source has the share 1.
@@ -34,32 +34,32 @@ MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    mixed = mixing.poisson_mix(texts(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(spark, table(spark, sf_dir, "documents"))
+    return secrets.scan(spark, texts(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_texts(table(spark, sf_dir, "pages"))
+    return html_text.main_texts(texts(spark, sf_dir, "pages"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+    return url_filter.url_verdicts(texts(spark, sf_dir, "pages"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
+    return decontaminate.contamination(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernel_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kernel_quality.quality_scores(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
