@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.llm import decontaminate, kernel_quality, mixing, simhash, token_files
-from traceloom.llm.common import stored, table
+from traceloom.llm.common import stored, table, texts
 from traceloom.llm.queries import MIX_WEIGHTS, tokenizer_path
 
 
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage: doc_id, start, n_tokens, ids_crc32 of every document of the mixture."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
