@@ -57,6 +57,11 @@ def test_without_the_optional_subpackage(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "traceloom/llm")], check=True)
     code = "import __spark_entry__ as e; assert 'rq1_summary' in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    # the other tests are found without the folders and the pipeline, and one that reads tables passes
+    subprocess.run(["cp", "-r", str(REPO / "tests"), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "tests/llm")], check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, check=True, capture_output=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_contract.py", "-q", "-k", "test_entry or rq1_summary"], cwd=tmp_path, check=True, capture_output=True)
 
 
 def test_nothing_else_imports_the_optional_subpackage():

@@ -144,3 +144,9 @@ def test_repair_report(spark, tmp_path):
 
 def test_regex_guard():
     assert re.fullmatch(text.OUTPUT_ENDS, "\u2028") and re.fullmatch(text.OUTPUT_ENDS, "\r\n") and not re.fullmatch(text.OUTPUT_ENDS, " ")
+
+
+def test_arity_at_any_depth(spark):
+    rows = [("[" * 20 + "1, 2" + "]" * 20, 1), ("[" + "(" * 12 + "1, 2" + ")" * 12 + ", {1: [2, 3]}, 'a,]\\', b', \"x'y,\",]", 4), ("[ ]", 0), ("()", 0), ("[1,]", 1), ("'a, b'", 1), ("[\n1,\n2\n]", 2), ("5", 1), ("[[], []]", 2), ("['', '']", 2)]
+    got = spark.createDataFrame(rows, "x string, n int").select("n", text.literal_arity(F.col("x")).alias("got")).collect()
+    assert [r.got for r in got] == [n for _, n in rows]

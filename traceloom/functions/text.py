@@ -120,12 +120,28 @@ def with_inputs_line(source: Column, line: Column, everywhere: bool = False) ->
 
 
 def literal_arity(literal: Column) -> Column:
-    """How many items a flat list or tuple literal has at its top level; 1 for other literals. Brackets and quotes inside are counted as one item."""
-    body = F.regexp_extract(literal, r"(?s)^\s*[\[(](.*?),?\s*[\])]\s*$", 1)
-    flat = body
-    for _ in range(8):  # inner brackets and strings fold up from within
-        flat = F.regexp_replace(flat, r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "0")
-    return F.when(~literal.rlike(r"(?s)^\s*[\[(].*[\])]\s*$"), 1).when(strip(body) == "", 0).otherwise(F.size(F.split(flat, ",")))
+    """How many items a list or tuple literal has at its top level; 1 for other literals. Brackets at any depth and quotes are told apart.
+
+    One fold over the characters: depth, the quote that is open, whether the next character is escaped, commas at the top
+    level, and whether anything stands behind the last of them.
+    """
+    start = F.expr("named_struct('depth', 0, 'quote', '', 'escaped', false, 'commas', 0, 'behind', false)")
+
+    def step(at: Column, c: Column) -> Column:
+        quoted, escaped = at["quote"] != "", at["escaped"]
+        opens, closes, quotes = (~quoted & c.isin(*x) for x in ("([{", ")]}", "'\""))
+        comma = ~quoted & (c == ",") & (at["depth"] == 1)
+        seen = quoted | quotes | (at["depth"] > 1) | (at["depth"] == 1) & ~closes & ~c.rlike(r"^\s$")
+        return F.struct(
+            (at["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(quotes, c).when(quoted & ~escaped & (c == at["quote"]), "").otherwise(at["quote"]).alias("quote"),
+            (quoted & ~escaped & (c == "\\")).alias("escaped"),
+            (at["commas"] + F.when(comma, 1).otherwise(0)).alias("commas"),
+            (~comma & (at["behind"] | seen)).alias("behind"),
+        )
+
+    count = F.aggregate(F.filter(F.split(literal, ""), lambda c: c != ""), start, step, lambda at: at["commas"] + at["behind"].cast("int"))
+    return F.when(~literal.rlike(r"(?s)^\s*[\[(].*[\])]\s*$"), 1).otherwise(count)
 
 
 def task_ids(raw: Column) -> Column:
