@@ -1,5 +1,6 @@
 """Quality rules, kernel quality and toxicity: exact parts against plain Python, models by held-out accuracy."""
 
+import math
 import os
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.llm import kernel_quality, ngram_quality, queries, toxicity
 
@@ -242,3 +244,102 @@ def test_scores_match_plain_scoring(spark):
     got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, known).collect()}
     for d, t in rows:
         assert abs(got[d] - 1 / (1 + np.exp(-plain_logit(model, t)))) < 1e-9
+
+
+def plain_stats(text):
+    """doc_stats by its description, over characters and lists."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * len(kernel_quality.NAMES)
+    n, size = len(words), len(raw)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    share = lambda ok: sum(map(ok, raw)) / size
+    counts = [raw.count(bytes([b])) for b in set(raw)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    symbols = set(kernel_quality._SYMBOLS.tolist() if hasattr(kernel_quality._SYMBOLS, "tolist") else kernel_quality._SYMBOLS)
+    marks = set(kernel_quality._PUNCTUATION.tolist() if hasattr(kernel_quality._PUNCTUATION, "tolist") else kernel_quality._PUNCTUATION)
+    return [
+        math.log(1 + n), mean, (sum((x - mean) ** 2 for x in lengths) / n) ** 0.5, sum(b in symbols for b in raw) / n, raw.count(b"!") / n, raw.count(b"|") / n,
+        share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in marks), share(lambda b: b >= 128), -sum(c / size * math.log2(c / size) for c in counts),
+        len(set(words)) / n, max(words.count(w) for w in set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len({tuple(words[i : i + 3]) for i in range(n - 2)}) / max(1, n - 2),
+        1 - len(set(lines)) / len(lines), math.log(1 + n / len(lines)), sum(w.istitle() for w in words) / n,
+    ]
+
+
+def test_document_statistics():
+    rng = random.Random(1)
+    texts = [None, "", " \n", "one", "Two Words", "a a a\n\nb!|\nb!|", "É 12 #$ x.", *["".join(rng.choices("abC1 .\n#!é|", k=rng.randrange(1, 400))) for _ in range(60)]]
+    for t in texts:
+        assert kernel_quality.doc_stats(None if t is None else t.encode()) == pytest.approx(plain_stats(t), abs=1e-9), t
+
+
+@pytest.mark.parametrize("fan_in", [1, 32])
+def test_kernel_scores_match_plain_algebra(spark, small, monkeypatch, fan_in):
+    rows, docs, labels = small
+    monkeypatch.setattr(kernel_quality, "FAN_IN", max(2, fan_in))
+    known = {r.doc_id: r.quality for r in labels.where("quality IN (0, 1)").collect()}
+    stats = lambda t: np.array(np.float32(kernel_quality.doc_stats(None if t is None else t.encode())), float)
+    crc = lambda d: zlib.crc32(str(d).encode())
+    train = [(stats(t), known[d], crc(d) // 5 % 5 == 0) for d, t in rows if d in known and crc(d) % 5]
+    x, y, held = (np.array(c) for c in zip(*train, strict=True))
+    spread = x.std(0)
+    kernel = kernel_quality.Kernel(x.mean(0), np.where(spread > 1e-9, spread, 1.0), kernel_quality.FEATURES, kernel_quality.GAMMA, 7)
+    z = kernel.lift(x[~held])
+    n = len(z)
+    penalty = np.diag([kernel_quality.RIDGE * n] * kernel_quality.FEATURES + [1e-6 * n])
+    kernel.beta = np.linalg.solve(z.T @ z + penalty, z.T @ y[~held])
+    bins = np.clip((kernel.raw(x[held]) + 0.5) * kernel_quality.BINS / 2, 0, kernel_quality.BINS - 1).astype(int)
+    at = np.unique(bins)
+    good, weight = (np.array([f(bins == b) for b in at], float) for f in (lambda m: y[held][m].sum(), np.sum))
+    kernel.knots = kernel_quality.isotonic((at + 0.5) * 2 / kernel_quality.BINS - 0.5, good, weight)
+    want = sorted((str(d), float(kernel.apply(stats(t)[None])[0])) for d, t in rows)
+    got = sorted((str(r.doc_id), r.score) for r in kernel_quality.quality_scores(docs, labels).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    # sums in another order move the solution of the ridge, which the steep calibration shows
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-3)
+
+
+def plain_grams(text):
+    """gram_features by loops: shares' square roots of hashed grams, each block of length one."""
+    size, mask = 1 << ngram_quality.BITS, 0xFFFFFFFF
+    base, drop = int(ngram_quality._BASE), 32 - ngram_quality.BITS
+    out = [[0.0] * size, [0.0] * size]
+    points = [ord(c) for c in text or ""]
+    for a, b, c in zip(points, points[1:], points[2:]):
+        out[0][(((a * base + b) * base + c) * 0x9E3779B1 & mask) >> drop] += 1
+    hashes = []
+    for word in (text or "").encode().split():
+        h, power = 0, 1
+        for k, letter in enumerate(word):
+            h += (letter + 1) * int(ngram_quality._POWERS[k % 4096])
+        hashes.append(h * 0x9E3779B1 & mask)
+    for h in hashes:
+        out[1][h >> drop] += 1
+    for a, b in zip(hashes, hashes[1:]):
+        out[1][((a * base + b) * 0x85EBCA6B & mask) >> drop] += 1
+    roots = [[x**0.5 for x in block] for block in out]
+    return [x / (sum(v * v for v in block) ** 0.5 or 1.0) for block in roots for x in block]
+
+
+def test_grams_and_probabilities_match_plain_loops(small):
+    rows, docs, labels = small
+    rng = random.Random(4)
+    for t in [None, "", "a", "ab cd", "x" * 5000, *["".join(rng.choices("abé 日\n.x", k=rng.randrange(300))) for _ in range(30)]]:
+        assert ngram_quality.gram_features(t).tolist() == pytest.approx(plain_grams(t), abs=1e-5)
+    model = ngram_quality.fit(docs, labels)
+    got = {(str(r.doc_id), r.n_words): r.probability for r in ngram_quality.quality_rules(docs, labels).collect()}
+    for d, t in rows[:40]:
+        z = sum(a * b for a, b in zip(plain_grams(t), model.weights.tolist(), strict=True)) + model.bias
+        assert got[str(d), len((t or "").encode().split())] == pytest.approx(1 / (1 + math.exp(-(model.slope * z + model.offset))), abs=1e-4)
+
+
+@needs_data
+def test_rules_on_documents_that_taught_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    got = ngram_quality.quality_rules(docs, labels.where(~part)).where("NOT base_failed").join(labels.where(part), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in got}
+    assert n.get((1, True), 0) >= 0.98 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert n.get((0, False), 0) >= 0.8 * (n.get((0, True), 0) + n.get((0, False), 0)), n

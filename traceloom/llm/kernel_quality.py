@@ -32,6 +32,8 @@ NAMES = (
 FEATURES = 192
 GAMMA = 0.04
 RIDGE = 1e-3
+#: How many partitions' sums a task adds up.
+FAN_IN = 32
 BINS = 2000
 _SYMBOLS = [ord(c) for c in "#*$%&<>@^~=+"]
 _PUNCTUATION = [ord(c) for c in ".,;:?'\"()-"]
@@ -111,7 +113,7 @@ def _stats_of(batch: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def _sums(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over all rows of train: one fixed-size row per partition, added up in two levels."""
+    """Z'Z and Z'y over all rows of train: one fixed-size row per partition, added up in a tree."""
     size = len(kernel.beta)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +130,10 @@ def _sums(train: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
                 total += np.frombuffer(x.as_py()).reshape(size, size + 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    parts = train.select("stats", "label").transform(in_arrow, partial, "total binary")
-    level = parts.repartition(8).transform(in_arrow, add, "total binary")
+    level, n = train.select("stats", "label").transform(in_arrow, partial, "total binary"), train.rdd.getNumPartitions()
+    while n > FAN_IN:  # no task, nor the driver, adds up more than so many
+        n = -(-n // FAN_IN)
+        level = level.repartition(n).transform(in_arrow, add, "total binary")
     total = sum(np.frombuffer(bytes(r["total"])).reshape(size, size + 1) for r in level.collect())
     return total[:, :size], total[:, size]
 
