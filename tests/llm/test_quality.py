@@ -279,10 +279,10 @@ def test_document_statistics():
 def test_kernel_scores_match_plain_algebra(spark, small, monkeypatch, fan_in):
     rows, docs, labels = small
     monkeypatch.setattr(kernel_quality, "FAN_IN", max(2, fan_in))
-    known = {r.doc_id: r.quality for r in labels.where("quality IN (0, 1)").collect()}
+    known = [(r.doc_id, r.quality) for r in labels.where("quality IN (0, 1)").collect()]  # a document counts once for each of its labels
     stats = lambda t: np.array(np.float32(kernel_quality.doc_stats(None if t is None else t.encode())), float)
     crc = lambda d: zlib.crc32(str(d).encode())
-    train = [(stats(t), known[d], crc(d) // 5 % 5 == 0) for d, t in rows if d in known and crc(d) % 5]
+    train = [(stats(t), y, crc(d) // 5 % 5 == 0) for d, t in rows for e, y in known if d is not None and d == e and crc(d) % 5]
     x, y, held = (np.array(c) for c in zip(*train, strict=True))
     spread = x.std(0)
     kernel = kernel_quality.Kernel(x.mean(0), np.where(spread > 1e-9, spread, 1.0), kernel_quality.FEATURES, kernel_quality.GAMMA, 7)
@@ -297,8 +297,7 @@ def test_kernel_scores_match_plain_algebra(spark, small, monkeypatch, fan_in):
     want = sorted((str(d), float(kernel.apply(stats(t)[None])[0])) for d, t in rows)
     got = sorted((str(r.doc_id), r.score) for r in kernel_quality.quality_scores(docs, labels).collect())
     assert [d for d, _ in got] == [d for d, _ in want]
-    # sums in another order move the solution of the ridge, which the steep calibration shows
-    assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-3)
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
 
 
 def plain_grams(text):
