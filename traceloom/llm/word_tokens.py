@@ -51,7 +51,8 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         n = 1 << self.SLOTS
-        self.key, self.check, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int32)
+        # of each slot its word's two mixes and its entry plus one, side by side: a lookup touches one line of memory
+        self.table = np.zeros((n, 4), np.uint64)
         self.starts, self.counts = np.zeros(self.WORDS + 1, np.int32), np.zeros(self.WORDS + 1, np.int32)
         self.flat, self.n_flat, self.n = np.zeros(1 << 20, self.type), 0, 0
         self.long: dict[bytes, int] = {}
@@ -143,15 +144,19 @@ class WordTokenizer:
 
     def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         slot = (key >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-        found = np.where((self.key[slot] == key) & (self.check[slot] == check), self.entry[slot], -1)
-        left = np.flatnonzero((found < 0) & (self.entry[slot] >= 0))
+        rows = self.table.take(slot, 0)
+        entry = rows[:, 2].astype(np.int64) - 1
+        hit = (rows[:, 0] == key) & (rows[:, 1] == check)
+        found = np.where(hit, entry, -1)  # an empty slot's entry is -1 too
+        left = np.flatnonzero(~hit & (entry >= 0))
         slot = slot[left]
         while len(left):
             slot = (slot + 1) & ((1 << self.SLOTS) - 1)
-            here = self.entry[slot]
-            hit = (self.key[slot] == key[left]) & (self.check[slot] == check[left]) & (here >= 0)
-            found[left[hit]] = here[hit]
-            on = ~hit & (here >= 0)
+            rows = self.table.take(slot, 0)
+            entry = rows[:, 2].astype(np.int64) - 1
+            hit = (rows[:, 0] == key[left]) & (rows[:, 1] == check[left]) & (entry >= 0)
+            found[left[hit]] = entry[hit]
+            on = ~hit & (entry >= 0)
             left, slot = left[on], slot[on]
         return found
 
@@ -176,8 +181,8 @@ class WordTokenizer:
         slot = (key >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         while len(at):
             _, pick = np.unique(slot, return_index=True)
-            pick = pick[self.entry[slot[pick]] < 0]
-            self.key[slot[pick]], self.check[slot[pick]], self.entry[slot[pick]] = key[pick], check[pick], at[pick]
+            pick = pick[self.table[slot[pick], 2] == 0]
+            self.table[slot[pick], 0], self.table[slot[pick], 1], self.table[slot[pick], 2] = key[pick], check[pick], at[pick] + 1
             on = np.ones(len(at), bool)
             on[pick] = False
             key, check, at, slot = key[on], check[on], at[on], (slot[on] + 1) & ((1 << self.SLOTS) - 1)
