@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontaminate, html_text, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
+from traceloom.llm import collocations, decontaminate, divergence, html_text, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
 from traceloom.llm.common import table, texts
 
 
@@ -62,6 +62,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_quality.quality_scores(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -73,10 +81,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.mixing_sql(MIX_WEIGHTS),
     "op7_url_filter": url_filter.url_sql(),
     "op9_decontamination": decontaminate.contamination_sql(),
+    "op11_source_divergence": divergence.divergence_sql(),
+    "op12_collocations": collocations.collocation_sql(),
 }
