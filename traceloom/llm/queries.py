@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import collocations, decontaminate, divergence, html_text, kernel_quality, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
+from traceloom.llm import collocations, decontaminate, divergence, html_text, kernel_quality, minhash, mixing, ngram_quality, secrets, simhash, token_files, toxicity, url_filter
 from traceloom.llm.common import table, texts
 
 
@@ -70,6 +70,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_source_divergence": op11_source_divergence,
     "op12_collocations": op12_collocations,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": decontaminate.contamination_sql(),
     "op11_source_divergence": divergence.divergence_sql(),
     "op12_collocations": collocations.collocation_sql(),
+    "op13_minhash_near_dedup": minhash.near_duplicate_sql(),
 }
