@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions import programs, sandbox, text
-from traceloom.schemas import ATTEMPT, ERROR_EMPTY
+from traceloom.functions import programs, sandbox, text, writes
+from traceloom.schemas import ATTEMPT, ERROR_EMPTY, SPAN
 from traceloom.sources.files import from_environment
 
 
@@ -59,6 +59,39 @@ def trace_events(tasks: DataFrame, keys: list[str], script: str = "script", time
     return _each(tasks, keys, [script], "step long, func string, frame_id long, event string, line_no int, var string, value string, kind string", rows)
 
 
+def instrumented(tasks: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """keys, script (null for code that doesn't parse) and spans: programs that report their writes, and where each iid is in the code."""
+
+    def build(c):
+        script, spans = writes.instrumented(c) if c is not None else (None, [])
+        return [(script, [dict(zip(("iid", "variable", "start_line", "start_column", "end_line", "end_column"), (str(s[0]), *s[1:]), strict=True)) for s in spans])]
+
+    return _each(tasks, keys, [code], f"script string, spans array<struct<{SPAN}>>", build)
+
+
+def spans_of(programs_of: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, iid, variable and span: a row for each write of instrumented() programs."""
+    return programs_of.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*")
+
+
+def write_runs(programs_of: DataFrame, keys: list[str], timeout: float = 30, most: int = sandbox.MOST_EVENTS) -> DataFrame:
+    """keys, status, written (how many writes there were; null if the program was stopped) and events of instrumented() programs: the first most writes."""
+
+    def rows(s):
+        status, count, events = sandbox.writing_script(s, writes.HOOK, timeout, most)
+        return [(status, count, [{"step": a, "iid": str(b), "value": c, "kind": d} for a, b, c, d in events])]
+
+    found = _each(programs_of, keys, ["script"], "status string, written double, events array<struct<step:bigint,iid:string,value:string,kind:string>>", rows)
+    return found.withColumn("written", F.col("written").cast("long"))
+
+
+def write_events(runs: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step, iid, var, value, kind: the events of write_runs() with the variable that each iid writes."""
+    events = runs.select(*keys, F.explode("events").alias("e")).select(*keys, "e.*")
+    named = events.join(spans.select(*keys, "iid", F.col("variable").alias("var")), [*keys, "iid"], "left")
+    return named.select(*keys, "step", "iid", F.coalesce("var", F.concat(F.lit("var_iid_"), "iid")).alias("var"), "value", "kind")
+
+
 def line_events(events: DataFrame, keys: list[str], functions: list[str], variable: str) -> DataFrame:
     """One row per line event of the functions (and of the module): step, line_no and the variable's value then."""
     kept = events.where((F.col("event") == "line") & F.col("func").isin(*functions, "<module>"))

@@ -164,6 +164,30 @@ def program_variable_changes(spark, sf_dir):
     return found.withColumn("values", F.array_join("values", " ")) if sf_dir else found
 
 
+@query(_RUNS + f""", calls AS (SELECT * FROM cases WHERE kind = 'plain'),
+    written AS (
+        SELECT task_id, 'inputs' AS var, 0 AS line_no, 0 AS i, '[[' || n || '], [3], [0]]' AS value FROM tasks WHERE kind <> 'broken'
+        UNION ALL SELECT task_id, 'one', line_no, 0, '[' || k || ']' FROM calls
+        UNION ALL SELECT task_id, 'i', line_no, i, i::VARCHAR FROM (SELECT *, unnest(range(0, k))::INTEGER AS i FROM calls)
+        UNION ALL SELECT task_id, 'result', line_no, k::INTEGER, {_RESULT}::VARCHAR FROM (SELECT task_id, line_no, n, unnest(range(0, k + 1)) AS k FROM calls)
+        UNION ALL SELECT task_id, 'one', 1, 0, '[1]' FROM tasks WHERE kind = 'endless'
+        UNION ALL SELECT task_id, 'n', 1, i, i::VARCHAR FROM (SELECT task_id, unnest(range(2, 2000))::INTEGER AS i FROM tasks WHERE kind = 'endless')
+    )
+    SELECT task_id, var, string_agg(value, ' ' ORDER BY line_no, i) AS values FROM written GROUP BY task_id, var""")
+def program_writes(spark, sf_dir):
+    made = execute.instrumented(_scripts(spark, sf_dir), ["task_id"], "script")
+    events = execute.write_events(execute.write_runs(made, ["task_id"], timeout=TIMEOUT, most=2000), execute.spans_of(made, ["task_id"]), ["task_id"])
+    found = sequence.writes(events, ["task_id"], "step", "var", "value")
+    return found.withColumn("values", F.array_join("values", " ")) if sf_dir else found
+
+
+@query("""
+    , places(kind, variable, line, col, till) AS (VALUES ('plain', 'result', 6, 4, 10), ('plain', 'i', 7, 8, 9), ('plain', 'result', 9, 12, 18), ('plain', 'result', 11, 12, 18), ('endless', 'n', 3, 8, 9))
+    SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY line)::VARCHAR AS iid, variable, line AS start_line, col AS start_column, line AS end_line, till AS end_column FROM tasks JOIN places USING (kind)""")
+def write_spans(spark, sf_dir):
+    return execute.spans_of(execute.instrumented(_tasks(spark, sf_dir), ["task_id"]), ["task_id"])
+
+
 @query()
 def program_block_trace(spark, sf_dir):
     events = execute.trace_events(_scripts(spark, sf_dir), ["task_id"], timeout=TIMEOUT, most=2000)

@@ -14,6 +14,7 @@ BLOCK_TRACE = "struct<block_sequence:array<string>,output_var:string,values:arra
 CFG_BLOCKS = "block_id string, block_type string, line_start int, line_end int, lines array<int>, successors array<string>, source_snippet string"
 CFG_JSON = "struct<output_var:string,blocks:map<string,struct<block_id:string,block_type:string,line_start:int,line_end:int,lines:array<int>,successors:array<string>,source_snippet:string>>>"
 SPAN_MAP = "path string, iid string, start_line int, start_column int, end_line int, end_column int, file string"
+SPAN = "iid:string,variable:string,start_line:int,start_column:int,end_line:int,end_column:int"
 ATTEMPT = "struct<attempt:int,ok:boolean,reason:string,diff_indices:array<int>>"
 REPAIR_RESULT = f"task_id string, status string, attempts array<{ATTEMPT}>, diff_count int, diff_indices array<int>, old_hash string, new_hash string, deleted_llm_output string"
 REPAIR_REPORT = f"started_at string, finished_at string, model_name string, selected_task_count int, discovered struct<failed_or_timeout:array<string>,empty_compare:array<string>,fully_same:array<string>>, results array<struct<{REPAIR_RESULT.replace(' string', ':string').replace(' array', ':array').replace(' int', ':int')}>>"

@@ -89,6 +89,20 @@ def delta_trace(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", F.from_json("value", schemas.DELTA_TRACE).alias("s")).where("s IS NOT NULL").select("path", "s.*")
 
 
+def span_maps(spans: DataFrame, keys: list[str], file: str) -> DataFrame:
+    """keys, json: spans (keys, iid, variable and place) as one document a program, its iids with their places in the file."""
+    place = F.struct(F.lit(file).alias("file"), *[c for c in spans.columns if c not in (*keys, "iid")])
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("iid"), place.alias("place")))))
+    return spans.groupBy(*keys).agg(F.to_json(F.struct(entries.alias("iid_to_location"))).alias("json"))
+
+
+def iid_spans(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """SPAN_MAP and variable from the documents of span_maps(), or others with iid_to_location, below root: path, iid and its place."""
+    place = "struct<file:string,variable:string,start_line:int,start_column:int,end_line:int,end_column:int>"
+    rows = whole_texts(spark, root, glob).select("path", F.from_json("text", f"struct<iid_to_location:map<string,{place}>>").alias("d"))
+    return rows.select("path", F.explode("d.iid_to_location").alias("iid", "place")).select("path", "iid", "place.*")
+
+
 def span_names(writes: DataFrame, spans: DataFrame) -> DataFrame:
     """Writes (path, iid) with the source span of iid: a small dimension that adaptive execution broadcasts; spans missing are null."""
     return writes.join(spans, ["path", "iid"], "left")
