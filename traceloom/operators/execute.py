@@ -1,7 +1,7 @@
 """Side effects behind mapInPandas: script runs, traces, candidate gates, predictors, repairs.
 
 Tasks that run again would run their programs, or ask their predictor, again: write such a frame before it is read
-twice (sources.sinks.resume does), and set spark.task.maxFailures to 1 where a call costs money.
+twice (sources.sinks.resume does), and give predict() a journal where a call costs money.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import programs, sandbox, text, writes
+from traceloom.operators import fanout
 from traceloom.schemas import ATTEMPT, ERROR_EMPTY, SPAN
 from traceloom.sources.files import from_environment
 
@@ -198,19 +201,49 @@ def with_retries(ask: Callable[[], str | None], tries: int = 5, wait: Callable[[
     return None
 
 
-def predict(prompts: DataFrame, keys: list[str], make: Callable[[], Predictor], tries: int = 5, parallel: int | None = None) -> DataFrame:
-    """keys, status (ok, empty), raw and result of prompts (prompt); parallel: how many answer at once."""
-    rows = prompts.repartition(parallel) if parallel else prompts
-    kinds = dict(prompts.dtypes)
+def predict(prompts: DataFrame, keys: list[str], make: Callable[[], Predictor], tries: int = 5, parallel: int | None = None, at_once: int = 1, per_second: float | None = None, journal: str | None = None) -> DataFrame:
+    """keys, status (ok, empty), raw and result of prompts (prompt).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predictor = make()
-        for b in batches:
-            asked = b[keys].astype(str).agg("/".join, axis=1) if len(b) else []
-            raw = [with_retries(lambda k=k, p=p: predictor.answer(k, p), tries) for k, p in zip(asked, b["prompt"], strict=True)]
-            yield b[keys].assign(raw=raw)
+    parallel: partitions; at_once: calls that a partition has in flight, so the predictor's answer() is called from as many threads;
+    per_second: calls started a second by all tasks together; journal: a folder where answers are kept as they come, so that a
+    task, or query, that runs again asks only the rest (the same parallel finds them; an empty answer is asked for again).
+    """
+    context = prompts.sparkSession.sparkContext
+    n = parallel or (context.defaultParallelism if journal else None)
+    rows = prompts.select(*keys, "prompt")
+    rows = rows.repartition(n, *keys) if journal else rows.repartition(n) if n else rows
+    # a task has its share of the rate: no more than so many run at a time
+    share = per_second / min(n or context.defaultParallelism, context.defaultParallelism) if per_second else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor, pace = make(), fanout.Pace(share)
+        log = fanout.Journal(journal, TaskContext.get().partitionId()) if journal else None
+
+        def paced(key: str, prompt: str) -> str | None:
+            pace.wait()
+            return predictor.answer(key, prompt)
+
+        def call(item: tuple) -> str | None:
+            _, key, prompt = item
+            known = log.known.get(log.digest(key, prompt)) if log else None
+            return known or with_retries(lambda: paced(key, prompt), tries)
+
+        def items() -> Iterator[tuple]:
+            for b in batches:
+                for i, row in enumerate(b.to_pylist()):
+                    yield b.slice(i, 1).select(keys), "/".join(str(row[k]) for k in keys), row["prompt"] or ""
 
-    out = rows.select(*keys, "prompt").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", raw string")
+        try:
+            for (row, key, prompt), raw in fanout.completed(items(), call, at_once):
+                if log and raw and log.digest(key, prompt) not in log.known:
+                    log.put(key, prompt, raw)
+                yield row.append_column("raw", pa.array([raw], pa.string()))
+        finally:
+            if log:
+                log.close()
+
+    kinds = dict(prompts.dtypes)
+    out = rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", raw string")
     return out.withColumn("status", F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "empty").otherwise("ok")).withColumn("result", text.result_block(F.col("raw"), ERROR_EMPTY))
 
 
