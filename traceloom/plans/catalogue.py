@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom import modes
 from traceloom.functions import similarity, text
-from traceloom.operators import compare, rollup, sequence
+from traceloom.operators import compare, lineage, rollup, sequence
 from traceloom.plans import adapters as A
 from traceloom.plans import program_queries, text_queries
+from traceloom.sources import folders
+from traceloom.streaming import reports
 
 QUERIES: dict = program_queries.QUERIES | text_queries.QUERIES
 ORACLES: dict = program_queries.ORACLES | text_queries.ORACLES
@@ -403,3 +407,32 @@ def intersect_ids(spark, sf_dir):
 def distribution_merge(spark, sf_dir):
     events = A.event_trace(spark, sf_dir).withColumnRenamed("block", "error_type")
     return rollup.merged_distributions(rollup.error_distribution(events.where("run % 2 = 0")), rollup.error_distribution(events.where("run % 2 = 1")))
+
+
+#: A small graph of stages over the parts, four levels deep: one result of each stage for each part, and a report of all.
+_STAGES = {"code": [], "inputs": [], "graph": ["code"], "run": ["code", "inputs"], "compare": ["run"], "trace": ["code", "compare"], "scores": ["trace"], "report": ["scores"]}
+_EDGES = ", ".join(f"('{s}', '{n}')" for s, needs in _STAGES.items() for n in needs)
+
+
+@query(f"""WITH RECURSIVE edges(stage, needs) AS (VALUES {_EDGES}),
+    changed AS (SELECT p_partkey, 'code' AS stage FROM part WHERE p_size % 7 = 0 UNION ALL SELECT p_partkey, 'inputs' FROM part WHERE p_size % 11 = 0),
+    built AS (SELECT p_partkey, stage FROM changed UNION SELECT b.p_partkey, e.stage FROM built b JOIN edges e ON e.needs = b.stage)
+    SELECT DISTINCT CASE WHEN stage <> 'report' THEN p_partkey END AS p_partkey, stage FROM built WHERE stage NOT IN ('code', 'inputs')""")
+def stale_results(spark, sf_dir):
+    parts = A.table(spark, sf_dir, "part").where("p_partkey IS NOT NULL")
+    rows = lambda code, inputs: {s: parts.select("p_partkey", (code if s == "code" else inputs if s == "inputs" else F.concat_ws(" of ", F.lit(s), "p_name")).alias("value")) for s in _STAGES if s != "report"}
+    before = rows(F.col("p_name"), F.col("p_size").cast("string"))
+    after = rows(F.when(F.col("p_size") % 7 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")), F.when(F.col("p_size") % 11 == 0, "0").otherwise(F.col("p_size").cast("string")))
+    records = lineage.input_hashes(lineage.all_contents(before, "p_partkey"), _STAGES, "p_partkey")
+    return lineage.stale(lineage.changed(lineage.all_contents(after, "p_partkey"), records, _STAGES, "p_partkey"), _STAGES, "p_partkey")
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def incremental_latest_orders(spark, sf_dir):
+    columns = ["o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus"]
+    orders = A.table(spark, sf_dir, "orders")
+    at = f"{folders.scratch(spark)}/report-{uuid.uuid4().hex}"
+    # a pattern, since a stream's path may be a folder or a pattern but no single file
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")
+    reports.incremental_report(stream.select(*columns), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    return reports.report(spark, f"{at}/rows", orders.select(*columns).schema, ["o_custkey"], ["o_orderdate", "o_orderkey"])
