@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from traceloom.llm import collocations as c
@@ -102,3 +103,25 @@ def test_empty_table(spark):
     got = c.collocations(frame(spark, []))
     assert got.count() == 0
     assert got.dtypes == [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), *((x, "bigint") for x in ("a", "l", "r", "n", "score"))]
+
+
+def test_prefixes_over_batches_of_any_size():
+    rng = random.Random(3)
+    words = ["a", "ab", "b", "é", "\x01a", "a\x01"]
+    for trial in range(120):
+        rows, want = Counter(), Counter()
+        for _ in range(rng.randrange(60)):
+            lang, w, n = rng.choice(["en", "de", "e"]), [rng.choice(words) for _ in range(rng.randrange(1, 4))], rng.randrange(1, 5)
+            rows[lang, " ".join(w) + " "] += n
+            for k in range(1, len(w) + 1):
+                want[lang, " ".join(w[:k]), k] += n
+        ordered = sorted(((a.encode(), b.encode(), n) for (a, b), n in rows.items()), reverse=True)
+        least, prefixes, out, at = rng.choice([1, 4]), None, [], 0
+        prefixes = c.Prefixes(least, 3)
+        while at < len(ordered) or not out:
+            part = ordered[at : (at := at + rng.randrange(8))]
+            columns = [pa.array([x.decode() for x, _, _ in part], pa.string()), pa.array([x.decode() for _, x, _ in part], pa.string()), pa.array([n for _, _, n in part], pa.int64())]
+            out.append(prefixes.add(pa.RecordBatch.from_arrays(columns, names=["lang", "suffix", "n"])))
+        out.append(prefixes.close())
+        got = [(r["lang"], r["phrase"], r["words"], r["n"]) for b in out for r in b.to_pylist()]
+        assert sorted(got) == sorted((*k, n) for k, n in want.items() if k[2] == 1 or n >= least), trial

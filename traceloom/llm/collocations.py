@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def distinct_rows(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray
     return [c[first] for c in columns], n
 
 
-def suffix_counts(texts: Iterable[bytes], max_n: int) -> tuple[list[str], list[int]]:
+def suffix_counts(texts: Iterable[bytes], max_n: int) -> tuple[pa.Array, pa.Array]:
     """(suffixes, counts) of some texts. Every word of a suffix has a blank after it, so equal starts in bytes are equal words."""
     known = {b"\n": 0}
     ids = [np.zeros(1, np.int32)]
@@ -70,9 +71,8 @@ def suffix_counts(texts: Iterable[bytes], max_n: int) -> tuple[list[str], list[i
     for i in range(1, max_n):
         columns.append(np.where(columns[-1] > 0, row[at + i], 0))
     columns, n = distinct_rows(columns, len(known))
-    words = [w.decode() + " " for w in known]
-    words[0] = ""
-    return ["".join([words[i] for i in ids]) for ids in zip(*(c.tolist() for c in columns), strict=True)], n.tolist()
+    words = pa.array([b"", *[w + b" " for w in known][1:]], pa.binary())
+    return pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in columns], b"").cast(pa.string()), pa.array(n, pa.int64())
 
 
 def suffixes(docs: DataFrame, max_n: int) -> DataFrame:
@@ -86,47 +86,87 @@ def suffixes(docs: DataFrame, max_n: int) -> DataFrame:
                 found, n = suffix_counts((texts[i].as_py() for i, x in enumerate(langs) if x == lang), max_n)
                 for at in range(0, len(found), 1 << 16):
                     some = found[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["lang", "suffix", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(some)), some, n[at : at + (1 << 16)]], names=["lang", "suffix", "n"])
 
     some = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return some.transform(in_arrow, run, "lang string, suffix string, n long")
 
 
+_OUT = ["lang", "phrase", "words", "n"]
+
+
 class Prefixes:
-    """The open prefixes of rows in reverse lexicographic order: a stack of (prefix, count)."""
-
-    def __init__(self, least: int):
-        self.least = least
-        self.lang = None
-        self.stack: list[list] = []
-        self.done: list[tuple[str, str, int, int]] = []
-
-    def close(self, depth: int) -> None:
-        """Prefixes beyond depth words are whole. Those of one word are kept whatever their count: other parts have more of them."""
-        while len(self.stack) > depth:
-            prefix, n = self.stack.pop()
-            if not self.stack or n >= self.least:
-                self.done.append((self.lang, prefix[:-1], len(self.stack) + 1, n))
-            if self.stack:
-                self.stack[-1][1] += n
-
-    def add(self, lang: str, suffix: str, n: int) -> None:
-        if lang != self.lang:
-            self.close(0)
-            self.lang = lang
-        while self.stack and not suffix.startswith(self.stack[-1][0]):
-            self.close(len(self.stack) - 1)
-        at = len(self.stack[-1][0]) if self.stack else 0
-        while at < len(suffix):
-            at = suffix.index(" ", at) + 1
-            self.stack.append([suffix[:at], 0])
-        self.stack[-1][1] += n
-
-    def taken(self) -> pa.RecordBatch:
-        columns = list(zip(*self.done, strict=True)) or [[]] * 4
-        self.done = []
-        types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "phrase", "words", "n"])
+    """Counts the prefixes of rows (lang, suffix, n) that come in reverse lexicographic order.
+
+    The open prefixes are those of the last row: a stack, deepest last, with the count of each so far. A batch is put behind
+    the last row; a prefix that its next row doesn't have is whole and leaves the stack.
+    """
+
+    def __init__(self, least: int, max_n: int):
+        self.least, self.max_n = least, max_n
+        self.last: tuple[str, str] | None = None
+        self.stack = [0] * max_n
+
+    def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The prefixes that are whole by the end of the batch; those of more words only if frequent, of one word all: other parts have more of them."""
+        langs, suffixes, n = batch.columns
+        held = self.last is not None
+        if held:
+            langs, suffixes = pa.concat_arrays([pa.array([self.last[0]], pa.string()), langs]), pa.concat_arrays([pa.array([self.last[1]], pa.string()), suffixes])
+        n = np.concatenate([np.zeros(int(held), np.int64), n.to_numpy()])
+        if not len(n):
+            return self.rows([])
+        rows = suffixes.cast(pa.large_binary())
+        offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        text = rows.buffers()[2].to_pybytes()
+        data = np.frombuffer(text, np.uint8)
+        blanks = offsets[0] + np.flatnonzero(data[offsets[0] : offsets[-1]] == 32)
+        first = np.searchsorted(blanks, offsets[:-1])
+        depth = np.diff(first, append=len(blanks))
+        # bytes that a row has in common with the one before, 0 for another language
+        both = np.minimum(np.diff(offsets)[1:], np.diff(offsets)[:-1])
+        begin = np.cumsum(both) - both
+        within = np.arange(both.sum()) - np.repeat(begin, both)
+        differ = data[np.repeat(offsets[1:-1], both) + within] != data[np.repeat(offsets[:-2], both) + within]
+        common = np.minimum.reduceat(np.where(differ, within, np.repeat(both, both)), begin) if len(both) else both
+        code = langs.dictionary_encode().indices.to_numpy()
+        common = np.concatenate([[0], np.where(code[1:] == code[:-1], common, 0)])
+        found = []
+        for k in range(self.max_n):
+            has = np.flatnonzero(depth > k)
+            if not len(has):
+                continue
+            end = blanks[first[has] + k] + 1
+            starts = np.flatnonzero(end - offsets[has] > common[has])
+            sums = np.add.reduceat(n[has], starts)
+            at, end = has[starts], end[starts]
+            if held and depth[0] > k:
+                sums[0] += self.stack[k]
+            whole = np.ones(len(at), bool)
+            if depth[-1] > k:  # the last row's prefix may go on
+                self.stack[k], whole[-1] = int(sums[-1]), False
+            if k:
+                whole &= sums >= self.least
+            found.append((k + 1, at[whole], offsets[at[whole]], end[whole] - 1, sums[whole]))
+        self.last = (langs[-1].as_py(), suffixes[-1].as_py())
+        return self.rows([(langs.take(pa.array(at)), pa.array([text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()).cast(pa.string()), k, sums) for k, at, lo, hi, sums in found])
+
+    def close(self) -> pa.RecordBatch:
+        """What is left on the stack."""
+        if self.last is None:
+            return self.rows([])
+        lang, suffix = self.last
+        words = suffix.split(" ")[:-1]
+        left = [(k, n) for k, n in enumerate(self.stack[: len(words)], 1) if k == 1 or n >= self.least]
+        return self.rows([(pa.array([lang], pa.string()), pa.array([" ".join(words[:k])], pa.string()), k, np.array([n])) for k, n in left])
+
+    @staticmethod
+    def rows(found: list[tuple[pa.Array, pa.Array, int, np.ndarray]]) -> pa.RecordBatch:
+        columns = [[pa.array([], t)] for t in (pa.string(), pa.string(), pa.int32(), pa.int64())]
+        for lang, phrase, k, n in found:
+            for c, x in zip(columns, (lang, phrase, pa.array(np.full(len(n), k, np.int32)), pa.array(n, pa.int64())), strict=True):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=_OUT)
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
@@ -135,13 +175,10 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = LEAST) -
     dealt = suffixes(docs, max_n).repartition("lang", F.substring_index("suffix", " ", 1), F.pmod(F.xxhash64(second), F.lit(DEALT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(least)
+        prefixes = Prefixes(least, max_n)
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                prefixes.add(*row)
-            yield prefixes.taken()
-        prefixes.close(0)
-        yield prefixes.taken()
+            yield prefixes.add(b)
+        yield prefixes.close()
 
     counted = dealt.sortWithinPartitions(F.desc("lang"), F.desc("suffix")).transform(in_arrow, run, "lang string, phrase string, words int, n long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
