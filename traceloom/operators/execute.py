@@ -41,7 +41,7 @@ def _each(rows: DataFrame, keys: list[str], take: list[str], schema: str, f: Cal
 
 
 def run_scripts(tasks: DataFrame, keys: list[str], script: str = "script", timeout: float = 30) -> DataFrame:
-    """keys, status (success, failed, timeout, missing), output, error."""
+    """keys, status (success, failed, timeout, missing; cut: output beyond what is kept), output, error."""
     return _each(tasks, keys, [script], "status string, output string, error string", lambda s: [sandbox.run_script(s, timeout)])
 
 

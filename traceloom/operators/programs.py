@@ -72,6 +72,24 @@ def parsed_inputs(inputs: DataFrame, literal: str = "literal") -> DataFrame:
     return inputs.withColumn("parsed", mapped(F.col(literal), programs.parsed_or_text, "string"))
 
 
+def input_values(inputs: DataFrame, literal: str = "literal") -> DataFrame:
+    """inputs with the column value: each literal as a variant, tuples, sets and what JSON lacks tagged; what is no literal is its text.
+
+    value_at() reads a place in it with a type, so inputs can be filtered and compared by value: [1, 2] is [1.0,2], "1" isn't 1.
+    """
+    return inputs.withColumn("value", F.parse_json(mapped(F.col(literal), programs.parsed_or_text, "string")))
+
+
+def value_at(value: Column, path: str, kind: str) -> Column:
+    """The typed value at a path like $[0] or $.x of a variant; null where there is none, or none of that type."""
+    return F.try_variant_get(value, path, kind)
+
+
+def value_text(value: Column) -> Column:
+    """A variant as JSON text, the same for equal values however they were written."""
+    return F.to_json(value)
+
+
 def sequence_column(c: Column) -> Column:
     """array<string> of list literals, repaired where block names are bare."""
     return mapped(c, programs.sequence_items, "array<string>")

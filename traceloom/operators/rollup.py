@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.functions import numbers
+
 
 def variable_scores(truth: DataFrame, predicted: DataFrame, keys: list[str], result: str = "result") -> DataFrame:
     """Per task on both sides: variables compared and matched by raw text, whether result matches; skipped where a side lacks it.
@@ -48,7 +50,7 @@ def block_rollup(scored: DataFrame, label: str) -> DataFrame:
 def rounded_rollup(by_label: DataFrame, places: int = 4) -> DataFrame:
     """The total as the mean of labels' rounded means, weighted by their files: for comparison with reports made that way."""
     rows = by_label.where("label <> 'total'")
-    mean = lambda c: F.try_divide(F.sum(F.bround(c, places) * F.col("files")), F.sum("files")).alias(c)
+    mean = lambda c: F.try_divide(F.sum(numbers.rounded(F.col(c), places) * F.col("files")), F.sum("files")).alias(c)
     return rows.agg(F.sum("files").alias("files"), mean("avg_similarity"), mean("avg_value_accuracy"))
 
 

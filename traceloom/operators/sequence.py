@@ -94,6 +94,39 @@ def range_blocks(events: DataFrame, spans: DataFrame, at: str, low: str, high: s
     return events.withColumn("_bucket", at_bucket).join(dealt, "_bucket").where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_bucket")
 
 
+def innermost(events: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str, block: str) -> DataFrame:
+    """Events with the block of the innermost span low..high (both in) of their keys that holds at; events outside all spans go.
+
+    Spans nest or lie apart, and are of any length: a sweep over their ends. A span's depth is the number of open ones at its
+    start; its parent is the last span before it that is one less deep. The innermost span changes only where a span starts (to
+    it) or has ended (to its parent), so each span makes two marks, and an event takes the last mark at or before it. Of spans with
+    the same ends the one with the greater block is inner. Columns of events that are called like low, high or block stay apart.
+    """
+    own = spans.select(*keys, F.col(low).cast("long").alias("_low"), F.col(high).cast("long").alias("_high"), F.col(block).alias("_block")).where("_low <= _high")
+    # at one place ends come before starts, and of starts the outer before the inner
+    starts = own.select(*keys, F.col("_low").alias("_at"), F.lit(1).alias("_step"), (-F.col("_high")).alias("_turn"), "_block", "_high")
+    ends = own.select(*keys, (F.col("_high") + 1).alias("_at"), F.lit(-1).alias("_step"), F.lit(None).cast("long").alias("_turn"), F.lit(None).cast(own.schema["_block"].dataType).alias("_block"), "_high")
+    order = [F.col("_at"), F.col("_step"), F.col("_turn").asc_nulls_first(), F.col("_block").asc_nulls_first()]
+    depth = F.sum("_step").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    opened = starts.unionByName(ends).withColumn("_depth", depth).where("_step = 1")
+    # a span asks on its parent's level, and answers on its own
+    asks = opened.select(*keys, (F.col("_depth") - 1).alias("_level"), "_at", "_turn", "_block", "_high", F.col("_depth"), F.lit(None).cast(own.schema["_block"].dataType).alias("_open"))
+    answers = opened.select(*keys, F.col("_depth").alias("_level"), "_at", "_turn", "_block", "_high", F.lit(None).cast("long").alias("_depth"), F.col("_block").alias("_open"))
+    level = Window.partitionBy(*keys, "_level").orderBy("_at", "_turn", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    known = asks.unionByName(answers).withColumn("_parent", F.last("_open", ignorenulls=True).over(level)).where("_depth IS NOT NULL")
+    held = lambda pos, rank, b: known.select(*keys, pos.alias("_at"), F.struct(rank.alias("rank"), b.alias("block")).alias("_mark"))
+    # at one place the deepest start counts, and without one the outermost end
+    begin = held(F.col("_at"), F.col("_depth"), F.col("_block"))
+    end = held(F.col("_high") + 1, -F.col("_depth"), F.when(F.col("_depth") > 1, F.col("_parent")))
+    marks = begin.unionByName(end).groupBy(*keys, "_at").agg(F.max("_mark").alias("_mark"))
+    rows = events.select(*keys, F.col(at).cast("long").alias("_at"), F.struct(*events.columns).alias("_row"))
+    both = rows.withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType)).unionByName(marks.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    # marks come before the events of their place
+    sweep = Window.partitionBy(*keys).orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(sweep)).where("_row IS NOT NULL AND _last.block IS NOT NULL")
+    return found.select("_row.*", F.col("_last.block").alias("innermost"))
+
+
 def writes(events: DataFrame, keys: list[str], order: str, var: str, value: str) -> DataFrame:
     """Every write of each variable, in order, repeats too."""
     return collected(events, [*keys, var], order, value, "values")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom import modes
-from traceloom.functions import similarity, text
+from traceloom.functions import numbers, similarity, text
 from traceloom.operators import compare, lineage, rollup, sequence
 from traceloom.plans import adapters as A
 from traceloom.plans import program_queries, text_queries
@@ -436,3 +436,22 @@ def incremental_latest_orders(spark, sf_dir):
     stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parque[t]")
     reports.incremental_report(stream.select(*columns), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     return reports.report(spark, f"{at}/rows", orders.select(*columns).schema, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("""SELECT p_partkey, places, (q + CASE WHEN 2 * r > 64 OR (2 * r = 64 AND q % 2 = 1) THEN 1 ELSE 0 END) / (10.0 ** places)::DOUBLE AS rounded
+    FROM (SELECT p_partkey, places, (p_partkey * (10 ** places)::BIGINT) // 64 AS q, (p_partkey * (10 ** places)::BIGINT) % 64 AS r FROM part, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS places))""")
+def python_rounding(spark, sf_dir):
+    values = A.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") / 64.0).alias("x"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("places"), numbers.rounded(F.col("x"), n).alias("rounded")) for n in range(6)]))
+    return values.select("p_partkey", each.alias("r")).select("p_partkey", "r.*")
+
+
+@query("""WITH spans AS (SELECT p_size % 3 AS run, p_partkey AS block_id, (p_partkey // (1 << (p_size % 9))) * (1 << (p_size % 9)) AS low, (p_partkey // (1 << (p_size % 9)) + 1) * (1 << (p_size % 9)) - 1 AS high FROM part WHERE p_partkey % 4 = 0),
+    events AS (SELECT p_partkey % 3 AS run, p_partkey AS step FROM part)
+    SELECT run, step, arg_max(block_id, (low - high, block_id)) AS block FROM events JOIN spans USING (run) WHERE step BETWEEN low AND high GROUP BY run, step""")
+def innermost_blocks(spark, sf_dir):
+    parts = A.table(spark, sf_dir, "part")
+    width = "cast(shiftleft(1, p_size % 9) AS bigint)"
+    spans = parts.where("p_partkey % 4 = 0").selectExpr("p_size % 3 AS run", "p_partkey AS block_id", f"(p_partkey div {width}) * {width} AS low", f"(p_partkey div {width} + 1) * {width} - 1 AS high")
+    events = parts.selectExpr("cast(p_partkey % 3 AS int) AS run", "p_partkey AS step")
+    return sequence.innermost(events, spans.withColumn("run", F.col("run").cast("int")), ["run"], "step", "low", "high", "block_id").withColumnRenamed("innermost", "block")

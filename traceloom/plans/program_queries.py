@@ -124,6 +124,13 @@ def test_input_literals(spark, sf_dir):
     return programs.parsed_inputs(programs.test_inputs(_tasks(spark, sf_dir), ["task_id"])).select("task_id", "line_no", "literal")
 
 
+@query(_RUNS + " SELECT task_id, line_no, k::INTEGER AS first, '[' || k || ']' AS shown FROM cases WHERE k >= 3")
+def input_values(spark, sf_dir):
+    rows = programs.input_values(programs.test_inputs(_tasks(spark, sf_dir), ["task_id"]))
+    first = programs.value_at(F.col("value"), "$[0]", "int")
+    return rows.where(first >= 3).select("task_id", "line_no", first.alias("first"), programs.value_text(F.col("value")).alias("shown"))
+
+
 def _scripts(spark, sf_dir, code="code"):
     tasks = _tasks(spark, sf_dir).select("task_id", F.col(code).alias("code"), "test", "test_list")
     return execute.spliced(tasks.join(programs.entry_names(tasks, ["task_id"]), "task_id"), programs.test_inputs(tasks, ["task_id"]), ["task_id"])
