@@ -96,25 +96,31 @@ def retry_prompts(found: Validation, programs_of: DataFrame, kind: str = "equiva
     return rows.select("task_id", ask.alias("prompt"))
 
 
-def run_validation(tasks: DataFrame, mutants: DataFrame, make: Callable | None, to: str, timeout: float = 30, tries: int = 1, revalidate: bool = True) -> Validation:
+def run_validation(tasks: DataFrame, mutants: DataFrame, make: Callable | None, to: str, timeout: float = 30, tries: int = 1, revalidate: bool = True, most: int = 3, skip_original: bool = False, stop_on_error: bool = False) -> Validation:
     """Run originals and mutants, validate, ask once more for the equivalent mutants that failed, run and validate those again.
 
     tasks: task_id, code, preferred, and inputs as array literals; mutants: kind, task_id, mutant. make: a predictor, or None for
-    no retries. Runs are written below the folder to; a retry always replaces what failed.
+    no retries; most: examples of a failure. Runs are written below the folder to; a retry always replaces what failed.
+    skip_original: originals that ran before are not run again; stop_on_error: an error after the first stage with runs that fail.
     """
     spark = tasks.sparkSession
     inputs = tasks.select("task_id", F.posexplode("literals").alias("p", "literal")).select("task_id", (F.col("p") + 1).alias("line_no"), "literal")
 
     def outputs(code: DataFrame, name: str) -> DataFrame:
-        scripts = execute.spliced(code.join(tasks.select("task_id", "preferred"), "task_id"), inputs, ["task_id"])
-        runs = sinks.resume(execute.run_scripts(scripts, ["task_id"], timeout=timeout), f"{to}/{name}", ["task_id"], overwrite=True)
+        if name == "original" and skip_original and sinks.exists(spark, f"{to}/{name}"):
+            runs = spark.read.parquet(f"{to}/{name}")
+        else:
+            scripts = execute.spliced(code.join(tasks.select("task_id", "preferred"), "task_id"), inputs, ["task_id"])
+            runs = sinks.resume(execute.run_scripts(scripts, ["task_id"], timeout=timeout), f"{to}/{name}", ["task_id"], overwrite=True)
+        if stop_on_error and (failed := runs.where("status <> 'success'").count()):
+            raise RuntimeError(f"{failed} runs of {name} failed, see {to}/{name}")
         return execute.output_lines(runs, ["task_id"])
 
     kinds = [r.kind for r in mutants.select("kind").distinct().collect()]  # a few kinds
     values = inputs.withColumnRenamed("literal", "value")
     original = outputs(tasks.select("task_id", "code"), "original")
     lines = {k: outputs(mutants.where(F.col("kind") == k).select("task_id", F.col("mutant").alias("code")), k) for k in sorted(kinds)}
-    found = validate(original, lines, values)
+    found = validate(original, lines, values, most)
     if make is None or "equivalent" not in kinds:
         return found
     both = mutants.where("kind = 'equivalent'").join(tasks.select("task_id", "code"), "task_id")
@@ -125,15 +131,15 @@ def run_validation(tasks: DataFrame, mutants: DataFrame, make: Callable | None,
     new = outputs(answers.where("syntax_ok").select("task_id", F.col("result").alias("code")), "equivalent_retried")
     old = lines["equivalent"].join(answers.where("syntax_ok").select("task_id"), "task_id", "left_anti")
     kept = sinks.resume(old.unionByName(new), f"{to}/equivalent_lines", ["task_id"], overwrite=True)
-    return validate(original, lines | {"equivalent": kept}, values)
+    return validate(original, lines | {"equivalent": kept}, values, most)
 
 
-def mutate(tasks: DataFrame, kind: str, make: Callable, tries: int = 5, parallel: int | None = None) -> DataFrame:
-    """kind, task_id, status (ok, empty, no_syntax) and mutant of tasks (task_id, code, literals): a predictor's rewrite, kept if it parses."""
+def mutate(tasks: DataFrame, kind: str, make: Callable, tries: int = 5, parallel: int | None = None, **calls) -> DataFrame:
+    """kind, task_id, status (ok, empty, no_syntax) and mutant of tasks (task_id, code, literals): a predictor's rewrite, kept if it parses. calls: as of predict()."""
     if kind not in ("equivalent", "non_equivalent"):
         raise ValueError(f"no kind of mutant: {kind}")
     ask = prompts.equivalent(F.col("code")) if kind == "equivalent" else prompts.non_equivalent(F.col("code"), F.array_join("literals", "\n"))
-    answers = programs.syntax_gate(execute.predict(tasks.select("task_id", ask.alias("prompt")), ["task_id"], make, tries, parallel), "result")
+    answers = programs.syntax_gate(execute.predict(tasks.select("task_id", ask.alias("prompt")), ["task_id"], make, tries, parallel, **calls), "result")
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("syntax_ok"), "ok").otherwise("no_syntax")
     return answers.select(F.lit(kind).alias("kind"), "task_id", status.alias("status"), F.when(status == "ok", F.col("result")).alias("mutant"))
 
@@ -202,3 +208,33 @@ def cleaned(texts: DataFrame, kind: str = "output") -> tuple[DataFrame, DataFram
 def literals_of(inputs: DataFrame) -> DataFrame:
     """task_id, literals: a task's inputs (line_no, literal) in order."""
     return sequence.collected(inputs, ["task_id"], "line_no", "literal", "literals")
+
+
+def first_inputs(spark: SparkSession, truth: str, predicted: str, inputs: str | None, mode: str) -> DataFrame:
+    """mode, task_id, status, text: the inputs of each task's first same (correct) and first different (error) case of a mode; without inputs, the truth's lines."""
+    lines = lambda d, source: files.result_lines(spark, f"{d}/{mode}", "*.txt", mode, source)
+    values = files.input_literals(spark, f"{inputs}/{mode}", "*.txt").withColumnRenamed("literal", "value") if inputs else lines(truth, "local").select("task_id", "line_no", "value")
+    found = compare.first_cases(files.marked_valid(lines(truth, "local")), lines(predicted, "predicted"), values, ["task_id"])
+    return sinks.first_case_columns(found).select(F.lit(mode).alias("mode"), "task_id", "status", F.concat("literal", F.lit("\n")).alias("text"))
+
+
+def swapped(spark: SparkSession, scripts: str, inputs: str, of_modes: list[str], of_statuses: list[str], glob: str = "*.py", choose: Callable = lambda rows: rows) -> DataFrame:
+    """label (<mode>/<status>), task_id, outcome (written, missing_inputs, no_inputs_in_script) and script: scripts below <mode> with the inputs below <mode>/<status>."""
+    parts = []
+    for mode in of_modes:
+        if not sinks.exists(spark, f"{scripts}/{mode}"):
+            continue
+        rows = choose(files.whole_texts(spark, f"{scripts}/{mode}", glob).select("task_id", F.col("text").alias("script")))
+        for status in of_statuses:
+            at = f"{inputs}/{mode}/{status}"
+            literals = files.input_literals(spark, at, "*.txt") if sinks.exists(spark, at) else spark.createDataFrame([], "task_id string, line_no int, literal string")
+            made = programs.with_new_inputs(rows, literals, ["task_id"]).withColumn("has_inputs", F.lit(True))
+            both = rows.select("task_id").join(made, "task_id", "left")
+            outcome = F.when(F.col("has_inputs").isNull(), "missing_inputs").when(F.col("script").isNull(), "no_inputs_in_script").otherwise("written")
+            parts.append(both.select(F.lit(f"{mode}/{status}").alias("label"), "task_id", outcome.alias("outcome"), "script"))
+    if not parts:
+        raise ValueError(f"no folders of {', '.join(of_modes)} below {scripts}")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

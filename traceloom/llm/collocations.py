@@ -96,69 +96,72 @@ _OUT = ["lang", "phrase", "words", "n"]
 
 
 class Prefixes:
-    """Counts the prefixes of rows (lang, suffix, n) that come in reverse lexicographic order.
+    """Counts the prefixes of rows (lang, suffix, n) that come in reverse lexicographic order of their suffixes.
 
-    The open prefixes are those of the last row: a stack, deepest last, with the count of each so far. A batch is put behind
-    the last row; a prefix that its next row doesn't have is whole and leaves the stack.
+    The open prefixes are those of the last row: a stack, deepest last, with the count of each by language so far. A batch is put
+    behind the last row; a prefix that its next row doesn't have is whole and leaves the stack.
     """
 
     def __init__(self, least: int, max_n: int):
-        self.least, self.max_n = least, max_n
-        self.last: tuple[str, str] | None = None
-        self.stack = [0] * max_n
+        self.least = least
+        self.last: str | None = None
+        self.stack: list[dict[str, int]] = [{} for _ in range(max_n)]
 
     def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """The prefixes that are whole by the end of the batch; those of more words only if frequent, of one word all: other parts have more of them."""
         langs, suffixes, n = batch.columns
-        held = self.last is not None
-        if held:
-            langs, suffixes = pa.concat_arrays([pa.array([self.last[0]], pa.string()), langs]), pa.concat_arrays([pa.array([self.last[1]], pa.string()), suffixes])
-        n = np.concatenate([np.zeros(int(held), np.int64), n.to_numpy()])
-        if not len(n):
+        # the last row again, once for each language that has open prefixes, with their counts
+        open_langs = list(self.stack[0])
+        held = len(open_langs)
+        langs = pa.concat_arrays([pa.array(open_langs, pa.string()), langs]).dictionary_encode()
+        rows = pa.concat_arrays([pa.array([self.last] * held, pa.string()), suffixes]).cast(pa.large_binary())
+        if not len(rows):
             return self.rows([])
-        rows = suffixes.cast(pa.large_binary())
+        code, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary
         offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
         text = rows.buffers()[2].to_pybytes()
         data = np.frombuffer(text, np.uint8)
         blanks = offsets[0] + np.flatnonzero(data[offsets[0] : offsets[-1]] == 32)
         first = np.searchsorted(blanks, offsets[:-1])
         depth = np.diff(first, append=len(blanks))
-        # bytes that a row has in common with the one before, 0 for another language
+        # bytes that a row has in common with the one before
         both = np.minimum(np.diff(offsets)[1:], np.diff(offsets)[:-1])
         begin = np.cumsum(both) - both
         within = np.arange(both.sum()) - np.repeat(begin, both)
         differ = data[np.repeat(offsets[1:-1], both) + within] != data[np.repeat(offsets[:-2], both) + within]
         common = np.minimum.reduceat(np.where(differ, within, np.repeat(both, both)), begin) if len(both) else both
-        code = langs.dictionary_encode().indices.to_numpy()
-        common = np.concatenate([[0], np.where(code[1:] == code[:-1], common, 0)])
+        common = np.concatenate([[0], common])
         found = []
-        for k in range(self.max_n):
+        for k, waiting in enumerate(self.stack):
             has = np.flatnonzero(depth > k)
+            counts = np.concatenate([np.array([waiting.get(x, 0) for x in open_langs], np.int64), n.to_numpy()])[has]
+            waiting.clear()
             if not len(has):
                 continue
             end = blanks[first[has] + k] + 1
-            starts = np.flatnonzero(end - offsets[has] > common[has])
-            sums = np.add.reduceat(n[has], starts)
-            at, end = has[starts], end[starts]
-            if held and depth[0] > k:
-                sums[0] += self.stack[k]
-            whole = np.ones(len(at), bool)
+            group = np.cumsum(end - offsets[has] > common[has])
+            key = group * len(names) + code[has]
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            sums, at = np.add.reduceat(counts[order], starts), order[starts]
+            whole = sums > 0
             if depth[-1] > k:  # the last row's prefix may go on
-                self.stack[k], whole[-1] = int(sums[-1]), False
+                goes_on = group[at] == group[-1]
+                waiting.update((names[int(code[has[i]])].as_py(), int(x)) for i, x in zip(at[goes_on], sums[goes_on], strict=True) if x)
+                whole &= ~goes_on
             if k:
                 whole &= sums >= self.least
-            found.append((k + 1, at[whole], offsets[at[whole]], end[whole] - 1, sums[whole]))
-        self.last = (langs[-1].as_py(), suffixes[-1].as_py())
-        return self.rows([(langs.take(pa.array(at)), pa.array([text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()).cast(pa.string()), k, sums) for k, at, lo, hi, sums in found])
+            at = at[whole]
+            phrases = [text[a:b] for a, b in zip(offsets[has[at]].tolist(), (end[at] - 1).tolist(), strict=True)]
+            found.append((names.take(pa.array(code[has[at]])), pa.array(phrases, pa.binary()).cast(pa.string()), k + 1, sums[whole]))
+        self.last = rows[-1].as_py().decode()
+        return self.rows(found)
 
     def close(self) -> pa.RecordBatch:
         """What is left on the stack."""
-        if self.last is None:
-            return self.rows([])
-        lang, suffix = self.last
-        words = suffix.split(" ")[:-1]
-        left = [(k, n) for k, n in enumerate(self.stack[: len(words)], 1) if k == 1 or n >= self.least]
-        return self.rows([(pa.array([lang], pa.string()), pa.array([" ".join(words[:k])], pa.string()), k, np.array([n])) for k, n in left])
+        words = (self.last or "").split(" ")[:-1]
+        left = [(lang, k, n) for k, waiting in enumerate(self.stack[: len(words)], 1) for lang, n in waiting.items() if k == 1 or n >= self.least]
+        return self.rows([(pa.array([lang], pa.string()), pa.array([" ".join(words[:k])], pa.string()), k, np.array([n])) for lang, k, n in left])
 
     @staticmethod
     def rows(found: list[tuple[pa.Array, pa.Array, int, np.ndarray]]) -> pa.RecordBatch:
@@ -180,7 +183,8 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = LEAST) -
             yield prefixes.add(b)
         yield prefixes.close()
 
-    counted = dealt.sortWithinPartitions(F.desc("lang"), F.desc("suffix")).transform(in_arrow, run, "lang string, phrase string, words int, n long")
+    # by suffix first: its first bytes tell most rows apart
+    counted = dealt.sortWithinPartitions(F.desc("suffix"), F.desc("lang")).transform(in_arrow, run, "lang string, phrase string, words int, n long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 

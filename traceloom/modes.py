@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,9 @@ def job_matrix(tasks: DataFrame, mode: str = "all", status: str = "all") -> Data
     """tasks with a row for each mode and status: six at most, exploded in place rather than joined."""
     rows = tasks.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in selected(mode, MODES)])))
     return rows.withColumn("status", F.explode(F.array(*[F.lit(s) for s in selected(status, STATUSES)])))
+
+
+def routes(mode: str | None, status: str | None) -> list[str] | None:
+    """The folders <mode>, <status> or <mode>/<status> of what is chosen, in order; None if nothing is."""
+    parts = [selected(choice, known) for choice, known in ((mode, MODES), (status, STATUSES)) if choice]
+    return ["/".join(x) for x in itertools.product(*parts)] if parts else None
