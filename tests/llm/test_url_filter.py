@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -29,8 +30,8 @@ def plain_parts(url):
     return host, path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
 
 
-def plain_rule(host, path):
-    fits = [(len(h + p), h + p, v) for v, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+def plain_rule(host, path, rules=U.RULES):
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
 
 
@@ -44,22 +45,22 @@ def plain_branches(nodes, parents):
     """Of each parent's nodes in the order of their shares, which run of neighbours that don't differ each is in."""
     band = {}
     for parent in set(parents.values()):
-        order = sorted(((b + 0.5) / (l + 1.0), n[2], l, b, n) for n, (l, b) in nodes.items() if l and parents[n] == parent)
+        order = sorted(((b + 0.5) / (l + 1.0), l, b, n) for n, (l, b) in nodes.items() if l and parents[n] == parent)
         at = 0
-        for i, (share, _, l, b, n) in enumerate(order):
+        for i, (share, l, b, n) in enumerate(order):
             if i:
-                last, _, m, c, _ = order[i - 1]
+                last, m, c, _ = order[i - 1]
                 q = (b + c + 1.0) / (l + m + 2.0)
                 at += share - last > 1.96 * math.sqrt(q * (1 - q) * (1 / l + 1 / m))
             band[n] = at
     return {n: band.get(n, -1) for n in nodes}
 
 
-def plain_verdicts(urls):
+def plain_verdicts(urls, rules=U.RULES):
     pages = []
     for u in urls:
         host, path = plain_parts(u)
-        pages.append([host, path, *plain_rule(host, path), plain_shape(path)])
+        pages.append([host, path, *plain_rule(host, path, rules), plain_shape(path)])
     place = {}  # (host, shape) -> prefixes
     shapes = Counter((p[0], tuple(p[4])) for p in pages)
     current = {k: [""] for k in shapes}
@@ -126,5 +127,33 @@ def test_deep_rules_reach_deep_paths(spark):
     assert purity["bad"] > 0.8 and purity["good"] < 0.2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deep_long_and_empty_paths_against_plain_python(spark, seed):
+    """Stretches that are shared, that end inside others, and branchings far down; rules that label both sides of one."""
+    rng = random.Random(seed)
+    rules = (("block", "deep.com", "/a/b/c/d/e/f/bad"), ("allow", "deep.com", "/a/b/c"), ("block", "h.com", "/x/y"))
+    urls = ["http://deep.com", "http://deep.com/", "http://deep.com/a//b/", "http://only.com/" + "/".join("pqrstuvw" * 8), "http://h.com/x" + "/y" * 40, None]
+    for _ in range(150):
+        path = "/".join(["a", "b", "c", "d", "e", "f"][: rng.choice([0, 3, 6, 6, 6])] + [rng.choice(["bad", "good", "z", f"{rng.choice('klmnopqrst')}s"]) for _ in range(rng.randrange(4))] + ["tail"] * rng.choice([0, 0, 9]))
+        urls.append(f"http://{rng.choice(['deep.com', 'www.deep.com', 'other.org'])}/{path}")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, pytest.approx(r.purity, abs=2e-6)) for r in U.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, w in enumerate(plain_verdicts(urls, rules)):
+        assert w == got[i], urls[i]
+
+
+def test_one_deep_url_costs_no_rounds(spark, monkeypatch):
+    rounds = []
+    stored = U.stored
+    monkeypatch.setattr(U, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    flat = [f"http://h.com/de/{w}/{i}" for i, w in enumerate("klmnopqrst")] * 3 + ["http://h.com/en/a"]
+    deep = ["http://h.com/" + "/".join(f"{'abc'[i % 3]}x" for i in range(500))] * 2 + ["http://h.com/" + "/".join(f"{'abc'[i % 3]}x" for i in range(400)) + "/other"]
+    counts = []
+    for urls in (flat, flat + deep[:1], flat + deep):
+        rounds.clear()
+        assert U.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).count() == len(urls)
+        counts.append(len(rounds))
+    assert counts[0] == counts[1] == counts[2]
+
+
 def test_empty(spark):
     assert U.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
