@@ -12,6 +12,7 @@ import dataclasses
 from collections.abc import Iterable
 
 from traceloom.functions.patterns import BLOCK_RANKS as RANKS
+from traceloom.functions.programs import tree_of
 
 
 @dataclasses.dataclass
@@ -35,7 +36,7 @@ class Flow:
         self.blocks: list[Block] = []
         self.claims: list[tuple[int, int]] = []
         try:
-            tree = ast.parse(code)
+            tree = tree_of(code)
         except (SyntaxError, ValueError, RecursionError):
             return
         for f in self._outer_functions(tree):

@@ -9,6 +9,7 @@ import ast
 import json
 import math
 import re
+from functools import lru_cache
 
 from traceloom.functions import patterns as P
 
@@ -111,9 +112,15 @@ def sequence_items(text: str) -> list[str]:
     return []
 
 
+@lru_cache(maxsize=4)
+def tree_of(code: str) -> ast.Module:
+    """The syntax tree of a program; one parse for all that is asked of it in a row. Not to be changed."""
+    return ast.parse(code)
+
+
 def syntax(code: str) -> tuple[bool, str]:
     try:
-        ast.parse(code)
+        tree_of(code)
     except (SyntaxError, ValueError, RecursionError) as e:
         return False, str(e)
     return True, ""
@@ -123,7 +130,7 @@ def functions(code: str) -> list[tuple[int, str, int, int, bool]]:
     """(ordinal, name, required, positional, takes any number) of the functions at top level; none if the code doesn't parse."""
     if not syntax(code)[0]:
         return []
-    defs = [n for n in ast.parse(code).body if isinstance(n, ast.FunctionDef)]
+    defs = [n for n in tree_of(code).body if isinstance(n, ast.FunctionDef)]
     sized = [(d, len(d.args.posonlyargs) + len(d.args.args)) for d in defs]
     return [(i, d.name, n - len(d.args.defaults), n, d.args.vararg is not None) for i, (d, n) in enumerate(sized)]
 
@@ -152,7 +159,7 @@ def inputs_span(code: str) -> tuple[int, int] | None:
     """First and last line (from 1) of the top-level assignment to inputs."""
     if not syntax(code)[0]:
         return None
-    for node in ast.parse(code).body:
+    for node in tree_of(code).body:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "inputs" for t in node.targets):
             return node.lineno, node.end_lineno
     return None

@@ -11,6 +11,8 @@ from __future__ import annotations
 import ast
 import copy
 
+from traceloom.functions.programs import tree_of
+
 HOOK = "_write_event"
 
 
@@ -105,7 +107,7 @@ def instrumented(code: str) -> tuple[str | None, list[tuple[int, str, int, int,
     None, and no spans, for code that doesn't parse.
     """
     try:
-        tree = ast.parse(code)
+        tree = tree_of(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None, []
     rewrite = _Rewrite()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import patterns as P
-from traceloom.functions import programs
+from traceloom.functions import programs, writes
 from traceloom.functions.flow import Flow
 from traceloom.schemas import CFG_BLOCKS, CFG_JSON
 
@@ -103,6 +103,39 @@ def cfg_blocks(tasks: DataFrame, keys: list[str], code: str = "code") -> DataFra
     return tasks.select(*keys, found.alias("b")).select(*keys, F.explode("b").alias("b")).select(*keys, "b.*")
 
 
+PART = "part string, ordinal int, name string, kind string, line_start int, line_end int, lines array<int>, successors array<string>, required int, positional int, any_number boolean"
+
+
+class ProgramParts:
+    """A table function: the parts of one program from one parse.
+
+    part is function (name, required, positional, any_number), block (name, kind, lines, successors), inputs (the top-level
+    assignment's lines) or write (the variable and its lines); ordinal counts each part from 0. None for null code and code
+    that doesn't parse.
+    """
+
+    def eval(self, code: str | None) -> Iterator[tuple]:
+        if code is None or not programs.syntax(code)[0]:
+            return
+        for i, name, required, positional, any_number in programs.functions(code):
+            yield ("function", i, name, None, None, None, None, None, required, positional, any_number)
+        for i, (name, kind, first, last, lines, after, _) in enumerate(Flow(code).rows()):
+            yield ("block", i, name, kind, first, last, lines, after, None, None, None)
+        span = programs.inputs_span(code)
+        if span:
+            yield ("inputs", 0, "inputs", None, *span, None, None, None, None, None)
+        for i, (_, name, first, _, last, _) in enumerate(writes.instrumented(code)[1]):
+            yield ("write", i, name, None, first, last, None, None, None, None, None)
+
+
+def program_parts(tasks: DataFrame, keys: list[str], code: str = "code") -> DataFrame:
+    """keys and a PART row for each part of each program, by a lateral join; also SQL's program_parts(code) from then on."""
+    spark = tasks.sparkSession
+    spark.udtf.register("program_parts", F.udtf(ProgramParts, returnType=PART))
+    rows = tasks.select(*keys, F.col(code).alias("_code"))
+    return spark.sql(f"SELECT {', '.join(f't.`{k}`' for k in keys)}, p.* FROM {{rows}} t, LATERAL program_parts(t._code) p", rows=rows)
+
+
 def cfg_edges(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.select(*keys, F.col("block_id").alias("src"), F.explode("successors").alias("dst"))
 

@@ -112,6 +112,8 @@ SEQUENCES_SQL = TRACE_SQL + """,
 PROGRAM = "def helper(x, y=1):\n    return x * {n}\n\n\ndef fun1(n):\n    result = 0\n    for i in range(n):\n        if i % 2 == 0:\n            result += i\n        else:\n            result -= {n}\n    return result\n"
 BROKEN = "def fun1(n:\n    return {n}\n"
 ENDLESS = "def fun1(n):\n    while True:\n        n += {n}\n    return n\n"
+#: A program of the shapes that the others lack: try, nested loops, elif, with, match, code after return, a method, an inner function, else of a loop.
+SHAPES = "def outer(n):\n    try:\n        for i in range({n}):\n            for j in range(i):\n                if j > 2:\n                    return j\n                elif j == 1:\n                    continue\n    except ValueError:\n        n = 0\n    with open(n) as f:\n        n += {n}\n    match n:\n        case 1:\n            n = 2\n    return n\n    n = 3\n\n\nclass A:\n    def m(self):\n        def inner():\n            return 1\n        while self:\n            x = 1\n        else:\n            x = 2\n        if x:\n            x = {n}\n        return x\n"
 TEST = "inputs = [[{n}], [3], [0]]\nresults = [1, 2, 0]\nassertion(fun1(3), 1, 0)"
 
 

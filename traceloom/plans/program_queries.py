@@ -226,3 +226,51 @@ def repair_loop(spark, sf_dir):
         return fixed
     reasons = F.array_join(F.transform("attempts", lambda a: F.split(a["reason"], ":")[0]), "|")
     return fixed.select("task_id", "status", F.size("attempts").alias("attempts"), reasons.alias("reasons"), "code")
+
+
+#: Blocks of adapters.SHAPES: handlers, the else of a loop and inner functions are not followed, code after return is.
+_SHAPED = [
+    ("B0", "entry", 1, 1, "1", "B1"), ("B1", "try", 3, 8, "3,4,5,6,7,8", "B2"), ("B2", "loop_head", 3, 3, "", "B3,B13"), ("B3", "loop_body", 4, 8, "", "B4"), ("B4", "loop_head", 4, 4, "", "B5,B2"),
+    ("B5", "loop_body", 5, 8, "", "B6"), ("B6", "condition", 5, 5, "5", "B7,B9"), ("B7", "then", 6, 6, "6", "B8"), ("B8", "return", 6, 6, "6", ""), ("B9", "else", 7, 8, "7,8", "B10"),
+    ("B10", "condition", 7, 7, "7", "B11"), ("B11", "then", 8, 8, "", "B12"), ("B12", "normal", 8, 8, "", "B4"), ("B13", "normal", 11, 15, "11,12,13,14,15", "B14"), ("B14", "return", 16, 16, "16", "B15"),
+    ("B15", "normal", 17, 17, "17", ""), ("B16", "entry", 21, 21, "21", "B17"), ("B17", "normal", 22, 23, "22,23", "B18"), ("B18", "loop_head", 24, 24, "24", "B19,B21"), ("B19", "loop_body", 25, 25, "25", "B20"),
+    ("B20", "normal", 25, 25, "", "B18"), ("B21", "condition", 28, 28, "28", "B22"), ("B22", "then", 29, 29, "29", "B23"), ("B23", "normal", 29, 29, "", "B24"), ("B24", "return", 30, 30, "30", ""),
+]
+_SHAPED_WRITES = [(3, "i"), (4, "j"), (10, "n"), (11, "f"), (12, "n"), (15, "n"), (17, "n"), (25, "x"), (27, "x"), (29, "x")]
+
+
+def _shapes(spark, sf_dir):
+    filled = F.replace(F.lit(A.SHAPES), F.lit("{n}"), F.col("n").cast("string"))
+    return _sizes(spark, sf_dir).select(F.concat(F.lit("task_"), F.col("n").cast("string")).alias("task_id"), filled.alias("code"))
+
+
+def _sizes(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "part").select(F.col("p_size").alias("n")) if sf_dir else spark.range(1, 4).select(F.col("id").cast("int").alias("n"))
+    return rows.where("n IS NOT NULL").distinct()
+
+
+_TUPLES = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+@query(f", shaped(block_id, block_type, line_start, line_end, lines, successors) AS (VALUES {_TUPLES(_SHAPED)}) SELECT task_id, shaped.* FROM tasks, shaped")
+def cfg_shapes(spark, sf_dir):
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return programs.cfg_blocks(_shapes(spark, sf_dir), ["task_id"]).select("task_id", "block_id", "block_type", "line_start", "line_end", joined("lines"), joined("successors"))
+
+
+@query(f""", shaped(name, kind, line_start, line_end, lines, successors) AS (VALUES {_TUPLES(_SHAPED)}), written(line, name) AS (VALUES {_TUPLES(_SHAPED_WRITES)})
+    SELECT task_id, 'block' AS part, name, shaped.kind, line_start, line_end FROM tasks, shaped UNION ALL SELECT task_id, 'function', 'outer', NULL, NULL, NULL FROM tasks
+    UNION ALL SELECT task_id, 'write', name, NULL, line, line FROM tasks, written""")
+def program_parts(spark, sf_dir):
+    return programs.program_parts(_shapes(spark, sf_dir), ["task_id"]).select("task_id", "part", "name", "kind", "line_start", "line_end")
+
+
+@query(""" SELECT task_id, CASE WHEN n % 5 = 0 THEN 'one' WHEN n % 5 IN (1, 2) THEN 'two' WHEN n % 5 = 3 THEN 'many' ELSE 'last' END AS name FROM tasks""")
+def callable_fallbacks(spark, sf_dir):
+    tasks = _sizes(spark, sf_dir).select(F.concat(F.lit("task_"), F.col("n").cast("string")).alias("task_id"), "n")
+    # one input of n % 5 arguments and, for some tasks, a second of one more; the last function takes none
+    any_number = F.when(F.col("n") % 5 == 3, "def many(a, *b): pass\n").otherwise("")
+    code = F.concat(F.lit("def one(a=0): pass\ndef two(a, b=1): pass\n"), any_number, F.when(F.col("n") % 5 == 0, "def one(a=0): pass\n").otherwise(""), F.when(F.col("n") % 5 > 2, "def last(*, k=1): pass\n").otherwise(""))
+    sizes = tasks.select("task_id", F.explode(F.when(F.col("n") % 5 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("n") % 5))).alias("arity"))
+    none = tasks.select("task_id", F.lit("absent").alias("preferred"))
+    return programs.callable_functions(programs.functions(tasks.withColumn("code", code), ["task_id"]), sizes, none, ["task_id"])
