@@ -12,7 +12,7 @@ from traceloom.functions import numbers, similarity, text
 from traceloom.operators import compare, lineage, rollup, sequence
 from traceloom.plans import adapters as A
 from traceloom.plans import program_queries, text_queries
-from traceloom.sources import folders
+from traceloom.sources import files, folders, task_tree
 from traceloom.streaming import reports
 
 QUERIES: dict = program_queries.QUERIES | text_queries.QUERIES
@@ -455,3 +455,31 @@ def innermost_blocks(spark, sf_dir):
     spans = parts.where("p_partkey % 4 = 0").selectExpr("p_size % 3 AS run", "p_partkey AS block_id", f"(p_partkey div {width}) * {width} AS low", f"(p_partkey div {width} + 1) * {width} - 1 AS high")
     events = parts.selectExpr("cast(p_partkey % 3 AS int) AS run", "p_partkey AS step")
     return sequence.innermost(events, spans.withColumn("run", F.col("run").cast("int")), ["run"], "step", "low", "high", "block_id").withColumnRenamed("innermost", "block")
+
+
+def _supplier_tree(spark, sf_dir, text, name):
+    """A task tree of the suppliers' files, a file each."""
+    at = f"{folders.scratch(spark)}/tree-{uuid.uuid4().hex}"
+    rows = A.table(spark, sf_dir, "supplier").where("s_suppkey IS NOT NULL")
+    task_tree.write_task_files(rows.select(F.concat(F.lit("task_"), F.col("s_suppkey").cast("string")).alias("task_id"), text.alias("text")), at, name)
+    return at
+
+
+@query("""SELECT 'task_' || s_suppkey AS task_id, 1 AS line_no, '[' || s_nationkey || ']' AS literal FROM supplier UNION ALL SELECT 'task_' || s_suppkey, 2, '[' || s_suppkey || ', 1]' FROM supplier""")
+def tree_input_literals(spark, sf_dir):
+    at = _supplier_tree(spark, sf_dir, F.expr("concat('[', s_nationkey, ']\\n\\n  [', s_suppkey, ', 1]\\t\\n')"), "{task_id}/inputs.txt")
+    return files.input_literals(spark, at, "inputs.txt")
+
+
+@query("""SELECT 'task_' || s_suppkey AS task_id, 'result/out.txt' AS file, length('x' || s_name) AS size, 'x' || s_name AS text FROM supplier ORDER BY s_suppkey LIMIT 12""")
+def tree_numeric_order_limit(spark, sf_dir):
+    at = _supplier_tree(spark, sf_dir, F.concat(F.lit("x"), "s_name"), "{task_id}/result/out.txt")
+    return task_tree.task_files(spark, at, "*.txt", order="number", limit="12")
+
+
+@query("""SELECT 'task_' || s_suppkey AS task_id, s_nationkey::INTEGER AS nation, s_name AS name, [s_suppkey::INTEGER, 2][1] AS first FROM supplier""")
+def tree_json_documents(spark, sf_dir):
+    doc = F.to_json(F.struct(F.concat(F.lit("task_"), F.col("s_suppkey").cast("string")).alias("task_id"), F.col("s_nationkey").cast("int").alias("nation"), F.struct("s_name", F.array(F.col("s_suppkey").cast("int"), F.lit(2)).alias("items")).alias("held")))
+    at = _supplier_tree(spark, sf_dir, doc, "{task_id}.json")
+    rows = files.json_documents(spark, at, "task_id string, nation int, held struct<s_name:string,items:array<int>>")
+    return rows.select("task_id", "nation", F.col("held.s_name").alias("name"), F.col("held.items")[0].alias("first"))
