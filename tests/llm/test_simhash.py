@@ -75,6 +75,42 @@ def test_links_and_components(spark, seed):
             assert (got.get(a, a) == got.get(signed[j], signed[j])) == (want[i] == want[j])
 
 
+@pytest.mark.parametrize("crowd", [1, 4, 20])
+def test_crowds_are_cut_without_losing_a_pair(spark, monkeypatch, crowd):
+    """Variants that many share: around one centre, in one segment, in one half, and far rings that no representative reaches."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(crowd)
+    centre = rng.getrandbits(64)
+    fps = set()
+    for bits, places in ((4, range(64)), (5, range(32)), (3, range(32, 64)), (6, range(16)), (5, range(48, 64))):
+        for _ in range(45):
+            x = centre
+            for b in rng.sample(places, bits):
+                x ^= 1 << b
+            fps.add(x)
+    for x in rng.sample(sorted(fps), 40):
+        fps.add(x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    pairs = [(r.a, r.b) for r in found.collect()]
+    assert len(set(pairs)) == len(pairs) and all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in pairs)
+    want = plain_groups(list(zip(range(len(fps)), fps)))
+    got = {r.node: r.root for r in simhash.components(found).collect()}
+    groups = {}
+    for x, w in zip(signed, want):
+        groups.setdefault(w, set()).add(got.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_what_shares_a_variant_is_verified(spark):
+    """Equal in one segment but for a bit and far apart in the other: candidates, and no link."""
+    fps = [(5,), (4 | 0xFFFF << 40,), (5 | 1 << 50 | 1 << 51,)]
+    df = spark.createDataFrame(fps, "fp long")
+    assert simhash.candidates(df).count() == 3
+    assert [(r.a, r.b) for r in simhash.links(df).collect()] == [(5, 5 | 1 << 50 | 1 << 51)]
+
+
 def test_groups_match_brute_force_with_odd_rows(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choice("red blue green one two three four".split()) + str(rng.randrange(30)) for _ in range(300)) for _ in range(6)]

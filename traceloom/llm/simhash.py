@@ -2,16 +2,16 @@
 
 Fingerprints of 64 bits that differ in at most two bits are linked. Cut into two segments of 32 bits, one
 segment of a linked pair differs in at most one bit, so the pair shares a *one-wildcard variant*: that segment with
-one bit position left out. Each distinct fingerprint has 64 such variants (two segments, 32 positions); fingerprints
-that share one with another are candidates.
+one bit position left out. Each distinct fingerprint has 64 such variants (two segments, 32 positions); an equality join
+brings those that share one together, and the whole fingerprints are compared (XOR): most of what meets differs elsewhere.
 
-A crowd of near copies may share one variant, so its members are not paired up. Candidates fill the wildcard in, with
-the rest of the fingerprint beside it: 65 values each, their own and those with one bit turned. Two fingerprints differ
-in at most two bits exactly if they have such a value in common, and at most 65 can have the same one. An equality join
-on the value brings them together, and each is verified (XOR) against the value's smallest fingerprint, its
-representative: links for all linked pairs without listing the pairs, by one plan for groups of every size.
+A variant that more than CROWD fingerprints share, as a crowd of near copies may, isn't paired up. Its members are compared
+with a representative first. Those that the links so far leave apart are cut again, by the one-wildcard variants of the halves of
+the other segment, of which one differs in at most one bit too; and where that is still a crowd, by the last half with two bits
+left out. At most 16 fingerprints share all of that, so no pair within two bits is lost, and no group is large.
 
-Rows that the search moves: 64 per distinct fingerprint, 65 more per candidate.
+Rows that the search moves: 64 per distinct fingerprint, and twice more for those that meet another; 32 per member of a crowd
+that is more than one component, 120 where that doesn't part it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -30,6 +30,8 @@ from traceloom.llm.common import discard, in_arrow, stored
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
+#: Fingerprints that share a variant from which they aren't paired up but cut again.
+CROWD = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -71,28 +73,79 @@ def variants(fps: DataFrame) -> DataFrame:
     return at.select("fp", F.expr("shiftleft(cast(b as bigint), 32) | (shiftrightunsigned(fp, 32 * (b div 32)) & 4294967295L & ~shiftleft(1L, b % 32))").alias("key"))
 
 
-def points(fps: DataFrame) -> DataFrame:
-    """(fp, key): the fingerprint and the 64 values at distance one from it."""
-    at = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("b"))
-    return at.select("fp", F.expr("CASE WHEN b < 0 THEN fp ELSE fp ^ shiftleft(1L, b) END").alias("key"))
+def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of keys that occur more than once, with size and the smallest fingerprint, least. Counts and a join: a key with many rows can be split."""
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
+    return rows.join(shared, keys)
 
 
-def candidates(fps: DataFrame) -> DataFrame:
-    """(fp): the fingerprints that share a one-wildcard variant with another. fps: distinct fingerprints.
-
-    One shuffle of two longs a variant; a variant's rows are counted in a window, which spills and gathers no list.
-    """
+def members(fps: DataFrame) -> DataFrame:
+    """(key, fp, size, least): the one-wildcard variants that distinct fingerprints share."""
     # every row becomes 64: spread the few bytes of the fingerprints first, or few tasks make all of the index
     spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shared = variants(spread).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return shared.where("n > 1").select("fp").distinct()
+    return sized(variants(spread), ["key"])
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """(fp): the fingerprints that share a one-wildcard variant with another. fps: distinct fingerprints."""
+    return members(fps).select("fp").distinct()
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fingerprints that differ in at most MAX_BITS bits."""
+    return pairs.where(f"bit_count(a ^ b) <= {MAX_BITS}").select("a", "b")
+
+
+def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): the near pairs among rows of equal keys; of rows with labels only those between labels."""
+    label = ["label"] if "label" in rows.columns else []
+    left = rows.select(*keys, F.col("fp").alias("a"), *[F.col(c).alias("la") for c in label])
+    right = rows.select(*keys, F.col("fp").alias("b"), *[F.col(c).alias("lb") for c in label])
+    both = left.join(right, keys).where("a < b")
+    return near(both.where("la <> lb") if label else both)
+
+
+#: The other segment of a key's fingerprint.
+_OTHER = "(shiftrightunsigned(fp, 32 - 32 * cast(shiftrightunsigned(key, 32) div 32 AS int)) & 4294967295L)"
+
+
+def by_halves(rows: DataFrame) -> DataFrame:
+    """rows with half: the one-wildcard variants of the two halves of the other segment."""
+    at = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return at.withColumn("half", F.expr(f"shiftleft(cast(c AS bigint), 16) | (shiftrightunsigned({_OTHER}, 16 * (c div 16)) & 65535L & ~shiftleft(1L, c % 16))")).drop("c")
+
+
+def by_rest(rows: DataFrame) -> DataFrame:
+    """rows with rest: the variants of the half that is left, with two positions left out."""
+    at = rows.withColumn("c", F.explode(F.expr("filter(sequence(0, 255), x -> x div 16 < x % 16)")))
+    bits = f"shiftrightunsigned({_OTHER}, 16 - 16 * cast(shiftrightunsigned(half, 20) AS int)) & 65535L"
+    return at.withColumn("rest", F.expr(f"shiftleft(cast(c AS bigint), 16) | ({bits} & ~(shiftleft(1L, c div 16) | shiftleft(1L, c % 16)))")).drop("c")
+
+
+def apart(rows: DataFrame, keys: list[str], labels: DataFrame) -> DataFrame:
+    """rows with label, their component, of those keys whose rows have more than one."""
+    known = rows.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("label"))
+    mixed = known.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
+    return known.join(mixed, keys, "left_semi")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints, some twice, that connect all those within two bits."""
-    least = F.min("fp").over(Window.partitionBy("key"))  # of at most 65
-    stars = points(candidates(fps)).withColumn("least", least).where("fp <> least")
-    return stars.where(f"bit_count(fp ^ least) <= {MAX_BITS}").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    """(a, b): links between different fingerprints, none twice, that connect all those within two bits."""
+    held = stored(members(fps), "simhash-members")
+    stars = near(held.where((F.col("size") > CROWD) & (F.col("fp") != F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    found = stored(paired(held.where(F.col("size") <= CROWD), ["key"]).unionAll(stars).distinct(), "simhash-pairs")
+    crowd, keys = held.where(F.col("size") > CROWD).select("key", "fp"), ["key"]
+    for cut, name in ((by_halves, "half"), (by_rest, "rest")):
+        if crowd.isEmpty():
+            break
+        left = stored(apart(crowd, keys, components(found)), "simhash-apart")
+        keys = [*keys, name]
+        parts = stored(sized(cut(left), keys), "simhash-parts")
+        few = parts if name == "rest" else parts.where(F.col("size") <= CROWD)
+        stars = near(parts.where((F.col("size") > CROWD) & (F.col("fp") != F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b")))
+        found = stored(found.unionAll(paired(few, keys)).unionAll(stars).distinct(), "simhash-pairs")
+        crowd = parts.where(F.col("size") > CROWD).select(*keys, "fp")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
