@@ -114,3 +114,18 @@ def test_lineage_commands(spark, tmp_path, capsys):
     cli.main(["stale", *tables, "--drop"])
     assert "mutant" in capsys.readouterr().out
     assert rows(spark, tmp_path / "mutant", "task_id") == [("task_0",), ("task_2",)] == rows(spark, tmp_path / "graph", "task_id")
+
+
+def test_loaded_tasks_as_folders(spark, tmp_path):
+    test = "import x\ninputs = [[2], [3], ['a', (1, 2)]]\nresults = [1, 2]\nfor i, (inp, exp) in enumerate(zip(inputs, results)):\n    assertion(fun1(*inp), exp, 0) # no\n"
+    (tmp_path / "tasks.json").write_text(json.dumps([{"task_id": 5, "code": "def fun1(n):\n    return n", "test": test, "test_list": []}, {"task_id": 6, "code": "x = 1", "test": "nothing", "test_list": []}]))
+    (tmp_path / "footer.py").write_text("print(result)\n")
+    cli.main(["load", "--tasks", f"{tmp_path}/tasks.json", "--out", f"{tmp_path}/inputs", "--sample-size", "2", "--files", f"{tmp_path}/tree", "--footer", f"{tmp_path}/footer.py"])
+    at = tmp_path / "tree/task_5"
+    assert sorted(p.name for p in at.iterdir()) == ["code.py", "code_inputs.txt", "combined.py", "results.txt", "sample_code_inputs.txt", "task_5.json"]
+    assert (at / "code.py").read_text() == "def fun1(n):\n    return n\n" and (at / "results.txt").read_text() == "[1, 2]"
+    assert (at / "code_inputs.txt").read_text() == "[2]\n[3]\n['a', (1, 2)]\n" and len((at / "sample_code_inputs.txt").read_text().splitlines()) == 2
+    combined = (at / "combined.py").read_text()
+    assert combined.startswith("def fun1(n):\n    return n\ninputs = [[2], [3], ['a', (1, 2)]]\nresult = []\nfor inp in inputs:\n    result.append(fun1(*inp)") and combined.endswith("print(result)\n\n")
+    assert json.loads((at / "task_5.json").read_text())["task_num"] == 5
+    assert sorted(p.name for p in (tmp_path / "tree/task_6").iterdir()) == ["code.py", "combined.py", "task_6.json"]

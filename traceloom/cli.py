@@ -9,7 +9,7 @@
     python -m traceloom writes --scripts DIR [--timeout 30] --out DIR
     python -m traceloom blocks --scripts DIR --out DIR
     python -m traceloom swap --scripts DIR --inputs DIR [--files DIR] --out DIR
-    python -m traceloom load --tasks FILE --out DIR [--sample-size 10] [--seed 0] [--limit N]
+    python -m traceloom load --tasks FILE --out DIR [--sample-size 10] [--seed 0] [--limit N] [--files DIR [--footer FILE]]
     python -m traceloom splice --tasks FILE --out DIR
     python -m traceloom predict --scripts DIR --out DIR [--kind output|variables|blocks] (--answers DIR | --service URL --model NAME [--key ${NAME}] [--tries 5] [--workers N] [--at-once K] [--per-second R] [--journal DIR])
     python -m traceloom mutate --tasks FILE --out DIR --kind equivalent|non_equivalent --service URL --model NAME
@@ -90,6 +90,9 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("--seed", type=int, default=0)
         t.add_argument("--limit", type=int)
         t.add_argument("--overwrite", action="store_true")
+        if name == "load":
+            t.add_argument("--files", help="a folder that gets each task's files too")
+            t.add_argument("--footer", help="a file that ends each combined script")
     r = sub.add_parser("predict")
     r.add_argument("--scripts", required=True)
     r.add_argument("--glob", default="*.py")
@@ -273,7 +276,11 @@ def main(argv: list[str] | None = None) -> None:
         fields = rows.withColumn("test", text.test_field(F.col("test")))
         inputs = sequence.sampled(programs.test_inputs(fields, ["task_id"]), ["task_id"], "line_no", args.sample_size, args.seed).drop("sample_rank")
         if args.command == "load":
-            sinks.resume(inputs, args.out, ["task_id"], overwrite=args.overwrite).groupBy("task_id").count().show()
+            sampled = sinks.resume(inputs, args.out, ["task_id"], overwrite=args.overwrite)
+            sampled.groupBy("task_id").count().show()
+            if args.files:
+                made = drivers.materialised(fields, programs.test_inputs(fields, ["task_id"]), sampled, footer=files.template(spark, args.footer))
+                task_tree.write_task_files(made, args.files, "{task_id}/{file}", exists="overwrite" if args.overwrite else "skip")
         else:
             named = rows.join(programs.entry_names(rows, ["task_id"]), "task_id")
             sinks.resume(execute.spliced(named, inputs, ["task_id"]), args.out, ["task_id"], overwrite=args.overwrite).groupBy(F.col("script").isNull().alias("no_function")).count().show()

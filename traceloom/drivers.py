@@ -238,3 +238,29 @@ def swapped(spark: SparkSession, scripts: str, inputs: str, of_modes: list[str],
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def materialised(tasks: DataFrame, inputs: DataFrame, sampled: DataFrame, header: str = "", footer: str = "") -> DataFrame:
+    """task_id, file, text: the files of each task's folder, for task_tree.write_task_files() with the name {task_id}/{file}.
+
+    tasks: TASKS with test as text.test_field() gives it; inputs and sampled: task_id, line_no, literal. <task>.json has the task, code.py
+    its code, combined.py the code with the routed test between header and footer, results.txt the expected results,
+    code_inputs.txt and sample_code_inputs.txt a line for each input. A task without inputs or results lacks those files.
+    """
+    routed = text.combined_script(text.routed_lines(text.numbered_lines(tasks, ["task_id"], "test"), ["task_id"]), ["task_id"])
+    rows = tasks.join(routed, "task_id", "left")
+    lines = lambda *c: F.concat(F.concat_ws("\n", *c), F.lit("\n"))
+    ends = [F.lit(x) if x else F.lit(None).cast("string") for x in (header, footer)]
+    code = F.coalesce("code", F.lit(""))
+    entries = [
+        (F.concat("task_id", F.lit(".json")), F.to_json(F.struct(*tasks.columns))),
+        (F.lit("code.py"), lines(code)),
+        (F.lit("combined.py"), lines(code, ends[0], F.when(F.col("script") != "", F.col("script")), ends[1])),
+        (F.lit("results.txt"), F.when(F.col("results") != "", F.col("results"))),
+    ]
+    each = F.explode(F.array(*[F.struct(name.alias("file"), content.alias("text")) for name, content in entries]))
+    found = rows.select("task_id", each.alias("x")).select("task_id", "x.*").where("text IS NOT NULL")
+    for name, literals in (("code_inputs.txt", inputs), ("sample_code_inputs.txt", sampled)):
+        known = literals.withColumnRenamed("literal", "value").join(tasks.select("task_id"), "task_id", "left_semi")
+        found = found.unionByName(sinks.text_lines(known, ["task_id"]).select("task_id", F.lit(name).alias("file"), "text"))
+    return found

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from traceloom import schemas
 from traceloom.functions import text
+from traceloom.sources import folders
 
 TASK = r"(task_[^/.]+)"
 
@@ -89,6 +90,14 @@ def delta_trace(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", F.from_json("value", schemas.DELTA_TRACE).alias("s")).where("s IS NOT NULL").select("path", "s.*")
 
 
+def template(spark: SparkSession, path: str | None) -> str:
+    """The text of one small file, such as the footer that every script gets; "" without one."""
+    if not path or not folders.exists(spark, path):
+        return ""
+    found = spark.read.text(path, wholetext=True).first()
+    return found.value if found else ""  # an empty file has no row
+
+
 def span_maps(spans: DataFrame, keys: list[str], file: str) -> DataFrame:
     """keys, json: spans (keys, iid, variable and place) as one document a program, its iids with their places in the file."""
     place = F.struct(F.lit(file).alias("file"), *[c for c in spans.columns if c not in (*keys, "iid")])
