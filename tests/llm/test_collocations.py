@@ -66,7 +66,9 @@ def test_rows_match_plain_counts(spark, max_n, least, cover, top):
     assert got == plain(rows, max_n, least, cover, top)
 
 
-def test_counts_of_all_phrases(spark):
+@pytest.mark.parametrize("gathered", [1, 1 << 25])
+def test_counts_of_all_phrases(spark, monkeypatch, gathered):
+    monkeypatch.setattr(c, "GATHERED", gathered)
     rows = sample(8, 60)
     got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in c.phrase_counts(frame(spark, rows), 3, 1).collect()}
     assert got == {(lang, p): n for lang, f in plain_counts(rows, 3).items() for p, n in f.items()}

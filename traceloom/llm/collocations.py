@@ -24,13 +24,15 @@ MAX_WORDS = 3
 LEAST = 10
 COVER = 50
 TOP = 2000
-#: A first word's suffixes are dealt to so many parts by the second word.
+#: A language's candidates are ranked in so many parts first.
 DEALT = 64
 
 #: ASCII capitals to small letters, tabs to blanks, all that ends a piece to line feeds.
 _MAP = bytes(ord("\n") if chr(c) in ".,;:!?\n\v\f\r" else ord(" ") if c == 9 else c | 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKEN = re.compile(rb"[^ \n]+|\n")
 _EDGE = re.compile(rb"[ \n]")
+#: Bytes of texts whose equal suffixes a task counts together; more only where a single text is longer.
+GATHERED = 32 << 20
 #: Bytes of a text that are split into words at once.
 CHUNK = 1 << 20
 
@@ -78,15 +80,24 @@ def suffix_counts(texts: Iterable[bytes], max_n: int) -> tuple[pa.Array, pa.Arra
 def suffixes(docs: DataFrame, max_n: int) -> DataFrame:
     """(lang, suffix, n): counted suffixes of parts of docs; a suffix may stand in several rows."""
 
+    def counted(texts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in texts.items():
+            found, n = suffix_counts(own, max_n)
+            for at in range(0, len(found), 1 << 16):
+                some = found[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(some)), some, n[at : at + (1 << 16)]], names=["lang", "suffix", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[str, list[bytes]] = {}
+        size = 0
         for b in batches:
-            langs = b.column(0).to_pylist()
-            texts = b.column(1).cast(pa.large_binary())
-            for lang in dict.fromkeys(langs):
-                found, n = suffix_counts((texts[i].as_py() for i, x in enumerate(langs) if x == lang), max_n)
-                for at in range(0, len(found), 1 << 16):
-                    some = found[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(some)), some, n[at : at + (1 << 16)]], names=["lang", "suffix", "n"])
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(text)
+            size += b.nbytes
+            if size >= GATHERED:
+                yield from counted(texts)
+                texts, size = {}, 0
+        yield from counted(texts)
 
     some = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return some.transform(in_arrow, run, "lang string, suffix string, n long")
@@ -174,8 +185,8 @@ class Prefixes:
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n): all words, and all phrases of up to max_n words that occur at least least times."""
-    second = F.substring_index("suffix", " ", 2)
-    dealt = suffixes(docs, max_n).repartition("lang", F.substring_index("suffix", " ", 1), F.pmod(F.xxhash64(second), F.lit(DEALT)))
+    # by language and first word, a frequent one further by the second
+    dealt = suffixes(docs, max_n).repartition("lang", F.substring_index("suffix", " ", 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = Prefixes(least, max_n)
