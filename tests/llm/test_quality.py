@@ -185,6 +185,27 @@ def test_held_out_accuracy(spark, name, label, least):
     assert auc([r[0] for r in got], [r.score for r in got]) > least
 
 
+@needs_data
+def test_toxic_documents_are_found_held_out(spark):
+    """Nine in ten of the toxic documents that taught nothing, and of the clean ones at most one in a hundred is lost."""
+    got = queries.op8_toxicity(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)), n
+    assert n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0)), n
+
+
+@needs_data
+def test_the_penalty_evens_out_groups_in_real_documents(spark):
+    """Half of the toxic documents name one group and some clean ones another: the penalty shrinks what that alone scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    toxic = labels.select("doc_id", "toxic")
+    group = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), " muslims").when((F.col("toxic") == 0) & (F.col("doc_id") % 7 == 0), " christians").otherwise("")
+    docs = docs.join(toxic, "doc_id").select("doc_id", F.concat("text", group).alias("text"))
+    free, fair = toxicity.fit(docs, labels, fairness=0.0), toxicity.fit(docs, labels)
+    gap = lambda m: m.logit({"muslims"}) - m.logit({"christians"})
+    assert gap(free) > 0 and gap(fair) < 0.5 * gap(free), (gap(free), gap(fair))
+
+
 @needs_data
 def test_rules_keep_good_documents(spark):
     got = queries.QUERIES["op2_quality_rules"](spark, DATA).where("NOT base_failed").join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id")
@@ -197,14 +218,31 @@ def test_counterfactuals_are_those_of_the_swapped_text():
     rng = random.Random(7)
     words = ["muslims", "muslim", "christians", "chris", "black", "blackened", "white", "walk", "whit", "jews"]
     peers = {t: [u for u in g if u != t] for g in toxicity.IDENTITY_TERMS for t in g}
-    feats = lambda text: {f for w in toxicity.distinct_words(text) for f in toxicity.word_features(w)}
-    for _ in range(200):
-        text = " ".join(rng.choices(words, k=rng.randrange(1, 9)))
+    fillers = [a + b for a in "klmnp" for b in "aeiou" for _ in range(3)]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=rng.randrange(1, 9)) + rng.sample(fillers, rng.choice((0, 0, 40, 70))))
         found = list(toxicity.counterfactuals(toxicity.distinct_words(text), peers))
         assert {t for t, *_ in found} == {w for w in text.split() if w in peers}
         for term, other, lost, gained in found:
             swapped = " ".join(other if w == term else w for w in text.split())
-            assert set(lost) == feats(text) - feats(swapped) and set(gained) == feats(swapped) - feats(text)
+            assert set(lost) == plain_features(text) - plain_features(swapped) and set(gained) == plain_features(swapped) - plain_features(text)
+
+
+def test_several_words_of_a_family_tell_more_than_one(spark):
+    rng = random.Random(12)
+    ends = ["ka", "lo", "mi", "nu", "pe", "ri", "so", "tu"]
+    rows = []
+    for i in range(900):
+        words = [a + b for a, b in zip(sentence(rng, 80).split(), rng.choices(ends, k=80))]
+        family = ["grumv" + e for e in rng.sample(ends, 4 if i % 6 == 0 else i % 2)]  # clean texts hold one such word by chance
+        rows.append((i, " ".join(words + family)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "1 AS quality", "int(doc_id % 6 = 0) AS toxic")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, known).collect()}
+    assert all(r.predicted == int(d % 6 == 0) for d, r in got.items() if r.held_out)
+    model = toxicity.fit(docs, known)
+    long_clean = {f"word{'abcdefghij'[i % 10]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)} | {"grumvka", "grumvlo", "grumvmi"}
+    assert model.logit(long_clean) < 0  # three of thousands is no family
 
 
 def test_neutral_words_of_the_sample_are_swapped(spark):
@@ -228,10 +266,19 @@ def test_neutral_words_of_the_sample_are_swapped(spark):
     assert fair.score("the northerly people") > fair.score("the northlanders walk")
 
 
-def plain_logit(model, text):
+def plain_features(text):
+    """The hashes of words and prefixes, and (hash, level) of what several distinct words have, packed as the model packs them."""
     words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
-    feats = {zlib.crc32(p.encode()) % 2**21 for w in words for p in ["w:" + w] + ["p:" + w[:n] for n in (4, 5) if len(w) > n]}
-    return model.bias + sum(model.weights.get(f, 0.0) for f in feats)
+    of = lambda w: {zlib.crc32(p.encode()) % 2**21 for p in ["w:" + w] + ["p:" + w[:n] for n in (4, 5) if len(w) > n]}
+    out = set()
+    for f in {f for w in words for f in of(w)}:
+        k = sum(f in of(w) for w in words)
+        out |= {f} | {f + (i + 1) * 2**21 for i, (least, share) in enumerate(toxicity.LEVELS) if k >= least and k / len(words) >= share}
+    return out
+
+
+def plain_logit(model, text):
+    return model.bias + sum(model.weights.get(f, 0.0) for f in plain_features(text))
 
 
 def test_scores_match_plain_scoring(spark):

@@ -1,8 +1,10 @@
 """Toxicity scores by a sparse linear classifier that is regularised against identity terms.
 
-Features are the distinct words of a document and their prefixes of four and five letters, hashed. Weights are
-non-negative with an L1 penalty: a document is toxic for what it contains, so a long clean text can't outvote a
-few toxic words and words without evidence weigh nothing.
+Features are the distinct words of a document and their prefixes of four and five letters, hashed, and each prefix once
+more for how many of the document's distinct words have it, by number and share (``LEVELS``): where a language builds
+its words from a few pieces, one word of a family says little and several say much. Weights are non-negative with an L1
+penalty: a document is toxic for what it contains, so a long clean text can't outvote a few toxic words and words
+without evidence weigh nothing.
 
 The counterfactual penalty acts on labelled documents that mention a group: the term is swapped for another of its kind in
 the text, the features of the swapped text are worked out anew, and the squared change of the score is added to the loss.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from traceloom.llm.common import discard, id_remainder, in_arrow, label_sample,
 PER_CLASS = 4000
 HASH_BITS = 21
 SELECTED = 4000
+#: Levels of a feature: at least so many of the document's distinct words have it, and at least this share of them.
+LEVELS = ((2, 0.01), (3, 0.01), (3, 0.03))
 #: Neutral words of the sample that are swapped: how many at most, in groups of how many, and in what share of each class's documents at least.
 NEUTRAL, PEERS, NEUTRAL_SHARE = 200, 4, 0.02
 #: How far targets stay from 0 and 1: labels err, and without it the bias would run off until one word can't outweigh it.
@@ -57,6 +61,23 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) & ((1 << HASH_BITS) - 1) for p in parts]
 
 
+def graded(feature: int, words: int, of: int) -> list[int]:
+    """A feature that so many of a document's distinct words have, and the levels that it reaches.
+
+    >>> [f >> HASH_BITS for f in graded(5, 3, 200)], graded(5, 0, 200)
+    ([0, 1, 2], [])
+    """
+    if not words:
+        return []
+    return [feature, *(feature | i << HASH_BITS for i, (least, share) in enumerate(LEVELS, 1) if words >= least and words >= share * of)]
+
+
+def document_features(words: set[str]) -> set[int]:
+    """The features of a text with these distinct words."""
+    held = Counter(f for w in words for f in set(word_features(w)))
+    return {g for f, k in held.items() for g in graded(f, k, len(words))}
+
+
 def distinct_words(text: str | None) -> set[str]:
     return set(WORDS.findall((text or "").lower()))
 
@@ -68,23 +89,24 @@ class LexicalModel:
 
     def __init__(self, bias: float, weights: dict[int, float]):
         self.bias, self.weights = bias, weights
+        self.bases = {f & ((1 << HASH_BITS) - 1) for f in weights}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "cache": {}}
+        return {"bias": self.bias, "weights": self.weights, "bases": self.bases, "cache": {}}
 
-    def logit(self, words: Iterable[str]) -> float:
-        active: set[int] = set()
+    def logit(self, words: Set[str]) -> float:
+        held: Counter[int] = Counter()
         cache, weights = self.cache, self.weights
         for w in words:
             found = cache.get(w)
             if found is None:
                 if len(cache) >= self.CACHE:
                     cache.clear()
-                found = cache[w] = tuple(f for f in word_features(w) if f in weights)
+                found = cache[w] = tuple({f for f in word_features(w) if f in self.bases})
             if found:
-                active.update(found)
-        return self.bias + sum(weights[f] for f in sorted(active))
+                held.update(found)
+        return self.bias + sum(weights.get(g, 0.0) for f in sorted(held) for g in graded(f, held[f], len(words)))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(distinct_words(text)), -30, 30))))
@@ -97,12 +119,22 @@ def counterfactuals(words: set[str], peers: dict[str, list[str]]) -> Iterator[tu
     [('gay', 'straight')]
     """
     found = sorted(words & peers.keys())
-    held = Counter(f for w in words for f in set(word_features(w))) if found else Counter()
+    if not found:
+        return
+    held = Counter(f for w in words for f in set(word_features(w)))
+    n = len(words)
+    # a text that already has the other word has one distinct word less after the swap, which may lift any share
+    lifted = {f: more for f, k in held.items() if (more := sorted(set(graded(f, k, n - 1)) - set(graded(f, k, n))))}
     for term in found:
         own = set(word_features(term))
         for other in peers[term]:
             new = set() if other in words else set(word_features(other))
-            yield term, other, sorted(f for f in own - new if held[f] == 1), sorted(f for f in new if not held[f])
+            left = n - (other in words)
+            before = {g for f in own | new for g in graded(f, held[f], n)}
+            after = {g for f in own | new for g in graded(f, held[f] - (f in own) + (f in new), left)}
+            if left < n:
+                after.update(g for f, more in lifted.items() if f not in own | new for g in more)
+            yield term, other, sorted(before - after), sorted(after - before)
 
 
 def sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
@@ -111,7 +143,7 @@ def sample_words(docs: DataFrame, sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [sorted(distinct_words(t.as_py())) for t in b.column(1)]
-            feats = [sorted({f for w in x for f in word_features(w)}) for x in words]
+            feats = [sorted(document_features(set(x))) for x in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string())), pa.array(feats, pa.list_(pa.int32()))], names=["label", "words", "feats"])
 
     return stored(sampled_texts(docs, sample).select("label", "text").transform(in_arrow, run, "label int, words array<string>, feats array<int>"), "toxicity-sample")
