@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.llm.common import let
+
 #: Poisson rates above this are drawn as sums of independent draws, as exp(-rate) would underflow.
 STEP = 500.0
 BROADCAST_SOURCES = 20_000
@@ -56,7 +58,7 @@ def _mixed(docs: DataFrame, weights: dict[str, float], other: float, epochs: flo
     table = rates(docs, weights, other, epochs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("mix_id"), F.col("source").cast("string").alias("mix_key"))
     rows = rows.join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
-    draw = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col("mix_id"), j)))
+    draw = lambda j: let(uniform(seed, F.col("mix_id"), j), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     first = F.col("draws") == 1
     count = F.when(first, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, j: n + draw(j)))
     rows = rows.withColumn("mix_n", count).where("mix_n > 0")

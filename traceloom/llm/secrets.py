@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.llm.common import let
+
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 4000
 MIN_LLR = 12.0
@@ -35,11 +37,6 @@ BACKOFF = 20.0
 KINDS = ("assign", "access", "hex", "markov")
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x, with x worked out once although f may use it for each element of something."""
-    return F.transform(F.array(x), f)[0]
-
-
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """array<bigint>: of each element of values, 0 and the elements before it taken together by op.
 
