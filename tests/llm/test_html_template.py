@@ -100,3 +100,13 @@ def test_moved_and_crossing_classes_are_no_template(spark):
         rows.append((i, f"http://b.example/{i}", f"<body><div class='k'><p>{say(20)}</p>{boxes[0]}<p>{say(20)}</p>{boxes[1]}</div></body>" if i % 2 else f"<body><div class='k'><p>{say(40)}</p></div></body>"))
     got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(("first of the boxes" in got[i]) == (i % 2 == 1) for i in got)
+
+
+def test_classes_inside_the_article_are_read_as_whole_names():
+    say = lambda c: f"<section class='{c}'><p>{c}.</p></section>"
+    kept = ["comments-policy", "share-prices", "cookie-recipes", "newsletter-history", "adverse", "notice-period", "shared"]
+    gone = ["comments", "share-buttons", "notice", "cookie-notice", "post-comments", "sponsored-content", "article-share", "ad", "box ad-slot", "Comments_List", "inline-ad-2"]
+    page = f"<body><article><h1>Title</h1>{''.join(map(say, kept + gone))}<p>End</p></article></body>"
+    want = " ".join(["Title", *(f"{c}." for c in kept), "End"])
+    assert H.extract(page, 0, frozenset()) == want
+    assert H.extract("<body><article><p>a</p><div class='" + "post-" * 20_000 + "x'>b</div></article></body>", 0, frozenset()) == "a b"

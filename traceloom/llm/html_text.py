@@ -49,7 +49,10 @@ BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br
 RAW = frozenset("script style textarea noscript template iframe svg canvas audio video select".split())
 BOILERPLATE = frozenset("head nav header footer aside form".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|cookies?|consent|notices?|alert|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|widget|pagination|pager|toolbar|copyright)(?:$|[\s_-])", re.I)
-INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|comments?|disqus|replies|cookies?|consent|newsletter|share|sharing)(?:$|[\s_-])", re.I)
+# Inside the article a class name has to say it as a whole: one such word, alone or with words of layout, and nothing that it might be about.
+_SAYS = r"(?:ads?|advert\w*|sponsor\w*|comments?|disqus|replies|cookies?|consent|newsletter|share|sharing|notices?)"
+_LAYOUT = r"(?:main|top|bottom|left|right|side|inline|site|page|post|article|reader|user|social|in|box|bar|block|banner|buttons?|links?|list|section|area|wrapper|wrap|container|content|thread|slot|unit|widget|form|popup|signup|text|\d+)"
+INSIDE = re.compile(rf"(?<!\S)(?:{_LAYOUT}[_-])*{_SAYS}(?:[_-](?:{_SAYS}|{_LAYOUT}))*(?!\S)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = ("article", "main")
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -320,8 +323,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, constant = None, frozenset()
         for b in batches:
-            texts = [extract(h.as_py(), m.as_py() or 0, frozenset(c.as_py() or ()), main_all) for h, m, c in zip(b.column(2), b.column(3), b.column(4), strict=True)]
+            texts = []
+            for h, m, c in zip(b.column(2), b.column(3), b.column(4), strict=True):
+                if c != last:  # pages of one host often stand together
+                    last, constant = c, frozenset(c.as_py() or ())
+                texts.append(extract(h.as_py(), m.as_py() or 0, constant, main_all))
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(lengths)], names=["page_id", "url", "text", "n_chars"])
 
