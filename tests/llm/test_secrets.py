@@ -1,9 +1,12 @@
 import hashlib
 import math
+import os
 import random
 import re
 import time
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from traceloom.llm import secrets
@@ -121,3 +124,19 @@ def test_many_matches_in_one_text(spark):
     (row,) = secrets.secret_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * secrets.SIZE**2).collect()
     assert row.n_assign == 33_334 and row.spans == say(plain(text))
     assert time.time() - began < 60
+
+
+def test_names_of_unseen_words_are_seldom_marked(spark):
+    """Models of the driver's tables, whose words are made up, over names of English words, runs, paths and UUIDs."""
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("the driver's tables are not here")
+    rng = random.Random(21)
+    words = "account balance channel cluster connect controller customer database directory document element engine factory filter gateway handler index install kernel language listener manager message monitor network option parser payment pipeline platform process profile protocol provider queue record region report request response router schedule search segment sequence server service session signal snapshot source storage stream summary system template thread timer transfer vector version window worker".split()
+    ways = [lambda a, b, c, n: f"{a}_{b}_{c}", lambda a, b, c, n: f"{a}{b.title()}{c.title()}", lambda a, b, c, n: f"/{a}/{b}{n}/{c}", lambda a, b, c, n: f"{a.title()}{n}{b.title()}", lambda a, b, c, n: f"{a.upper()}_{b.upper()}_{n}", lambda a, b, c, n: f"{a}-2026-11-{n % 28 + 1:02d}-{b}"]
+    names = [rng.choice(ways)(*rng.choices(words, k=3), rng.randrange(1000)) for _ in range(1000)]
+    never = ["x" * 20, "qwertyuiopasdfghjkl", "4111111111111111", "/usr/local/lib/python3/site-packages/numpy", "ABC-1234-5678-XYZ-90", *(str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(50))]
+    ratio = secrets.markov_ratio(secrets.labelled_samples(spark.read.parquet(data)))
+    got = {r.doc_id: r.n_markov for r in secrets.secret_digests(spark.createDataFrame(list(enumerate(f"see {t} there" for t in names + never)), "doc_id long, text string"), ratio).collect()}
+    assert sum(got[i] for i in range(len(names))) <= 0.08 * len(names), [t for i, t in enumerate(names) if got[i]]
+    assert not [t for i, t in enumerate(never) if got[len(names) + i]]

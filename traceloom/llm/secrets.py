@@ -4,11 +4,13 @@ Base spans are matches of three fixed patterns. The method adds long tokens that
 first-order character models, one of random strings and one of ordinary identifiers, give a token's log-likelihood
 ratio. The models are bigram counts over labelled samples (a table of at most two times 68 x 68 rows, whatever the
 corpus), gathered once and put into the scan as a constant array. Every token of the alphabet with 16 characters or more is
-judged by the ratio alone; one that a base span holds whole is left to that span.
+judged by the ratio per character; one that a base span holds whole is left to that span, and a UUID names a thing and
+is no secret.
 
 Labelled samples: random strings are digests of consecutive numbers in base 16, 64 and upper case; identifiers are
 words of a bounded sample of documents (``sample_docs``, in the order of their ids' hash), alone and joined in the ways
-identifiers are, and decimal numbers of many digits, which name things too. The scan itself covers every whole text.
+identifiers are, with digits, acronyms, paths and codes, decimal numbers of many digits, which name things too, and runs:
+one character over and over, rows of keys, the alphabet. The scan itself covers every whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from traceloom.llm.common import let
 
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 4000
-MIN_LLR = 12.0
+#: The least log-likelihood ratio for each step from a character to the next: a sum alone would grow with the length of any name.
+MIN_RATE = 1.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 # Fixed patterns of the base kinds, and how many characters of which group a match needs.
@@ -32,6 +35,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: What names a thing by its form, however random: UUIDs.
+NAMED = r"^(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
+# Rows of keys, letters and digits.
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 #: How many bigrams of a character it takes until its own counts weigh as much as those of all characters.
 BACKOFF = 20.0
 KINDS = ("assign", "access", "hex", "markov")
@@ -85,9 +92,15 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_str
     words = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     pairs = texts.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
-    ways = F.array(a, F.upper(a), F.concat_ws("_", F.lower(a), F.lower(b)), F.concat_ws("-", F.lower(a), F.lower(b)), F.concat(F.lower(a), F.initcap(b)), F.concat(F.lower(a), F.lit("_"), F.pmod(F.hash(a, b), F.lit(100)).cast("string")), F.concat(F.lower(a), F.lit("/"), F.lower(b)))
+    low_a, low_b, up_a, up_b = F.lower(a), F.lower(b), F.upper(a), F.upper(b)
+    digits = lambda n, seed: F.lpad(F.pmod(F.xxhash64(a, b, F.lit(seed)), F.lit(10**n)).cast("string"), n, "0")
+    names = [a, up_a, F.concat_ws("_", low_a, low_b), F.concat_ws("-", low_a, low_b), F.concat(low_a, F.initcap(b)), F.concat_ws("_", low_a, digits(2, 1)), F.concat_ws("/", low_a, low_b)]
+    names += [F.concat_ws("_", up_a, up_b), F.concat(F.initcap(a), digits(2, 2), F.initcap(b)), F.concat(F.substring(up_a, 1, 4), F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat(low_a, digits(3, 10), low_b), F.concat(F.lit("/"), low_a, F.lit("/"), low_b, digits(1, 3), F.lit("/"))]
+    names += [F.concat_ws("-", F.substring(up_a, 1, 3), digits(4, 4), digits(4, 5), F.substring(up_b, 1, 3), digits(2, 6)), F.concat_ws("-", low_a, digits(4, 7), digits(2, 8))]
+    runs = [*(c * 20 for c in ALPHABET), *ROWS, *(r.upper() for r in ROWS)]
+    names.append(F.get(F.array(*map(F.lit, runs)), F.pmod(F.xxhash64(a, b, F.lit(0)), F.lit(len(runs))).cast("int")))
     numbers = spark.range(random_strings).select(F.conv(F.substring(digest, 1, 15), 16, 10).alias("text"))
-    ordinary = pairs.select(F.explode(ways).alias("text")).unionAll(numbers)
+    ordinary = pairs.select(F.explode(F.array(*names)).alias("text")).unionAll(numbers)
     return drawn.select("text", F.lit(1).alias("random")).unionAll(ordinary.select("text", F.lit(0).alias("random")))
 
 
@@ -122,7 +135,7 @@ def log_ratio(token: Column, ratio: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
-def secret_spans(docs: DataFrame, ratio: list[float], min_llr: float = MIN_LLR) -> DataFrame:
+def secret_spans(docs: DataFrame, ratio: list[float], min_rate: float = MIN_RATE) -> DataFrame:
     """(doc_id, found array<struct<s, kind, e, v>>) in the order of start and kind; one row per row of docs.
 
     kind is the place in KINDS. Null and empty texts have no spans; a null doc_id is scanned like any other; repeated
@@ -132,7 +145,7 @@ def secret_spans(docs: DataFrame, ratio: list[float], min_llr: float = MIN_LLR)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = docs.select("doc_id", spans(text, ASSIGN, 2, 6).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, TOKEN).alias("tokens"))
     named = lambda kind: F.transform(KINDS[kind], lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e"), x["v"].alias("v")))
-    likely = F.filter("tokens", lambda x: log_ratio(x["v"], ratio) >= min_llr)
+    likely = F.filter("tokens", lambda x: (log_ratio(x["v"], ratio) >= min_rate * (F.length(x["v"]) - 1)) & ~x["v"].rlike(NAMED))
     cut = cut.select("doc_id", F.array_sort(F.concat(*(named(i) for i in range(3)))).alias("base"), F.when(F.size("tokens") > 0, likely).otherwise(F.col("tokens")).alias("markov"))
     cut = cut.select("doc_id", "base", F.when(F.size("markov") > 0, F.array_sort(F.concat("base", named(3)))).alias("both"))
 
@@ -150,9 +163,9 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def secret_digests(docs: DataFrame, ratio: list[float], min_llr: float = MIN_LLR) -> DataFrame:
+def secret_digests(docs: DataFrame, ratio: list[float], min_rate: float = MIN_RATE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of secret_spans()."""
-    found = secret_spans(docs, ratio, min_llr)
+    found = secret_spans(docs, ratio, min_rate)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")
     base = F.filter("found", lambda x: x["kind"] < 3)
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), count(3).alias("n_markov"))
