@@ -10,6 +10,9 @@ with a representative first. Those that the links so far leave apart are cut aga
 the other segment, of which one differs in at most one bit too; and where that is still a crowd, by the last half with two bits
 left out. At most 16 fingerprints share all of that, so no pair within two bits is lost, and no group is large.
 
+Every joined side grows with the documents, so all joins are merge joins: a side whose files are small enough for Spark to broadcast
+may be many times as large in the driver's memory.
+
 Rows that the search moves: 64 per distinct fingerprint, and twice more for those that meet another; 32 per member of a crowd
 that is more than one component, 120 where that doesn't part it.
 """
@@ -73,10 +76,15 @@ def variants(fps: DataFrame) -> DataFrame:
     return at.select("fp", F.expr("shiftleft(cast(b as bigint), 32) | (shiftrightunsigned(fp, 32 * (b div 32)) & 4294967295L & ~shiftleft(1L, b % 32))").alias("key"))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """side of a join that is never collected by the driver, however small its files are."""
+    return side.hint("merge")
+
+
 def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows of keys that occur more than once, with size and the smallest fingerprint, least. Counts and a join: a key with many rows can be split."""
     shared = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
-    return rows.join(shared, keys)
+    return rows.join(merged(shared), keys)
 
 
 def members(fps: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
     label = ["label"] if "label" in rows.columns else []
     left = rows.select(*keys, F.col("fp").alias("a"), *[F.col(c).alias("la") for c in label])
     right = rows.select(*keys, F.col("fp").alias("b"), *[F.col(c).alias("lb") for c in label])
-    both = left.join(right, keys).where("a < b")
+    both = left.join(merged(right), keys).where("a < b")
     return near(both.where("la <> lb") if label else both)
 
 
@@ -124,9 +132,9 @@ def by_rest(rows: DataFrame) -> DataFrame:
 
 def apart(rows: DataFrame, keys: list[str], labels: DataFrame) -> DataFrame:
     """rows with label, their component, of those keys whose rows have more than one."""
-    known = rows.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("label"))
+    known = rows.join(merged(labels.select(F.col("node").alias("fp"), "root")), "fp", "left").select(*rows.columns, F.coalesce("root", "fp").alias("label"))
     mixed = known.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
-    return known.join(mixed, keys, "left_semi")
+    return known.join(merged(mixed), keys, "left_semi")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -163,17 +171,17 @@ def components(edges: DataFrame) -> DataFrame:
         chosen = stored(both.groupBy("a").agg(F.min("b").alias("up")), "simhash-chosen")
         other = chosen.select(F.col("a").alias("up"), F.col("up").alias("back"))
         mutual = (F.col("back") == F.col("a")) & (F.col("a") < F.col("up"))
-        tree = stored(chosen.join(other, "up").select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root")), "simhash-trees")
+        tree = stored(chosen.join(merged(other), "up").select(F.col("a").alias("node"), F.when(mutual, F.col("a")).otherwise(F.col("up")).alias("root")), "simhash-trees")
         discard(chosen)
         while True:
             jump = tree.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            after = stored(tree.join(jump, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "simhash-trees")
+            after = stored(tree.join(merged(jump), "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "simhash-trees")
             settled = after.where("moved").isEmpty()
             discard(tree)
             tree = after
             if settled:
                 break
-        up = tree.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        up = merged(tree.select(F.col("node").alias("at"), F.col("root").alias("up")))
         if labels is None:
             now = stored(tree.select("node", "root"), "simhash-labels")
         else:
@@ -194,10 +202,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     fps = stored(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(least.select("fp")))
-    member = stored(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    member = stored(least.join(merged(roots), least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
     discard(least, roots)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(member.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    return fps.join(merged(member.select("fp", "root").join(merged(named), "root")), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,9 +232,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = stored(best.select(F.col("x.id").alias("kept_id"), F.col("x.h").alias("kept_h"), F.col("x.n").alias("kept_n")), "simhash-kept")
     same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (text_hash == kept["kept_h"])
     if kept.where("kept_n > 1").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.where("kept_n = 1"), same, "left_semi")
-    again = docs.join(kept.where("kept_n > 1"), same, "left_semi")
+        return docs.join(merged(kept), same, "left_semi")
+    once = docs.join(merged(kept.where("kept_n = 1")), same, "left_semi")
+    again = docs.join(merged(kept.where("kept_n > 1")), same, "left_semi")
     again = again.select("doc_id", text_hash.alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     first = again.groupBy("doc_id", "h").agg(F.first("row").alias("row"))
     return once.unionAll(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
