@@ -15,14 +15,18 @@ from traceloom.schemas import CFG_BLOCKS, CFG_JSON
 
 
 def mapped(c: Column, f: Callable, kind: str) -> Column:
-    """f of each text of a column, batch by batch; null stays null."""
+    """f of each text of a column, batch by batch; null stays null.
+
+    It is never worked out elsewhere than where it stands: else the filter that Spark makes of an explode takes it below a
+    distinct or a join, to every row there, and once more above.
+    """
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield b.map(lambda x: None if x is None else f(x))
 
-    return run(c)
+    return run.asNondeterministic()(c)
 
 
 def syntax_gate(tasks: DataFrame, code: str = "code") -> DataFrame:
